@@ -9,7 +9,16 @@ import public_tokenizers
 from seqspark.session import read_table
 
 from .bpe import bpe_round_trip
+from .decontaminate import find_leaks
+from .language import language_predictions
+from .pseudonyms import pseudonymize
+from .simhash import near_duplicate_groups
 from .token_count import token_counts
+from .unit_dedup import removed_by_document
+
+
+#: The key of the registered query; a user passes their own.
+PSEUDONYM_KEY = "registered-query"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +29,34 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(read_table(spark, sf_dir, "documents"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, PSEUDONYM_KEY)
+
+
+def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_by_document(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_leaks": op3_leaks,
+    "op4_language": op4_language,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op8_pseudonyms": op8_pseudonyms,
+    "op10_repeated_text": op10_repeated_text,
 }
 ORACLE: dict[str, str] = {}
