@@ -10,10 +10,13 @@ from seqspark.session import read_table
 
 from .bpe import bpe_round_trip
 from .decontaminate import find_leaks
+from .digest import document_digests
 from .language import language_predictions
+from .lattice_lm import document_scores
 from .pseudonyms import pseudonymize
 from .simhash import near_duplicate_groups
 from .token_count import token_counts
+from .toxicity import toxicity_scores
 from .unit_dedup import removed_by_document
 
 
@@ -37,15 +40,27 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(read_table(spark, sf_dir, "documents"))
 
 
+def op5_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_scores(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymize(docs, PSEUDONYM_KEY)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_by_document(read_table(spark, sf_dir, "documents"))
 
@@ -55,8 +70,11 @@ QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_leaks": op3_leaks,
     "op4_language": op4_language,
+    "op5_digests": op5_digests,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_lm_scores": op7_lm_scores,
     "op8_pseudonyms": op8_pseudonyms,
+    "op9_toxicity": op9_toxicity,
     "op10_repeated_text": op10_repeated_text,
 }
 ORACLE: dict[str, str] = {}
