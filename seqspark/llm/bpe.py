@@ -21,9 +21,10 @@ import re as _re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .vocab import Memo, byte_alphabet, read_bpe
 
@@ -145,17 +146,22 @@ def automaton(path: str) -> TokenizationAutomaton:
 
 
 def bpe_encode(docs: DataFrame, vocab_path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """All columns of ``docs`` and the token ids of its text as an array (a null text: an empty array)."""
-    names = docs.columns
+    """``docs`` with the token ids of its text as an array (a null text: an empty array).
+
+    Other columns pass through; an input column of the name of the result is replaced. Narrow.
+    """
+    rows = docs.drop(out_col)
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = automaton(vocab_path).encode
         for batch in batches:
-            ids = [list(memoryview(encode(t.as_py() or "")).cast("I")) for t in batch.column(names.index(text_col))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, out_col])
+            packed = [encode(t.as_py() or "") for t in batch.column(names.index(text_col))]
+            offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, out_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{out_col}` array<int>")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
 
 def bpe_round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

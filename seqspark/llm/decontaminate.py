@@ -270,27 +270,55 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
     return found if found is not None else docs.sparkSession.createDataFrame([], RESULT)
 
 
+def _runs(keys, column: pa.Array) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys and UTF-8 texts in runs of about RUN_BYTES; null texts are empty."""
+    held, texts, size = [], [], 0
+    for key, text in zip(keys, column):
+        data = text.as_buffer().to_pybytes() if text.is_valid else b""
+        if texts and size + len(data) > RUN_BYTES:
+            yield held, texts
+            held, texts, size = [], [], 0
+        held.append(key)
+        texts.append(data)
+        size += len(data)
+    if texts:
+        yield held, texts
+
+
 def _searcher(passages: list[tuple[int, str]], params: LeakParams):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32()), ("shared", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = PassageIndex(passages, params)
         for batch in batches:
-            ids, texts, size, out = [], [], 0, []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if texts and size + len(data) > RUN_BYTES:
-                    out += _search(index, ids, texts)
-                    ids, texts, size = [], [], 0
-                ids.append(doc_id)
-                texts.append(data)
-                size += len(data)
-            out += _search(index, ids, texts)
+            out = []
+            for ids, texts in _runs(batch.column(0).to_pylist(), batch.column(1)):
+                out += _search(index, ids, texts)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
 
 
-def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
-    """The documents that have no leak; documents with a null id stay unless nothing tells them apart."""
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark passage is found, with all their columns.
+
+    Each block of passages filters what the blocks before it left; nothing is shuffled. Null and empty
+    texts stay, and so do rows with a null id that are clean.
+    """
+    names = docs.columns
+    at = names.index("text")
+
+    def keeper(passages: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = PassageIndex(passages, params)
+            for batch in batches:
+                leaking: set[int] = set()
+                for rows, texts in _runs(range(batch.num_rows), batch.column(at)):
+                    leaking.update(r[0] for r in _search(index, rows, texts))
+                yield batch.filter(pa.array([i not in leaking for i in range(batch.num_rows)], pa.bool_()))
+
+        return run
+
+    for passages in _blocks(benchmark, params):
+        docs = docs.mapInArrow(keeper(passages), docs.schema)
+    return docs

@@ -3,8 +3,9 @@
 Every window of 64 bytes is a feature; its rank is how rare its entropy is in the whole corpus. In each
 run of 64 neighbouring windows the rarest one is counted, and windows counted often enough are selected.
 Texts under 1024 bytes, which have few such windows, also give windows of 16 bytes, chosen the same way
-by their own ranks. Selected features are hashed into Bloom filters of 2048 bits, 160 features to a filter, chained. Two
-digests are compared filter by filter by the bits they share beyond what chance would give.
+by their own ranks. Selected features are hashed into Bloom filters of 2048 bits, 160 features to a
+filter, chained. Two digests are compared filter by filter by the bits they share beyond what chance
+would give.
 """
 
 from __future__ import annotations
@@ -150,10 +151,6 @@ def shown(filters: np.ndarray) -> str:
     return base64.b64encode(filters.tobytes()).decode()
 
 
-def shown(filters: np.ndarray) -> str:
-    return base64.b64encode(filters.tobytes()).decode()
-
-
 def entropy_ranks(docs: DataFrame) -> np.ndarray:
     """For each window size, the rank of every entropy level, the rarest first, counted over all windows.
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 LETTERS = re.compile(r"[^\W\d_]+")
 FILLER = b" " + b"qxzjvkqqxjzzkvqwxzjqkvvzxwqjk" * 4
@@ -123,8 +123,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], params: LanguagePa
                 names=[*names, *added],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    result = T.StructType([*rows.schema.fields]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return rows.mapInArrow(run, result)
 
 
 def language_predictions(docs: DataFrame, folds: int = 3, held_out: int = 1, params: LanguageParams = LanguageParams()) -> DataFrame:

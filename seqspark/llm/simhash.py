@@ -168,3 +168,22 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, crowd: int = CROWD)
     moved = linked.join(names, "component").select("fp", "component_id")
     lookup = materialize(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "lookup")
     return prints.join(lookup, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the one with the least id.
+
+    Where an id repeats, its least text stays. Documents with a null id stay. The ids to remove, not the
+    ids to keep, are joined: they are fewer, and a short list is broadcast by Spark's own size limit.
+    """
+    groups = materialize(near_duplicate_groups(docs, shingle), "groups")
+    ids = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    own = ids.agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("n"))
+    own = materialize(own.where("stays = 0 or n > 1"), "removed")
+    kept = docs.join(own.where("stays = 0"), "doc_id", "left_anti")
+    repeated = own.where("stays = 1").select("doc_id")
+    if repeated.head(1):
+        others = kept.join(repeated, "doc_id", "left_anti")
+        least = kept.join(repeated, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row"))
+        kept = others.select(*docs.columns).union(least.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns]))
+    return kept.select(*docs.columns)

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .language import crc_of
 from .vocab import Memo
@@ -297,8 +297,8 @@ def tag(docs: DataFrame, chain: Chain, threshold: float = 0.3, span_prob: float
                 names=[*names, *added],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int, spans array<struct<start: int, end: int, probability: double>>")
+    result = T.StructType([*rows.schema.fields]).add("score", "double").add("predicted", "int").add("spans", "array<struct<start: int, end: int, probability: double>>")
+    return rows.mapInArrow(run, result)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, params: ToxicParams = ToxicParams()) -> DataFrame:
