@@ -297,8 +297,8 @@ def tag(docs: DataFrame, chain: Chain, threshold: float = 0.3, span_prob: float
                 names=[*names, *added],
             )
 
-    result = T.StructType([*rows.schema.fields]).add("score", "double").add("predicted", "int").add("spans", "array<struct<start: int, end: int, probability: double>>")
-    return rows.mapInArrow(run, result)
+    result = T.DataType.fromDDL("score double, predicted int, spans array<struct<start: int, end: int, probability: double>>")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *result.fields]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, params: ToxicParams = ToxicParams()) -> DataFrame:
