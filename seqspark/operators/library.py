@@ -41,9 +41,10 @@ def reagent_demand(orders: DataFrame, recipe_lines: DataFrame, reagents: DataFra
     nested = below.join(recipe_lines, "solution_id").where("sub_solution_id is null")
     columns = ["order_id", "reagent_id", "molarity", "prep", "stock_molarity", "volume_l"]
     lines = direct.where("sub_solution_id is null").select(columns).unionByName(nested.select(columns))
+    exact = lambda x: F.sum(F.round(x, 9).cast("decimal(28,9)")).cast("double")  # noqa: E731  sums in any order are equal
     amount = lines.groupBy("reagent_id").agg(
-        F.sum(F.when(F.col("prep") == "mass", F.col("molarity") * F.col("volume_l")).otherwise(0)).alias("moles"),
-        F.sum(F.when(F.col("prep") == "volume", F.col("molarity") * F.col("volume_l") / F.col("stock_molarity")).otherwise(0)).alias("volume"),
+        exact(F.when(F.col("prep") == "mass", F.col("molarity") * F.col("volume_l")).otherwise(0.0)).alias("moles"),
+        exact(F.when(F.col("prep") == "volume", F.col("molarity") * F.col("volume_l") / F.col("stock_molarity")).otherwise(0.0)).alias("volume"),
         F.count("*").alias("uses"),
     )
     return amount.join(reagents, "reagent_id").select("reagent_id", "name", F.round(F.col("moles") * F.col("mw"), 4).alias("mass_g"), F.round("volume", 6).alias("volume_l"), "uses")

@@ -42,9 +42,11 @@ def similarity_join(a: DataFrame, b: DataFrame, max_dist: int) -> DataFrame:
     at = offset + F.col("move") + 1
     own = own.where((at >= 1) & (at + width - 1 <= F.length("seq"))).select("a_id", "b_n", "piece", F.substring(F.col("seq"), at, width).alias("part"))
     pairs = own.join(pieces, ["b_n", "piece", "part"]).select("a_id", "b_id")
-    short = a.where(F.length("seq") <= 2 * d).join(b.where(F.length("seq") <= d).select(F.col("id").alias("b_id"), F.length("seq").alias("b_n")), F.abs(F.length("seq") - F.col("b_n")) <= d) if d else None
-    if short is not None:
-        pairs = pairs.union(short.select(F.col("id").alias("a_id"), "b_id"))
+    if d:  # texts of b of d bases or fewer cannot be cut: they meet by length, of which there are d + 1
+        lengths = F.explode(F.sequence(F.greatest(F.lit(0), F.length("seq") - d), F.least(F.lit(d), F.length("seq") + d)))
+        near = a.where(F.length("seq") <= 2 * d).select(F.col("id").alias("a_id"), lengths.alias("b_n"))
+        short = b.where(F.length("seq") <= d).select(F.col("id").alias("b_id"), F.length("seq").alias("b_n"))
+        pairs = pairs.union(near.join(short, "b_n").select("a_id", "b_id"))
     pairs = pairs.distinct()
     full = pairs.join(a.select(F.col("id").alias("a_id"), F.col("seq").alias("x")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("seq").alias("y")), "b_id")
     hamming = F.aggregate(F.zip_with(F.split("x", ""), F.split("y", ""), lambda p, q: (p != q).cast("int")), F.lit(0), lambda acc, v: acc + v)

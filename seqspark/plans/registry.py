@@ -2,5 +2,22 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a query ``(spark, sf_dir) -> DataFrame`` under a name, with its SQL twin if it has one."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE[name] = oracle
+        return f
+
+    return put
+
+
+from . import assembly, chemistry, sites  # noqa: E402, F401  registers
