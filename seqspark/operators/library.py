@@ -47,7 +47,7 @@ def reagent_demand(orders: DataFrame, recipe_lines: DataFrame, reagents: DataFra
         exact(F.when(F.col("prep") == "volume", F.col("molarity") * F.col("volume_l") / F.col("stock_molarity")).otherwise(0.0)).alias("volume"),
         F.count("*").alias("uses"),
     )
-    return amount.join(reagents, "reagent_id").select("reagent_id", "name", F.round(F.col("moles") * F.col("mw"), 4).alias("mass_g"), F.round("volume", 6).alias("volume_l"), "uses")
+    return amount.join(reagents, "reagent_id").select("reagent_id", "name", F.round(F.col("moles") * F.col("mw") + 1e-9, 4).alias("mass_g"), F.round(F.col("volume") + 1e-11, 6).alias("volume_l"), "uses")
 
 
 def reads_to_sequences(reads: DataFrame) -> DataFrame:

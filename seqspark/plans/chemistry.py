@@ -163,7 +163,7 @@ def _recipes(spark, sf):
     "dir AS (SELECT * FROM o JOIN l USING (solution_id)), nest AS (SELECT l.*, x.v AS volume_l FROM (SELECT sub AS solution_id, volume_l * 0.25 AS v FROM dir WHERE sub IS NOT NULL) x JOIN l USING (solution_id) WHERE l.sub IS NULL), "
     "every AS (SELECT reagent_id, molarity, prep, stock, volume_l FROM dir WHERE sub IS NULL UNION ALL SELECT reagent_id, molarity, prep, stock, volume_l FROM nest), "
     "s AS (SELECT reagent_id, CAST(sum(CAST(round(CASE WHEN prep = 'mass' THEN molarity * volume_l ELSE 0 END, 9) AS DECIMAL(28, 9))) AS DOUBLE) AS moles, CAST(sum(CAST(round(CASE WHEN prep = 'volume' THEN molarity * volume_l / stock ELSE 0 END, 9) AS DECIMAL(28, 9))) AS DOUBLE) AS vol, count(*) AS uses FROM every GROUP BY reagent_id) "
-    "SELECT reagent_id, p_name AS name, round(moles * CAST(p_retailprice AS DOUBLE), 4) AS mass_g, round(vol, 6) AS volume_l, uses FROM s JOIN part ON p_partkey = reagent_id",
+    "SELECT reagent_id, p_name AS name, round(moles * CAST(p_retailprice AS DOUBLE) + 1e-9, 4) AS mass_g, round(vol + 1e-11, 6) AS volume_l, uses FROM s JOIN part ON p_partkey = reagent_id",
 )
 def reagent_demand(spark, sf):
     return library.reagent_demand(*_recipes(spark, sf))
