@@ -66,7 +66,10 @@ def _features(items: DataFrame) -> DataFrame:
     rows = items.select("seq_id", "item", F.coalesce(F.try_element_at(types, key), F.lit("Generic")).alias("feature_type"), location.alias("location"), notes.alias("notes"))
 
     def note(*names: str) -> Column:
-        return F.coalesce(*[F.get(F.filter("notes", lambda x, n=n: x["key"] == n), F.lit(0))["value"] for n in names])
+        def is_named(name: str):
+            return lambda x: x["key"] == name
+
+        return F.coalesce(*[F.get(F.filter("notes", is_named(n)), F.lit(0))["value"] for n in names])
 
     given = F.upper(F.coalesce(note("direction"), F.lit("")))
     direction = (
