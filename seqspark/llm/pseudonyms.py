@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .names import spare_name
+
 ROUNDS = 8
 #: Longest digest stream of a half; longer halves use it again from its start.
 STREAM = 64
@@ -205,11 +207,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     # gaps and values in turn; there is one more gap
     whole = F.array_join(F.zip_with(F.split(text, PATTERN, -1), replaced, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
     some = text.rlike("[0-9@]")
+    temp = spare_name(docs, "_private")
     searched = docs.withColumn(
-        "_private", F.when(some, F.struct(whole.alias("text"), F.size(F.filter(F.zip_with(found, replaced, lambda a, b: a != b), lambda x: x)).alias("n")))
+        temp, F.when(some, F.struct(whole.alias("text"), F.size(F.filter(F.zip_with(found, replaced, lambda a, b: a != b), lambda x: x)).alias("n")))
     )
     return (
-        searched.withColumn("n_private", F.coalesce(F.col("_private.n"), F.lit(0)).cast("int"))
-        .withColumn(text_col, F.coalesce(F.col("_private.text"), text))
+        searched.withColumn("n_private", F.coalesce(F.col(f"{temp}.n"), F.lit(0)).cast("int"))
+        .withColumn(text_col, F.coalesce(F.col(f"{temp}.text"), text))
         .select(*docs.columns, *([] if "n_private" in docs.columns else ["n_private"]))
     )

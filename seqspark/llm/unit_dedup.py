@@ -17,10 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqspark.session import materialize
 
+from .names import spare_name
+
 UNITS = {
     "line": re.compile(r"[^\n]+"),
     "paragraph": re.compile(r"(?:[^\n]|\n(?!\n))+"),
@@ -109,15 +111,15 @@ def removed_by_document(docs: DataFrame, unit: str = "sentence", min_words: int
 
 
 def without_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the removed runs cut from ``text``."""
-    cut = removed_by_document(docs, unit, min_words).select("doc_id", "removed")
-    gaps = F.transform(
-        F.sequence(F.lit(0), F.size("removed")),
-        lambda i: F.substring(
-            F.col("text"),
-            F.when(i == 0, F.lit(1)).otherwise(F.get(F.col("removed"), i - 1)["end"] + 1),
-            F.when(i == F.size("removed"), F.length("text")).otherwise(F.get(F.col("removed"), i)["start"]) - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("removed"), i - 1)["end"]),
-        ),
-    )
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(gaps, ""))
-    return docs.join(cut, "doc_id", "left").withColumn("text", text).select(*docs.columns)
+    """``docs`` with the removed runs cut from ``text``; rows with a null id stay as they are."""
+    temp = spare_name(docs, "_removed")
+    cut = removed_by_document(docs, unit, min_words).select("doc_id", F.col("removed").alias(temp))
+    spans = F.col(temp)
+
+    def gap(i: Column) -> Column:
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+        end = F.when(i == F.size(spans), F.length("text")).otherwise(F.get(spans, i)["start"])
+        return F.substring(F.col("text"), start + 1, end - start)
+
+    kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), gap), "")
+    return docs.join(cut, "doc_id", "left").withColumn("text", F.when(spans.isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
