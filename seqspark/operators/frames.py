@@ -131,7 +131,7 @@ def protein_mass(found: DataFrame) -> DataFrame:
     inner = F.col("zone") == "cds"
 
     def kda(mass: Column, n: Column) -> Column:
-        return F.round((mass - WATER * (n - 1)) / 1e7, 4)
+        return F.floor((mass - WATER * (n - 1) + 500) / 1000) / 10_000.0  # whole tenths of a dalton
 
     sums = rows.groupBy("seq_id", "feature_id").agg(
         F.sum(F.when(inner, F.col("mass")).otherwise(0)).alias("m"), F.count_if(inner).alias("k"), F.sum("mass").alias("m_all"), F.count("*").alias("k_all")

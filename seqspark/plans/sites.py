@@ -134,7 +134,7 @@ def region(spark, sf):
 
 @query(
     "b17_annotate_fuzzy",
-    f"{WITH}pat AS (SELECT lib_id, 'fwd' AS strand, seq AS pattern FROM library UNION ALL SELECT lib_id, 'rev', {d.RC.format('seq')} FROM library), pd AS (SELECT *, CAST(floor(length(pattern) * (1 - 0.9) + 1e-9) AS INT) AS dd FROM pat), "
+    f"{WITH}pat AS (SELECT lib_id, 'fwd' AS strand, seq AS pattern FROM library UNION ALL SELECT lib_id, 'rev', {d.RC.format('seq')} FROM library), pd AS (SELECT *, CAST(floor(length(pattern) * (1 - 0.95) + 1e-9) AS INT) AS dd FROM pat), "
     "pieces AS (SELECT *, length(pattern) // (dd + 1) AS size, unnest(range(0, dd + 1)) AS piece FROM pd), "
     "cand AS (SELECT q.seq_id, q.seq, q.topology, length(q.seq) AS n, p.lib_id, p.strand, p.pattern, p.dd, p.piece, p.size FROM sequences q JOIN pieces p ON length(p.pattern) <= length(q.seq) AND contains(CASE WHEN q.topology = 'circular' THEN q.seq || q.seq ELSE q.seq END, substring(p.pattern, p.piece * p.size + 1, p.size))), "
     "places AS (SELECT DISTINCT seq_id, seq, topology, n, lib_id, strand, pattern, dd, CASE WHEN topology = 'circular' THEN (pos - piece * size - 1 + 2 * n) % n + 1 ELSE pos - piece * size END AS start FROM (SELECT *, unnest(range(1, n + 1)) AS pos FROM cand) WHERE substring(seq || CASE WHEN topology = 'circular' THEN seq ELSE '' END, pos, size) = substring(pattern, piece * size + 1, size)), "
@@ -142,7 +142,7 @@ def region(spark, sf):
     f"SELECT seq_id, lib_id, strand, CAST(start AS INT) AS start, CAST((start + length(pattern) - 2) % n + 1 AS INT) AS {E_}, CAST(mm AS INT) AS mismatches FROM ok WHERE mm <= dd",
 )
 def annotate_fuzzy(spark, sf):
-    return matching.annotate_fuzzy(d.sequences(spark, sf), d.feature_library(spark, sf), 0.9)
+    return matching.annotate_fuzzy(d.sequences(spark, sf), d.feature_library(spark, sf), 0.95)
 
 
 DIGEST = (
@@ -193,7 +193,7 @@ def proteins(spark, sf):
 @query(
     "d6_protein_mass",
     PROTEIN_WITH + f", {values_sql('residue_mass')}, sm AS (SELECT seq_id, feature_id, sum(CASE WHEN zone = 'cds' THEN mass ELSE 0 END) AS m, count(*) FILTER (zone = 'cds') AS k, sum(mass) AS m2, count(*) AS k2 FROM residues JOIN residue_mass USING (aa) GROUP BY seq_id, feature_id) "
-    "SELECT seq_id, feature_id, CASE WHEN k > 0 THEN round(CAST(m - 180150 * (k - 1) AS DOUBLE) / 1e7, 4) END AS kda, round(CAST(m2 - 180150 * (k2 - 1) AS DOUBLE) / 1e7, 4) AS kda_total FROM sm",
+    "SELECT seq_id, feature_id, CASE WHEN k > 0 THEN CAST((m - 180150 * (k - 1) + 500) // 1000 AS DOUBLE) / 10000.0 END AS kda, CAST((m2 - 180150 * (k2 - 1) + 500) // 1000 AS DOUBLE) / 10000.0 AS kda_total FROM sm",
 )
 def protein_mass(spark, sf):
     return frames.protein_mass(_residues(spark, sf))
@@ -249,9 +249,9 @@ def re_candidates(spark, sf):
     return enzymes.re_candidates(enzymes.re_sites(seqs.where("topology = 'linear'")), enzymes.re_sites(vectors))
 
 
-@query("g3_common_enzymes", SITES_WITH + "SELECT enzyme FROM re_sites r JOIN (SELECT seq_id FROM sequences ORDER BY length(seq) DESC, seq_id LIMIT 3) t USING (seq_id) GROUP BY enzyme HAVING count(DISTINCT seq_id) = 3")
+@query("g3_common_enzymes", SITES_WITH + "SELECT enzyme FROM re_sites r JOIN (SELECT seq_id FROM sequences ORDER BY length(seq) DESC, seq_id LIMIT 2) t USING (seq_id) GROUP BY enzyme HAVING count(DISTINCT seq_id) = 2")
 def common_enzymes(spark, sf):
-    longest = d.sequences(spark, sf).orderBy(F.desc(F.length("seq")), "seq_id").limit(3)
+    longest = d.sequences(spark, sf).orderBy(F.desc(F.length("seq")), "seq_id").limit(2)
     return enzymes.common_enzymes(re_sites(spark, sf), longest)
 
 
