@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from seqspark.session import materialize
+
 from .language import crc_of
 from .vocab import Memo
 
@@ -31,7 +33,8 @@ class ToxicParams:
     those with the smallest hash of their id. chars: characters of each that are used for training.
     candidates: words, at most. support, ratio: toxic documents that must hold a candidate, and how many
     times likelier it must be in them. prefixes: lengths of the beginnings of words that count besides
-    whole words. steps, rate, decay: of the gradient ascent."""
+    whole words. steps, rate, decay: of the gradient ascent. broadcast_labels: labels that are sent to
+    the documents, at most; more are joined by a shuffle."""
 
     documents: int = 1_500
     chars: int = 20_000
@@ -42,6 +45,7 @@ class ToxicParams:
     steps: int = 120
     rate: float = 0.5
     decay: float = 1e-3
+    broadcast_labels: int = 1_000_000
 
 
 @dataclass
@@ -301,6 +305,15 @@ def tag(docs: DataFrame, chain: Chain, threshold: float = 0.3, span_prob: float
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *result.fields]))
 
 
+def _labelled(docs: DataFrame, marks: DataFrame, params: ToxicParams) -> DataFrame:
+    """Documents with their labels. A counted, bounded number of labels is broadcast, so that texts stay
+    where they are read; beyond it both sides are shuffled, once, and the result is written."""
+    marks = materialize(marks, "marks")
+    if marks.count() <= params.broadcast_labels:
+        return docs.join(F.broadcast(marks), "doc_id")
+    return materialize(docs.join(marks, "doc_id"), "labelled")
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, params: ToxicParams = ToxicParams()) -> DataFrame:
     """``(doc_id, held_out, score, predicted, spans)`` of every document.
 
@@ -309,7 +322,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out
     """
     fold = F.pmod(crc_of("doc_id"), F.lit(folds))
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.where(fold != held_out).select("doc_id", "text").join(marks, "doc_id")
-    chain = train(labelled, params)
+    chain = train(_labelled(docs.where(fold != held_out).select("doc_id", "text"), marks, params), params)
     rows = docs.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text")
     return tag(rows, chain).select("doc_id", "held_out", "score", "predicted", "spans")
