@@ -152,7 +152,7 @@ def banded_distance(pattern: str, text: str, limit: int) -> tuple[int, int, int]
     if at >= 0:
         return 0, at, at + len(pattern)
     if limit <= 0 or not text:
-        return None
+        return (len(pattern), 0, 0) if len(pattern) <= limit else None
     codes = np.array([ord(c) for c in text], np.int64)
     n, far = len(text), limit + 1
     costs, starts = np.zeros(n + 1, np.int64), np.arange(n + 1)
