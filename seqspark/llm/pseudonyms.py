@@ -98,8 +98,8 @@ def feistel_text(value: Column, key: Column, kind: str, hexadecimal: bool = Fals
     return F.aggregate(_steps(), start, one, lambda acc: F.concat(acc["a"], acc["b"]))
 
 
-def feistel_number(value: Column, a: int, b: int, key: Column, kind: str) -> Column:
-    """A keyed permutation of 0 .. a*b-1: rounds add digests modulo a and b in turn."""
+def feistel_pair(x: Column, y: Column, a: Column, b: Column, key: Column, kind: str) -> Column:
+    """A keyed permutation of pairs from 0 .. a-1 and 0 .. b-1: rounds add digests modulo a and b in turn."""
 
     def one(acc: Column, step: Column) -> Column:
         def digest(half: Column) -> Column:
@@ -109,8 +109,13 @@ def feistel_number(value: Column, a: int, b: int, key: Column, kind: str) -> Col
             F.struct(acc["x"].alias("x"), ((acc["y"] + digest(acc["x"])) % b).alias("y"))
         )
 
-    start = F.struct(F.floor(value / b).cast("long").alias("x"), (value % b).cast("long").alias("y"))
-    return F.aggregate(_steps(), start, one, lambda acc: acc["x"] * b + acc["y"])
+    return F.aggregate(_steps(), F.struct(x.cast("long").alias("x"), y.cast("long").alias("y")), one)
+
+
+def feistel_number(value: Column, a: int, b: int, key: Column, kind: str) -> Column:
+    """A keyed permutation of 0 .. a*b-1."""
+    moved = feistel_pair(F.floor(value / b), value % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, kind)
+    return moved["x"] * b + moved["y"]
 
 
 def _refill(shape: Column, digits: Column) -> Column:
@@ -163,11 +168,19 @@ def _ssn(m: Column, key: Column) -> Column:
 
 
 def _address(m: Column, key: Column) -> Column:
-    octets = F.transform(F.split(m, r"\."), lambda o: o.cast("long"))
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o)
-    moved = feistel_number(number, 65_536, 65_536, key, "address")
-    parts = [(F.floor(moved / (256**i)) % 256).cast("string") for i in (3, 2, 1, 0)]
-    return F.when(F.forall(octets, lambda o: o < 256), F.concat_ws(".", *parts)).otherwise(m)
+    """Each octet keeps its number of digits: 0-9, 10-99 or 100-255; other spellings do not validate."""
+    octets = F.split(m, r"\.")
+    number = [F.get(octets, F.lit(i)).cast("long") for i in range(4)]
+    digits = [F.length(F.get(octets, F.lit(i))) for i in range(4)]
+    least = [F.when(d == 1, 0).when(d == 2, 10).otherwise(100) for d in digits]
+    size = [F.when(d == 1, 10).when(d == 2, 90).otherwise(156).cast("long") for d in digits]
+    place = [n - lo for n, lo in zip(number, least)]
+    valid = F.lit(True)
+    for p, n in zip(place, size):
+        valid = valid & (p >= 0) & (p < n)
+    moved = feistel_pair(place[0] * size[1] + place[1], place[2] * size[3] + place[3], size[0] * size[1], size[2] * size[3], F.concat_ws("|", key, *[d.cast("string") for d in digits]), "address")
+    new = [F.floor(moved["x"] / size[1]) + least[0], moved["x"] % size[1] + least[1], F.floor(moved["y"] / size[3]) + least[2], moved["y"] % size[3] + least[3]]
+    return F.when(valid, F.concat_ws(".", *[n.cast("string") for n in new])).otherwise(m)
 
 
 def _date(m: Column, key: Column) -> Column:
