@@ -7,17 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders chosen for applications whose configuration names none.
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     A cluster names it in its configuration. Only where it is unset, as in tests on one machine, a
-    folder of our own is chosen and remembered in the session.
+    folder of our own is chosen, one for each application.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="seqspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        key = spark.sparkContext.applicationId
+        if key not in _own:
+            _own[key] = tempfile.mkdtemp(prefix="seqspark-")
+        path = _own[key]
     return path.rstrip("/")
 
 
