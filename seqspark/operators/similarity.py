@@ -59,21 +59,24 @@ def align_scores(pairs: pd.DataFrame) -> np.ndarray:
     out = np.zeros(len(pairs), np.int64)
     x, y = pairs["x"].to_numpy(), pairs["y"].to_numpy()
     order = np.argsort([len(s) for s in y], kind="stable")
-    for at in range(0, len(order), 256):
-        own = order[at : at + 256]
+    at = 0
+    while at < len(order):
+        # arrays of about 64k cells stay in cache; lengths within a group are near each other
+        own = order[at : at + max(1, (1 << 16) // (len(y[order[at]]) + 1))]
+        at += len(own)
         width, height = max(len(y[i]) for i in own), max(len(x[i]) for i in own)
         ys = np.array([np.frombuffer(y[i].encode().ljust(width, b"\0"), np.uint8) for i in own]).reshape(len(own), width)
-        low = -(1 << 30)
+        low = -(1 << 28)
         real = np.arange(width + 1) <= np.array([len(y[i]) for i in own])[:, None]
-        best = np.where(real, 0, low).astype(np.int64)
-        down = np.full((len(own), width + 1), low, np.int64)
-        column = np.arange(width + 1)
+        best = np.where(real, 0, low).astype(np.int32)
+        down = np.full((len(own), width + 1), low, np.int32)
+        column = np.arange(width + 1, dtype=np.int32)
         for row in range(height):
             chars = np.array([ord(x[i][row]) if row < len(x[i]) else 0 for i in own])[:, None]
             active = np.array([row < len(x[i]) for i in own])[:, None]
             new_down = np.maximum(best + GAP_OPEN + GAP_EXTEND, down + GAP_EXTEND)
             swap = np.full_like(best, low)
-            swap[:, 1:] = best[:, :-1] + np.where(ys == chars, MATCH, MISMATCH)
+            swap[:, 1:] = best[:, :-1] + np.where(ys == chars, np.int32(MATCH), np.int32(MISMATCH))
             new = np.maximum(swap, new_down)
             # gaps in x: the best start to the left, extended
             run = np.maximum.accumulate(new - GAP_EXTEND * column, axis=1)

@@ -20,4 +20,4 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-from . import assembly, chemistry, sites  # noqa: E402, F401  registers
+from . import assembly, chemistry, files, sites  # noqa: E402, F401  registers

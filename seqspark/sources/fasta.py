@@ -19,9 +19,12 @@ def parse_fasta(records: DataFrame) -> DataFrame:
     return rows.select("file", F.substring_index("header", " ", 1).alias("name"), F.regexp_extract("header", r"^\S+\s+(.*)$", 1).alias("description"), "seq")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+FILES = "*.{fa,fasta,fna,ffn}"
+
+
+def read_fasta(spark: SparkSession, path: str, files: str = FILES) -> DataFrame:
     """All records of a file or directory. Files are split between tasks at record starts."""
-    raw = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{fa,fasta,fna,ffn}").text(path)
+    raw = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path)
     return parse_fasta(raw.select("value", F.col("_metadata.file_name").alias("file")))
 
 
