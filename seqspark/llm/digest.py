@@ -70,6 +70,30 @@ def entropy_levels(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.clip((entropy * (LEVELS / most)).astype(np.int64), 0, LEVELS - 1)
 
 
+def levels_of(texts: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
+    """Levels of each text. Many short texts share the array work; windows across two texts are dropped."""
+    out: list[np.ndarray] = []
+    run: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        levels = entropy_levels(np.frombuffer(b"".join(run), np.uint8), window).astype(np.int16)
+        at = 0
+        for t in run:
+            out.append(levels[at : at + max(0, len(t) - window + 1)])
+            at += len(t)
+        run.clear()
+
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= BLOCK:
+            flush()
+            size = 0
+    flush()
+    return out
+
+
 def _earlier(data: np.ndarray) -> np.ndarray:
     """How many equal bytes come before each of a few bytes."""
     return np.array([int((data[:i] == data[i]).sum()) for i in range(len(data))], np.int64)
@@ -91,11 +115,12 @@ def _rarest(ranks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return least[change], np.diff(np.concatenate((change, [len(least)])))
 
 
-def _selected(data: np.ndarray, ranks: np.ndarray, window: int, params: DigestParams) -> np.ndarray:
+def _selected(data: np.ndarray, levels: np.ndarray, ranks: np.ndarray, window: int, params: DigestParams) -> np.ndarray:
     """Hashes of the selected windows, in order; at least one."""
     if len(data) < window:
         data = np.concatenate((data, np.zeros(window - len(data), np.uint8)))
-    places, runs = _rarest(ranks[entropy_levels(data, window)], window)
+        levels = entropy_levels(data, window)
+    places, runs = _rarest(ranks[levels], window)
     chosen = places[runs >= params.popularity * window]
     if not len(chosen):
         chosen = places[[int(runs.argmax())]]
@@ -112,14 +137,17 @@ def _selected(data: np.ndarray, ranks: np.ndarray, window: int, params: DigestPa
     return np.concatenate(out)
 
 
-def digest(text: bytes, ranks: np.ndarray, params: DigestParams = DigestParams()) -> np.ndarray:
-    """Filters as rows of 64-bit words. No bytes give no filter. ``ranks`` has a row for each window size."""
+def digest(text: bytes, wide: np.ndarray, narrow: np.ndarray | None, ranks: np.ndarray, params: DigestParams = DigestParams()) -> np.ndarray:
+    """Filters as rows of 64-bit words, from a text and its levels for both window sizes.
+
+    No bytes give no filter. ``ranks`` has a row for each window size.
+    """
     if not text:
         return np.zeros((0, BITS // 64), np.uint64)
     data = np.frombuffer(text, np.uint8)
-    hashes = _selected(data, ranks[0], WINDOW, params) if len(data) >= WINDOW else np.zeros(0, np.uint64)
+    hashes = _selected(data, wide, ranks[0], WINDOW, params) if len(data) >= WINDOW else np.zeros(0, np.uint64)
     if len(data) < SHORT:
-        hashes = np.concatenate((hashes, _selected(data, ranks[1], NARROW, params)))
+        hashes = np.concatenate((hashes, _selected(data, narrow, ranks[1], NARROW, params)))
     n = len(hashes)
     out = np.zeros((-(-n // params.features), BITS // 8), np.uint8)
     which = (np.arange(n) // params.features)[:, None]
@@ -151,6 +179,21 @@ def shown(filters: np.ndarray) -> str:
     return base64.b64encode(filters.tobytes()).decode()
 
 
+def _runs(column: pa.Array) -> Iterator[list[bytes]]:
+    """The valid texts of a column, in runs of about 4 MB."""
+    run: list[bytes] = []
+    size = 0
+    for text in column:
+        if text.is_valid:
+            run.append(text.as_buffer().to_pybytes())
+            size += len(run[-1])
+            if size >= 16 * BLOCK:
+                yield run
+                run, size = [], 0
+    if run:
+        yield run
+
+
 def entropy_ranks(docs: DataFrame) -> np.ndarray:
     """For each window size, the rank of every entropy level, the rarest first, counted over all windows.
 
@@ -160,12 +203,11 @@ def entropy_ranks(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * LEVELS, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    data = np.frombuffer(text.as_buffer(), np.uint8)
-                    total[:LEVELS] += np.bincount(entropy_levels(data), minlength=LEVELS)
-                    if len(data) < SHORT:
-                        total[LEVELS:] += np.bincount(entropy_levels(data, NARROW), minlength=LEVELS)
+            for texts in _runs(batch.column(0)):
+                total[:LEVELS] += np.bincount(np.concatenate(levels_of(texts)), minlength=LEVELS)
+                short = [t for t in texts if len(t) < SHORT]
+                if short:
+                    total[LEVELS:] += np.bincount(np.concatenate(levels_of(short, NARROW)), minlength=LEVELS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["level", "n"])
 
@@ -229,16 +271,27 @@ def document_digests(docs: DataFrame, params: DigestParams = DigestParams()) ->
 
 
 def _compare(own: list[tuple[int, str]], after: tuple[int, str], ranks: np.ndarray, params: DigestParams) -> pa.Table:
-    out: list[tuple] = []
-    following = digest(own[0][1].encode(), ranks, params)
-    for k, (doc_id, text) in enumerate(own):
-        next_text = own[k + 1][1] if k + 1 < len(own) else after[1]
-        filters, following = following, digest(next_text.encode(), ranks, params)
+    texts = [t for _, t in own] + [after[1]]
+    edits = []  # what stays of a text, and what comes from the next
+    for text, following in zip(texts, texts[1:]):
         cut = len(text) // 4
-        edited = (text[: len(text) - cut] + next_text[:cut]).encode()
-        changed = digest(edited, ranks, params)
-        out.append(
-            (None if doc_id == (1 << 63) - 1 else doc_id, len(text), hashlib.sha256(edited).hexdigest(), shown(filters), shown(changed), likeness(filters, changed), likeness(filters, following))
-        )
+        edits.append((text[: len(text) - cut].encode(), following[:cut].encode()))
+    data = [t.encode() for t in texts]
+    edited = [a + b for a, b in edits]
+    wide = levels_of(data)
+    # an edited text has the windows of both parts; only those across the seam are new
+    side = WINDOW - 1
+    seams = levels_of([a[-side:] + b[:side] for a, b in edits])
+    seen = [np.concatenate((w[: max(0, len(a) - side)], seam, v[: max(0, len(b) - side)])) for w, v, seam, (a, b) in zip(wide, wide[1:], seams, edits)]
+
+    def prints(items: list[bytes], levels: list[np.ndarray]) -> list[np.ndarray]:
+        narrow = levels_of([t if len(t) < SHORT else b"" for t in items], NARROW)
+        return [digest(t, w, n, ranks, params) for t, w, n in zip(items, levels, narrow)]
+
+    whole, changed = prints(data, wide), prints(edited, seen)
+    out = [
+        (None if doc_id == (1 << 63) - 1 else doc_id, len(text), hashlib.sha256(edited[k]).hexdigest(), shown(whole[k]), shown(changed[k]), likeness(whole[k], changed[k]), likeness(whole[k], whole[k + 1]))
+        for k, (doc_id, text) in enumerate(own)
+    ]
     kinds = (("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
     return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds)})
