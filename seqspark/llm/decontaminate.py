@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Documents are searched in runs of about so many bytes, whatever the Arrow batch holds.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 #: Bytes of the q-grams of a run that are hashed at a time, so that the arrays stay in cache.
 HASH_BYTES = 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
