@@ -17,7 +17,7 @@ from .pseudonyms import pseudonymize
 from .simhash import near_duplicate_groups
 from .token_count import token_counts
 from .toxicity import toxicity_scores
-from .unit_dedup import removed_by_document
+from .unit_dedup import repeated_text
 
 
 #: The key of the registered query; a user passes their own.
@@ -62,7 +62,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_by_document(read_table(spark, sf_dir, "documents"))
+    return repeated_text(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

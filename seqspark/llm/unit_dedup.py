@@ -7,6 +7,7 @@ removed. Offsets of all that is removed refer to the original text.
 Units are lines, paragraphs or (the default) the sentences of lines, because a passage that documents
 share may start in the middle of a line. Short units repeat by chance, so a removal must be long enough:
 consecutive repeated units form a run, and a run is removed if it has at least ``min_words`` words.
+``repeated_text`` takes lines and sentences together: lines of any length, runs by their characters.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from .names import spare_name
 UNITS = {
     "line": re.compile(r"[^\n]+"),
     "paragraph": re.compile(r"(?:[^\n]|\n(?!\n))+"),
-    "sentence": re.compile(r"[^\n.!?]*[.!?]+(?=\s|$)|[^\n.!?]+(?=\n|$)|[^\n]+?(?:[.!?]+(?=\s)|(?=\n|$))"),
+    "sentence": re.compile(r"[^\n.!?。！？｡]*(?:[。！？｡]+|[.!?]+(?=\s|$))|[^\n.!?。！？｡]+(?=\n|$)|[^\n]+?(?:[。！？｡]+|[.!?]+(?=\s)|(?=\n|$))"),
 }
 #: Words of the shortest run that is removed.
 MIN_WORDS = 12
+#: Characters of the shortest run that is removed from inside a line; whole lines have no floor.
+MIN_CHARS = 40
 
 
 def units_of(text: str, unit: str = "sentence") -> list[tuple[int, int, int, bytes]]:
@@ -123,3 +126,72 @@ def without_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = MI
 
     kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), gap), "")
     return docs.join(cut, "doc_id", "left").withColumn("text", F.when(spans.isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+
+
+def lines_and_sentences(text: str) -> list[tuple[int, int, int, int, bool, bytes]]:
+    """``(number, start, end, chars, whole, digest)`` of each sentence and of each line.
+
+    A line of one sentence is one unit, marked whole. A longer line comes after its sentences with the
+    number and start of its first and no characters of its own. The normal form is that of ``units_of``.
+    """
+    out, number = [], 0
+    for m in UNITS["line"].finditer(text):
+        found = [(a + m.start(), b + m.start(), digest) for a, b, _, digest in units_of(m.group())]
+        if len(found) == 1:
+            a, b, digest = found[0]
+            out.append((number, a, b, b - a, True, digest))
+        elif found:
+            out += [(number + i, a, b, b - a, False, digest) for i, (a, b, digest) in enumerate(found)]
+            body = " ".join(m.group().lower().split())
+            out.append((number, found[0][0], found[-1][1], 0, True, xxhash.xxh3_128_digest(body.encode())))
+        number += len(found)
+    return out
+
+
+def _lines_and_sentences(docs: DataFrame) -> DataFrame:
+    names = ["doc_id", "unit_no", "start", "end", "chars", "whole", "h1", "h2"]
+
+    def batch_of(ids: list, rows: list) -> pa.RecordBatch:
+        halves = np.frombuffer(b"".join(r[5] for r in rows), "<i8").reshape(-1, 2)
+        numbers = [pa.array([r[i] for r in rows], pa.int32()) for i in range(4)]
+        digests = [pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *numbers, pa.array([r[4] for r in rows], pa.bool_()), *digests], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = lines_and_sentences(text.as_py() or "")
+                ids += [doc_id] * len(found)
+                rows += found
+                if len(rows) >= 100_000:
+                    yield batch_of(ids, rows)
+                    ids, rows = [], []
+            yield batch_of(ids, rows)
+
+    schema = "doc_id long, unit_no int, start int, end int, chars int, whole boolean, h1 long, h2 long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def repeated_text(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(doc_id, n_removed, removed_chars, removed)`` as ``removed_by_document``, by lines and sentences.
+
+    Every line that repeats an earlier unit is removed whatever its length. A run of consecutive
+    repeated sentences is removed if it has ``min_chars`` characters, however many words these are.
+    """
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    units = _lines_and_sentences(docs)
+    rank = F.struct(last.alias("doc"), F.col("unit_no").alias("no"), F.col("start").alias("start"))
+    kept = units.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    kept = materialize(kept.select("h1", "h2", "kept"), "kept")
+    repeated = units.join(kept, ["h1", "h2"]).where((last != F.col("kept.doc")) | (F.col("unit_no") != F.col("kept.no")))
+    # a line has the place of its first sentence, and so the same dense rank and run
+    runs = repeated.withColumn("run", F.col("unit_no") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("unit_no", "start")))
+    span = F.struct("start", "end", F.col("kept.doc").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
+    first = F.min_by("kept", F.struct("unit_no", "whole"))
+    runs = runs.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("chars").alias("chars"), first.alias("kept"), F.collect_set(F.when(F.col("whole"), span)).alias("lines")
+    )
+    removed = F.when(F.col("chars") >= min_chars, F.array(span)).otherwise(F.col("lines"))
+    spans = runs.select("doc_id", F.explode(removed).alias("s"))
+    return spans.groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.sum(F.col("s.end") - F.col("s.start")).cast("long").alias("removed_chars"), F.sort_array(F.collect_list("s")).alias("removed"))
