@@ -1,13 +1,12 @@
-"""Substring dedup by hashing units of text.
+"""Substring dedup by hashing paragraphs, lines and sentences.
 
 A text is cut in units; each unit is normalised and digested; digests are grouped over the whole table;
 the earliest occurrence of each, by document id and place, is kept, and the other occurrences are
 removed. Offsets of all that is removed refer to the original text.
 
-Units are lines, paragraphs or (the default) the sentences of lines, because a passage that documents
-share may start in the middle of a line. Short units repeat by chance, so a removal must be long enough:
-consecutive repeated units form a run, and a run is removed if it has at least ``min_words`` words.
-``repeated_text`` takes lines and sentences together: lines of any length, runs by their characters.
+Paragraphs (lines up to a blank one) and lines are removed whatever their length. A passage that
+documents share may start inside a line, so lines are also cut in sentences; as short sentences repeat by
+chance, they are removed only in runs of consecutive repeated ones that are long enough.
 """
 
 from __future__ import annotations
@@ -18,180 +17,187 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqspark.session import materialize
 
 from .names import spare_name
 
-UNITS = {
-    "line": re.compile(r"[^\n]+"),
-    "paragraph": re.compile(r"(?:[^\n]|\n(?!\n))+"),
-    "sentence": re.compile(r"[^\n.!?。！？｡]*(?:[。！？｡]+|[.!?]+(?=\s|$))|[^\n.!?。！？｡]+(?=\n|$)|[^\n]+?(?:[。！？｡]+|[.!?]+(?=\s)|(?=\n|$))"),
-}
-#: Words of the shortest run that is removed.
-MIN_WORDS = 12
-#: Characters of the shortest run that is removed from inside a line; whole lines have no floor.
+SENTENCE, LINE, PARAGRAPH = 0, 1, 2
+LEVELS = (PARAGRAPH, LINE, SENTENCE)
+#: Where a sentence ends; no run of marks is looked at twice, so the scan is linear.
+ENDS = re.compile(r"[。！？｡]++|(?<![.!?])[.!?]++(?=\s|$)")
+#: Characters of the shortest run of sentences that is removed from inside a line.
 MIN_CHARS = 40
+#: Units that a task holds before it passes them on.
+HELD = 100_000
+LAST = (1 << 63) - 1
 
 
-def units_of(text: str, unit: str = "sentence") -> list[tuple[int, int, int, bytes]]:
-    """``(start, end, words, digest)`` of each unit with a word; outer white space is no part of it.
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode())
 
-    The normal form is lower case with single spaces.
-    """
-    out = []
-    for m in UNITS[unit].finditer(text):
-        body = m.group()
+
+def _sentences(line: str, at: int) -> Iterator[tuple[int, int, str]]:
+    """``(start, end, normal form)`` of the sentences of a line that begins at ``at``."""
+    begin = 0
+    for end in [*(m.end() for m in ENDS.finditer(line)), len(line)]:
+        body = line[begin:end]
         words = body.lower().split()
         if words:
-            start = m.start() + len(body) - len(body.lstrip())
-            out.append((start, m.end() - (len(body) - len(body.rstrip())), len(words), xxhash.xxh3_128_digest(" ".join(words).encode())))
-    return out
+            yield at + begin + len(body) - len(body.lstrip()), at + begin + len(body.rstrip()), " ".join(words)
+        begin = end
 
 
-def text_units(docs: DataFrame, unit: str = "sentence") -> DataFrame:
-    """``(doc_id, unit_no, start, end, words, h1, h2)`` of every unit; h1 and h2 are its 128-bit digest."""
+def units_of(text: str) -> list[tuple[int, int, int, int, bytes]]:
+    """``(level, number, start, end, digest)`` of the units of a text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, columns, digests, held = [], ([], [], [], []), [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = units_of(text.as_py() or "", unit)
-                ids += [doc_id] * len(found)
-                columns[0].extend(range(len(found)))
-                for start, end, words, digest in found:
-                    columns[1].append(start)
-                    columns[2].append(end)
-                    columns[3].append(words)
-                    digests.append(digest)
-                held += len(found)
-                if held >= 200_000:
-                    yield _unit_batch(ids, columns, digests)
-                    ids, columns, digests, held = [], ([], [], [], []), [], 0
-            yield _unit_batch(ids, columns, digests)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, unit_no int, start int, end int, words int, h1 long, h2 long")
-
-
-def _unit_batch(ids: list, columns: tuple, digests: list[bytes]) -> pa.RecordBatch:
-    halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), *(pa.array(c, pa.int32()) for c in columns), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
-        names=["doc_id", "unit_no", "start", "end", "words", "h1", "h2"],
-    )
-
-
-def repeated_runs(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, start, end, words, kept_doc_id, kept_start)`` of every run of units to remove.
-
-    The kept occurrence is that of the run's first unit. A unit is repeated if an earlier one, by
-    (doc_id, place), has the same digest; a null doc id counts as the last. Digest groups are reduced
-    to their earliest member before they are shuffled, and the join back to the units is an equi-join
-    between tables, whose hot digests adaptive execution can split.
-    """
-    units = text_units(docs, unit)
-    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.col("unit_no").alias("no"), F.col("start").alias("start"))
-    kept = units.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    kept = materialize(kept.select("h1", "h2", "kept"), "kept")
-    repeated = units.join(kept, ["h1", "h2"]).where((F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("kept.doc")) | (F.col("unit_no") != F.col("kept.no")))
-    by_place = Window.partitionBy("doc_id").orderBy("unit_no", "start")
-    # repeated rows of a document give each place more than once; dense ranks keep their runs whole
-    runs = repeated.withColumn("run", F.col("unit_no") - F.dense_rank().over(by_place))
-    first = F.min(F.struct("unit_no", "kept")).alias("first")
-    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("int").alias("words"), first)
-    return runs.where(F.col("words") >= min_words).select("doc_id", "start", "end", "words", F.col("first.kept.doc").alias("kept_doc_id"), F.col("first.kept.start").alias("kept_start"))
-
-
-def removed_by_document(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, n_removed, removed_chars, removed)`` of each document that loses text.
-
-    ``removed`` lists ``(start, end, kept_doc_id, kept_start)`` in order, as code-point offsets.
+    ``number`` is that of the first sentence within, counted over the text. Outer white space is no part
+    of a unit, and units of white space alone are none. The normal form is lower case with single
+    spaces. A line of one sentence is a line, and a paragraph of one line is a line, so no two units are
+    the same stretch.
     """
-    runs = repeated_runs(docs, unit, min_words)
-    spans = F.sort_array(F.collect_list(F.struct("start", "end", "kept_doc_id", "kept_start")))
-    return runs.groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.sum(F.col("end") - F.col("start")).cast("long").alias("removed_chars"), spans.alias("removed"))
+    out: list[tuple[int, int, int, int, bytes]] = []
+    number, at = 0, 0
+    lines: list[tuple[int, int, int, str]] = []
+
+    def close() -> None:
+        if len(lines) > 1:
+            out.append((PARAGRAPH, lines[0][0], lines[0][1], lines[-1][2], _digest(" ".join(x[3] for x in lines))))
+        lines.clear()
+
+    for line in text.split("\n"):
+        found = list(_sentences(line, at)) if line and not line.isspace() else []
+        at += len(line) + 1
+        if not found:
+            close()
+            continue
+        whole = " ".join(line.lower().split()) if len(found) > 1 else found[0][2]
+        lines.append((number, found[0][0], found[-1][1], whole))
+        out.append((LINE, number, found[0][0], found[-1][1], _digest(whole)))
+        if len(found) > 1:
+            out += [(SENTENCE, number + i, a, b, _digest(s)) for i, (a, b, s) in enumerate(found)]
+        number += len(found)
+    close()
+    return out
 
 
-def without_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the removed runs cut from ``text``; rows with a null id stay as they are."""
-    temp = spare_name(docs, "_removed")
-    cut = removed_by_document(docs, unit, min_words).select("doc_id", F.col("removed").alias(temp))
-    spans = F.col(temp)
+def text_units(docs: DataFrame, row_col: str | None = None) -> DataFrame:
+    """``(row, doc_id, level, no, start, end, h1, h2)`` of every unit; h1 and h2 are its 128-bit digest.
 
-    def gap(i: Column) -> Column:
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-        end = F.when(i == F.size(spans), F.length("text")).otherwise(F.get(spans, i)["start"])
-        return F.substring(F.col("text"), start + 1, end - start)
+    ``row`` tells the rows of ``docs`` apart, also where ids repeat or are null: it is ``row_col``, or
+    else counted in the task, so that the result must be written before it is used twice.
+    """
+    names = ["row", "doc_id", "level", "no", "start", "end", "h1", "h2"]
 
-    kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), gap), "")
-    return docs.join(cut, "doc_id", "left").withColumn("text", F.when(spans.isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    def batch_of(rows: list, ids: list, units: list) -> pa.RecordBatch:
+        halves = np.frombuffer(b"".join(u[4] for u in units), "<i8").reshape(-1, 2)
+        numbers = [pa.array([u[i] for u in units], pa.int32()) for i in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), *numbers, *(pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = TaskContext.get().partitionId() << 36
+        rows, ids, units = [], [], []
+        for batch in batches:
+            given = batch.column(2).to_pylist()
+            for doc_id, text, row in zip(batch.column(0).to_pylist(), batch.column(1), given):
+                found = units_of(text.as_py() or "")
+                rows += [count if row is None else row] * len(found)
+                ids += [doc_id] * len(found)
+                units += found
+                count += 1
+                if len(units) >= HELD:
+                    yield batch_of(rows, ids, units)
+                    rows, ids, units = [], [], []
+        yield batch_of(rows, ids, units)
+
+    row = F.lit(None).cast("long") if row_col is None else F.col(row_col)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")).mapInArrow(run, "row long, doc_id long, level int, no int, start int, end int, h1 long, h2 long")
 
 
-def lines_and_sentences(text: str) -> list[tuple[int, int, int, int, bool, bytes]]:
-    """``(number, start, end, chars, whole, digest)`` of each sentence and of each line.
+def removals(units: list[tuple[int, int, int, int, int, int]], min_chars: int) -> list[tuple[int, int, int, int]]:
+    """Disjoint ``(start, end, kept_doc_id, kept_start)`` from the repeated units of one text.
 
-    A line of one sentence is one unit, marked whole. A longer line comes after its sentences with the
-    number and start of its first and no characters of its own. The normal form is that of ``units_of``.
+    A unit is ``(level, number, start, end, kept_doc_id, kept_start)``. Overlapping stretches become one,
+    with the kept occurrence of the first, the longest of those that start there.
     """
-    out, number = [], 0
-    for m in UNITS["line"].finditer(text):
-        found = [(a + m.start(), b + m.start(), digest) for a, b, _, digest in units_of(m.group())]
-        if len(found) == 1:
-            a, b, digest = found[0]
-            out.append((number, a, b, b - a, True, digest))
-        elif found:
-            out += [(number + i, a, b, b - a, False, digest) for i, (a, b, digest) in enumerate(found)]
-            body = " ".join(m.group().lower().split())
-            out.append((number, found[0][0], found[-1][1], 0, True, xxhash.xxh3_128_digest(body.encode())))
-        number += len(found)
+    spans = [u[2:] for u in units if u[0] != SENTENCE]
+    # a line of one sentence continues a run; a longer line has its sentences beside it
+    single = sorted({u[1]: u for u in sorted(units, key=lambda u: -u[0]) if u[0] != PARAGRAPH}.values(), key=lambda u: u[1])
+    last, chars, span = -2, 0, None
+    for _, number, start, end, *kept in single:
+        if span is None or number != last + 1:
+            if span is not None and chars >= min_chars:
+                spans.append(span)
+            span, chars = (start, end, *kept), 0
+        chars += end - max(start, span[1] if chars else start)
+        span, last = (span[0], max(end, span[1]), *span[2:]), number
+    if span is not None and chars >= min_chars:
+        spans.append(span)
+    out: list[tuple[int, int, int, int]] = []
+    for start, end, doc, kept in sorted(spans, key=lambda s: (s[0], -s[1], s[2], s[3])):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), *out[-1][2:])
+        else:
+            out.append((start, end, doc, kept))
     return out
 
 
-def _lines_and_sentences(docs: DataFrame) -> DataFrame:
-    names = ["doc_id", "unit_no", "start", "end", "chars", "whole", "h1", "h2"]
+def _removed(units: DataFrame, min_chars: int) -> DataFrame:
+    """``(row, doc_id, n_removed, removed_chars, removed)`` from all units, which must be a written table.
 
-    def batch_of(ids: list, rows: list) -> pa.RecordBatch:
-        halves = np.frombuffer(b"".join(r[5] for r in rows), "<i8").reshape(-1, 2)
-        numbers = [pa.array([r[i] for r in rows], pa.int32()) for i in range(4)]
-        digests = [pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *numbers, pa.array([r[4] for r in rows], pa.bool_()), *digests], names=names)
+    Digest groups are reduced to their earliest member before they are shuffled, and the join back to the
+    units is an equi-join of tables, whose hot digests adaptive execution can split. What is gathered
+    after it is one document's own.
+    """
+    doc = F.coalesce("doc_id", F.lit(LAST))
+    first = units.groupBy("h1", "h2").agg(F.min(F.struct(doc.alias("doc"), "row", "start")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    kept = materialize(first.select("h1", "h2", F.col("kept.doc").alias("kept_doc_id"), F.col("kept.row").alias("kept_row"), F.col("kept.start").alias("kept_start")), "kept")
+    repeated = units.join(kept, ["h1", "h2"]).where((F.col("row") != F.col("kept_row")) | (F.col("start") != F.col("kept_start")))
+    own = repeated.groupBy("row", "doc_id").agg(F.collect_list(F.struct("level", "no", "start", "end", "kept_doc_id", "kept_start")).alias("units"))
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept_doc_id", pa.int64()), ("kept_start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = lines_and_sentences(text.as_py() or "")
-                ids += [doc_id] * len(found)
-                rows += found
-                if len(rows) >= 100_000:
-                    yield batch_of(ids, rows)
-                    ids, rows = [], []
-            yield batch_of(ids, rows)
+            found = [removals([tuple(u.values()) for u in units.as_py()], min_chars) for units in batch.column(2)]
+            spans = pa.array([[{"start": a, "end": b, "kept_doc_id": None if d == LAST else d, "kept_start": k} for a, b, d, k in x] for x in found], spans_type)
+            counts = pa.array([len(x) for x in found], pa.int64()), pa.array([sum(b - a for a, b, *_ in x) for x in found], pa.int64())
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, spans], names=["row", "doc_id", "n_removed", "removed_chars", "removed"])
+            yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
-    schema = "doc_id long, unit_no int, start int, end int, chars int, whole boolean, h1 long, h2 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return own.mapInArrow(run, "row long, doc_id long, n_removed long, removed_chars long, removed array<struct<start: int, end: int, kept_doc_id: long, kept_start: int>>")
 
 
-def repeated_text(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(doc_id, n_removed, removed_chars, removed)`` as ``removed_by_document``, by lines and sentences.
+def repeated_text(docs: DataFrame, min_chars: int = MIN_CHARS, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """``(doc_id, n_removed, removed_chars, removed)`` of every row that loses text.
 
-    Every line that repeats an earlier unit is removed whatever its length. A run of consecutive
-    repeated sentences is removed if it has ``min_chars`` characters, however many words these are.
+    ``removed`` lists ``(start, end, kept_doc_id, kept_start)`` in order, as code-point offsets in the
+    original text; the kept occurrence is that of the first unit of a stretch. Every paragraph and line
+    that repeats an earlier unit is removed whatever its length; a run of repeated sentences if they have
+    ``min_chars`` characters. Occurrences are ranked by doc id, null last, then by row and place; so of
+    repeated rows one keeps what it alone would keep, and the others lose all. Which of them is first is
+    not determined where ids repeat. Null, empty and blank texts have no unit. Extra columns are not read.
     """
-    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    units = _lines_and_sentences(docs)
-    rank = F.struct(last.alias("doc"), F.col("unit_no").alias("no"), F.col("start").alias("start"))
-    kept = units.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    kept = materialize(kept.select("h1", "h2", "kept"), "kept")
-    repeated = units.join(kept, ["h1", "h2"]).where((last != F.col("kept.doc")) | (F.col("unit_no") != F.col("kept.no")))
-    # a line has the place of its first sentence, and so the same dense rank and run
-    runs = repeated.withColumn("run", F.col("unit_no") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("unit_no", "start")))
-    span = F.struct("start", "end", F.col("kept.doc").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
-    first = F.min_by("kept", F.struct("unit_no", "whole"))
-    runs = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("chars").alias("chars"), first.alias("kept"), F.collect_set(F.when(F.col("whole"), span)).alias("lines")
-    )
-    removed = F.when(F.col("chars") >= min_chars, F.array(span)).otherwise(F.col("lines"))
-    spans = runs.select("doc_id", F.explode(removed).alias("s"))
-    return spans.groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.sum(F.col("s.end") - F.col("s.start")).cast("long").alias("removed_chars"), F.sort_array(F.collect_list("s")).alias("removed"))
+    units = materialize(text_units(docs).where(F.col("level").isin(*levels)), "units")
+    return _removed(units, min_chars).drop("row")
+
+
+def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """``docs`` with the removed stretches cut from ``text``; the rules are those of ``repeated_text``.
+
+    The rows are written with a number first, which joins them with what they lose.
+    """
+    row, removed = spare_name(docs, "_row"), spare_name(docs, "_removed")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    units = materialize(text_units(numbered, row).where(F.col("level").isin(*levels)), "units")
+    cut = _removed(units, min_chars).select(F.col("row").alias(row), F.col("removed").alias(removed))
+    spans = F.col(removed)
+
+    def gap(i: Column) -> Column:
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+        end = F.when(i == F.size(spans), F.length("text")).otherwise(F.get(spans, i)["start"])
+        return F.substring(F.col("text"), start + 1, end - start)
+
+    kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), gap), "")
+    return numbered.join(cut, row, "left").withColumn("text", F.when(spans.isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

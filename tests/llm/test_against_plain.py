@@ -11,10 +11,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from seqspark.llm import bpe, decontaminate, digest, graph, language, lattice_lm, pseudonyms, queries, simhash, token_count, toxicity, unit_dedup
+from tests.llm.test_near_copies import plain_survivors
+from seqspark.llm import bpe, decontaminate, digest, graph, language, lattice_lm, pseudonyms, queries, simhash, token_count, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,6 +132,37 @@ def test_language_is_right_on_held_out(spark):
     assert sum(r["rejected"] for r in rows) / len(rows) < 0.01
 
 
+def test_languages_equal_plain_compression(spark, texts):
+    """Each text against one compressor for each dictionary, without blocks shared between texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    dictionaries = language.learn_dictionaries(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"))
+    again = language.learn_dictionaries(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1").repartition(7))
+    assert dictionaries == again and set(dictionaries) == {"de", "en", "es", "fr"}
+    for doc_id, r in rows_of(spark, "op4_language").items():
+        words = [w for w in re.findall(r"[^\W\d_]+", texts[doc_id].lower())]
+        if not words:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        letters, sizes = " ".join(words), {}
+        for lang, content in dictionaries.items():
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            search = zstandard.ZstdCompressionParameters(**language.SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            one = zstandard.ZstdCompressor(compression_params=search, dict_data=data)
+            sizes[lang] = sum(len(one.compress(letters[i : i + 512].encode() + language.FILLER)) for i in range(0, len(letters), 512))
+        first, second = sorted(sizes, key=lambda x: (sizes[x], x))[:2]
+        assert r["lang_pred"] == first and r["rejected"] == (sizes[second] - sizes[first] < 0.02 * sizes[first])
+
+
+def test_ties_of_two_languages_are_rejected():
+    one, two = (b"oring retion thander " * 40 for _ in range(2))
+    classify = language.Classifier({"a": one, "b": two, "c": b"xylo quz jav " * 40}, language.LanguageParams())
+    for text in ("oring retion", "oring retion thander " * 200):
+        lang, score, rejected = classify(text)
+        assert lang == "a" and rejected and 0.4 < score <= 0.5
+    other = language.Classifier({"a": one, "c": b"xylo quz jav " * 40}, language.LanguageParams())
+    assert [other("thander oring retion")[i] for i in (0, 2)] == ["a", False]
+
+
 def test_entropy_levels_equal_plain(texts):
     data = np.frombuffer(texts[3].encode(), np.uint8)[:700]
     for window in (digest.WINDOW, digest.NARROW):
@@ -334,43 +367,6 @@ def test_toxicity_on_held_out(spark):
     assert hits > 0.9 and sum(caught) / len(caught) > 0.7
 
 
-def plain_removals(texts, min_words):
-    first, out = {}, defaultdict(list)
-    for doc_id in sorted(texts):
-        run = None
-        for start, end, words, mark in unit_dedup.units_of(texts[doc_id]):
-            if mark in first:
-                run = (run[0], end, run[2] + words) if run else (start, end, words)
-            else:
-                first[mark] = doc_id
-                if run and run[2] >= min_words:
-                    out[doc_id].append(run[:2])
-                run = None
-        if run and run[2] >= min_words:
-            out[doc_id].append(run[:2])
-    return dict(out)
-
-
-def test_removed_units_equal_plain(spark, texts):
-    passage = "Onhere the retion of thinor was anding. The estion and heed of inble, thanor. " * 3
-    more = {20_000: "Start one two. " + passage + "End.", 20_001: "Other. " + passage + "Tail of it.", 20_002: passage}
-    every = dict(texts) | more
-    got = unit_dedup.removed_by_document(spark.createDataFrame(list(every.items()), "doc_id long, text string")).collect()
-    want = plain_removals(every, unit_dedup.MIN_WORDS)
-    assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed"]] for r in got} == want and 20_001 in want and 20_002 in want
-    for r in got:
-        for s in r["removed"]:
-            own, kept = (unit_dedup.units_of(every[d][a:])[0] for d, a in ((r["doc_id"], s["start"]), (s["kept_doc_id"], s["kept_start"])))
-            assert own[3] == kept[3]
-
-
-@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
-def test_units_cover_all_words(texts, unit):
-    for text in list(texts.values())[:60]:
-        spans = unit_dedup.units_of(text, unit)
-        assert " ".join(text[a:b] for a, b, *_ in spans).split() == text.split() and all(a < b for a, b, *_ in spans)
-
-
 def test_pipeline_equals_plain_stages(spark, texts):
     import corpus_pipeline
 
@@ -378,9 +374,8 @@ def test_pipeline_equals_plain_stages(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labelled = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1").select("doc_id", "text", "lang")
     classify = language.Classifier(language.learn_dictionaries(labelled), language.LanguageParams())
-    kept = {i: t for i, t in texts.items() if classify(t)[1] >= 0.4}
-    groups = plain_groups({i: plain_fingerprint(t) for i, t in kept.items()})
-    kept = {i: t for i, t in kept.items() if groups[i] == i}
+    kept = {i: t for i, t in texts.items() if not classify(t)[2]}
+    kept = dict(plain_survivors(list(kept.items())))
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = {i: t for i, t in kept.items() if not any(b in t for b in items)}
     assert set(rows) == set(kept)

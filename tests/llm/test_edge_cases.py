@@ -57,7 +57,7 @@ def operators(docs, labels, benchmark):
         "scores": lambda d: lattice_lm.document_scores(d, piece),
         "pseudonyms": lambda d: pseudonyms.pseudonymize(d, "k"),
         "toxicity": lambda d: toxicity.toxicity_scores(d, labels),
-        "removed": unit_dedup.removed_by_document,
+        "removed": unit_dedup.repeated_text,
         "without_repeats": unit_dedup.without_repeats,
     }
 
