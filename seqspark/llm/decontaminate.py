@@ -2,12 +2,10 @@
 
 Texts are compared in a normal form: ASCII letters in lower case, every run of ASCII characters that
 are neither letters nor digits as one space. A passage of m characters within k edits of a document
-region keeps at least (m - q + 1) - k q of its q-grams, and those lie on few diagonals (position in
-the document less position in the passage). So shared q-grams are counted in overlapping diagonal
-bands; bands that meet the bound are regions, and a banded alignment decides them.
-
-Counting works on UTF-8 bytes: an edit of one character spoils at most q + 3 byte q-grams and moves
-the diagonal by 4 at most; bound and band width allow for that. The alignment counts characters.
+region keeps at least (m - q + 1) - k q of its q-grams, and those lie on at most k + 1 neighbouring
+diagonals (position in the document less position in the passage). So shared q-grams are counted in
+overlapping diagonal bands; bands that meet the bound are regions, and an alignment that fills only the
+2k + 1 diagonals around their q-grams decides them. Passages too short for the bound have shorter q-grams.
 """
 
 from __future__ import annotations
@@ -19,48 +17,54 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from seqspark.session import materialize
+
 #: Documents are searched in runs of about so many bytes, whatever the Arrow batch holds.
 RUN_BYTES = 1 << 20
-#: Bytes of the q-grams of a run that are hashed at a time, so that the arrays stay in cache.
-HASH_BYTES = 1 << 17
+#: Characters of a run that are hashed at a time, so that the arrays stay in cache.
+HASH_CHARS = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SPACE = 32
 
 RESULT = "doc_id long, item_id long, start long, end long, distance int, shared int"
 
 
 @dataclass(frozen=True)
 class LeakParams:
-    """q: bytes of a q-gram. edit_rate: edits allowed for each character of a passage. block_bytes:
-    passages are taken in blocks of at most so many bytes (one passage at least); each block is sent to
-    the executors and searched in all documents, so what is sent at once never grows with the table."""
+    """q: characters of a q-gram, at most. edit_rate: edits allowed for each character of a passage.
+    block_bytes: passages are taken in blocks of at most so many bytes (one passage at least); each block
+    is sent to the executors and searched in all documents, so what is sent at once never grows."""
 
     q: int = 12
     edit_rate: float = 0.04
     block_bytes: int = 1 << 20
 
 
-def _classes() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint8)
-    for b in range(128):
-        c = chr(b)
-        table[b] = ord(c.lower()) if c.isalnum() else 32
-    table[0] = 0  # parts documents; a text's own are blanked before
-    return table
+#: The normal form of each ASCII character; 0 parts documents, whose own are blanked before.
+CLASSES = np.array([ord(chr(b).lower()) if chr(b).isalnum() else SPACE * (b > 0) for b in range(128)], np.uint32)
 
 
-CLASSES = _classes()
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def normal_form(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The normal form of UTF-8 bytes and, for each of its bytes, the place in ``data``."""
-    own = CLASSES[data]
-    space = own == 32
+def normal_form(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The normal form of code points and, for each of its own, the place in ``codes``."""
+    own = np.where(codes < 128, CLASSES[codes & 127], codes)
+    space = own == SPACE
     keep = ~space
     keep[1:] |= ~space[:-1]
     places = np.flatnonzero(keep)
     return own[places], places
 
 
+def normal_passage(text: str | None) -> np.ndarray:
+    """The normal form of a passage, without outer spaces."""
+    codes = normal_form(code_points((text or "").replace("\0", " ")))[0]
+    solid = np.flatnonzero(codes != SPACE)
+    return codes[solid[0] : solid[-1] + 1] if len(solid) else codes[:0]
+
+
 def rolling_hashes(data: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of every window of q bytes, by doubling."""
     n = len(data) - q + 1
@@ -87,91 +91,98 @@ def rolling_hashes(data: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+class GramTable:
+    """The q-grams of one length of some passages, sorted by hash."""
+
+    def __init__(self, q: int, passages: list[tuple[int, np.ndarray]]):
+        grams = [rolling_hashes(codes, q) for _, codes in passages]
+        hashes = np.concatenate(grams)
+        order = np.argsort(hashes, kind="stable")
+        self.q, self.hashes = q, hashes[order]
+        self.owner = np.concatenate([np.full(len(g), k) for (k, _), g in zip(passages, grams)])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order]
+        self.shift = np.uint64(64 - max(12, int(64 * len(hashes)).bit_length()))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[self.hashes >> self.shift] = True
+
+    def hits(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for at in range(0, max(0, len(data) - self.q + 1), HASH_CHARS):
+            own = rolling_hashes(data[at : at + HASH_CHARS + self.q - 1], self.q)
+            maybe = np.flatnonzero(self.seen[own >> self.shift])
+            if not len(maybe):
+                continue
+            first = np.searchsorted(self.hashes, own[maybe])
+            count = np.searchsorted(self.hashes, own[maybe], side="right") - first
+            entry = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            yield np.repeat(maybe + at, count), self.owner[entry], self.place[entry]
+
+
 class PassageIndex:
-    """The q-grams of a block of passages, with the bound and band width of each."""
+    """The q-grams of a block of passages, with the edits and the bound of each.
+
+    A passage of m characters and k edits has q-grams of at most ``m // (k + 1)`` characters, so that one
+    at least stays whole. Passages without letters and digits are left out.
+    """
 
     def __init__(self, passages: list[tuple[int, str]], params: LeakParams):
-        self.q = q = params.q
-        self.ids, self.texts, need, width, grams, owner, place = [], [], [], [], [], [], []
-        self.edits: list[int] = []
+        self.ids, self.codes, self.edits, need = [], [], [], []
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in passages:
-            data = normal_form(np.frombuffer((text or "").replace("\0", " ").encode(), np.uint8))[0]
-            data = np.frombuffer(data.tobytes().strip(), np.uint8)
-            if len(data) < q:
+            codes = normal_passage(text)
+            m = len(codes)
+            if not m:
                 continue
-            chars = data.tobytes().decode()
-            k = int(params.edit_rate * len(chars))
-            while k and len(data) - q + 1 - k * (q + 3) < 1:
-                k -= 1
-            own = rolling_hashes(data, q)
-            grams.append(own)
-            owner.append(np.full(len(own), len(self.ids)))
-            place.append(np.arange(len(own)))
+            k = min(int(params.edit_rate * m), m - 1)
+            q = min(params.q, m // (k + 1))
+            by_length.setdefault(q, []).append((len(self.ids), codes))
             self.ids.append(item_id)
-            self.texts.append(chars)
+            self.codes.append(codes)
             self.edits.append(k)
-            need.append(len(own) - k * (q + 3))
-            width.append(4 * k + 1)
-        self.need, self.width = np.array(need, np.int64), np.array(width, np.int64)
-        empty = np.zeros(0, np.int64)
-        hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.owner = (np.concatenate(owner) if owner else empty)[order]
-        self.place = (np.concatenate(place) if place else empty)[order]
-        self.shift = np.uint64(64 - max(12, int(64 * max(1, len(hashes))).bit_length()))
-        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.seen[self.hashes >> self.shift] = True
+            need.append(m - q + 1 - k * q)
+        self.need, self.width = np.array(need, np.int64), np.array(self.edits, np.int64) + 1
+        self.tables = [GramTable(q, own) for q, own in sorted(by_length.items())]
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(position, passage, place in the passage)`` of every shared q-gram."""
-        positions, ranges = [], []
-        for at in range(0, max(0, len(data) - self.q + 1), HASH_BYTES):
-            own = rolling_hashes(data[at : at + HASH_BYTES + self.q - 1], self.q)
-            maybe = np.flatnonzero(self.seen[own >> self.shift])
-            if not len(maybe):
-                continue
-            wanted = own[maybe]
-            first = np.searchsorted(self.hashes, wanted)
-            found = self.hashes[np.minimum(first, len(self.hashes) - 1)] == wanted
-            positions.append(maybe[found] + at)
-            first = first[found]
-            ranges.append((first, np.searchsorted(self.hashes, wanted[found], side="right") - first))
-        if not positions:
-            empty = np.zeros(0, np.int64)
-            return empty, empty, empty
-        position = np.concatenate(positions)
-        first, count = (np.concatenate([r[i] for r in ranges]) for i in range(2))
-        entry = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.repeat(position, count), self.owner[entry], self.place[entry]
-
-
-def banded_distance(pattern: str, text: str, limit: int) -> tuple[int, int, int] | None:
-    """``(edits, start, end)`` of the best occurrence of all of ``pattern`` in ``text`` within ``limit``."""
-    at = text.find(pattern)
-    if at >= 0:
-        return 0, at, at + len(pattern)
-    if limit <= 0 or not text:
-        return (len(pattern), 0, 0) if len(pattern) <= limit else None
-    codes = np.array([ord(c) for c in text], np.int64)
-    n, far = len(text), limit + 1
-    costs, starts = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    step = np.arange(n + 1)
-    for i, c in enumerate(pattern, 1):
-        swap, drop = costs[:-1] + (codes != ord(c)), costs + 1
-        best, origin = drop.copy(), starts.copy()
-        better = swap < best[1:]
-        best[1:][better], origin[1:][better] = swap[better], starts[:-1][better]
-        # insertions: the least of best[j'] + (j - j') over j' <= j
-        run = np.minimum.accumulate((best - step) * (n + 2) + step)
-        source = run - (run // (n + 2)) * (n + 2)
-        costs, starts = np.minimum(best[source] + step - source, far + i), origin[source]
-    end = int(costs.argmin())
-    return (int(costs[end]), int(starts[end]), end) if costs[end] <= limit else None
+        found = [h for t in self.tables for h in t.hits(data)]
+        return tuple(np.concatenate([h[i] for h in found]) if found else np.zeros(0, np.int64) for i in range(3))
+
+
+def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int, limit: int) -> tuple[int, int, int] | None:
+    """``(edits, start, end)`` of the best occurrence of all of ``pattern`` in ``text`` within ``limit``.
+
+    Only the diagonals ``low`` to ``high`` are filled: place in the text less place in the pattern. Of
+    equally good ends the first counts.
+    """
+    n, size = len(text), high - low + 1
+    place = np.arange(low, high + 1)  # in the text, of each diagonal, before the row's pattern character
+    far = limit + 1
+    step = np.arange(size)
+    costs = np.where((place >= 0) & (place <= n), 0, far)
+    starts = place.copy()
+    padded = np.concatenate((np.zeros(max(0, -low), text.dtype), text[max(0, low) :], np.zeros(len(pattern) + size, text.dtype)))
+    for i, c in enumerate(pattern):
+        # padded starts at diagonal low, so row i of the band lies at i
+        best = costs + (padded[i : i + size] != c)
+        origin = starts.copy()
+        drop = costs[1:] + 1
+        better = drop < best[:-1]
+        best[:-1][better], origin[:-1][better] = drop[better], starts[1:][better]
+        place = place + 1
+        best[(place < 0) | (place > n)] = far
+        # insertions: the least of best[d'] + (d - d') over d' <= d
+        run = np.minimum.accumulate((best - step) * size + step)
+        source = run % size
+        costs, starts = np.minimum(best[source] + step - source, far), origin[source]
+        costs[(place < 0) | (place > n)] = far
+        if costs.min() > limit:
+            return None
+    at = int(costs.argmin())
+    return int(costs[at]), int(starts[at]), int(place[at])
 
 
 def _regions(index: PassageIndex, data: np.ndarray, places: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int, int, int]]:
-    """``(document, passage, from, to, shared)`` of the bands that meet the bound, in places of ``data``."""
+    """``(document, passage, lowest, highest diagonal, shared)`` around the bands that meet the bound."""
     position, passage, place = index.hits(data)
     found: dict[tuple[int, int, int, int], int] = {}
     if len(position):
@@ -188,47 +199,44 @@ def _regions(index: PassageIndex, data: np.ndarray, places: np.ndarray, ends: np
             first = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
             count = np.diff(np.concatenate((first, [len(order)])))
             item = passage[order[first]]
-            for f, n, p in zip(first[count >= index.need[item]], count[count >= index.need[item]], item[count >= index.need[item]]):
+            enough = count >= index.need[item]
+            for f, n, p in zip(first[enough], count[enough], item[enough].tolist()):
                 own = order[f : f + n]
                 docs = np.searchsorted(ends, places[position[own]], side="right")
+                k, need = index.edits[p], int(index.need[p])
                 for doc in np.unique(docs):
-                    mine = own[docs == doc]
-                    if len(mine) < index.need[p]:
-                        continue
-                    slack = int(index.width[p])
-                    starts = position[mine] - place[mine]
-                    region = (int(doc), int(p), int(starts.min()) - slack, int(starts.max()) + len(index.texts[p].encode()) + slack)
-                    found[region] = max(found.get(region, 0), len(mine))
+                    mine = np.sort((position - place)[own[docs == doc]])
+                    # an occurrence has its q-grams on diagonals d to d + k, and all of itself within k of d
+                    within = np.searchsorted(mine, mine + k, side="right") - np.arange(len(mine))
+                    begins = np.unique(mine[within >= need])
+                    while len(begins):
+                        chain = begins[begins <= begins[0] + 2 * k]
+                        region = (int(doc), p, int(chain[0]) - k, int(chain[-1]) + k)
+                        found[region] = max(found.get(region, 0), int(within.max()))
+                        begins = begins[len(chain) :]
     return {(*k, v) for k, v in found.items()}
 
 
-def _search(index: PassageIndex, ids: list, texts: list[bytes]) -> list[tuple]:
+def _search(index: PassageIndex, ids: list, texts: list[str]) -> list[tuple]:
     """Result rows of some documents."""
-    raw = np.frombuffer(b"\0".join(t.replace(b"\0", b" ") for t in texts), np.uint8)
+    raw = code_points("\0".join(t.replace("\0", " ") for t in texts))
     if not index.ids or not len(raw):
         return []
     data, places = normal_form(raw)
     ends = np.cumsum([len(t) + 1 for t in texts])
     begins = ends - np.array([len(t) + 1 for t in texts])
     rows: dict[tuple, tuple] = {}
-    for doc, p, lo, hi, shared in _regions(index, data, places, ends):
-        low, high = (int(x) for x in np.searchsorted(places, (begins[doc], ends[doc] - 1)))
-        lo, hi = max(lo, low), min(hi, high)
-        while lo > low and data[lo] & 0xC0 == 0x80:
-            lo -= 1
-        while hi < high and data[hi] & 0xC0 == 0x80:
-            hi += 1
-        text = data[lo:hi].tobytes().decode("utf-8", "replace")
-        best = banded_distance(index.texts[p], text, index.edits[p])
+    for doc, p, low, high, shared in _regions(index, data, places, ends):
+        pattern = index.codes[p]
+        first, last = (int(x) for x in np.searchsorted(places, (begins[doc], ends[doc] - 1)))
+        lo, hi = max(low, first), min(high + len(pattern), last)
+        k, m = index.edits[p], len(pattern)
+        whole = next((d for d in range(max(low + k, lo), high - k + 1) if d + m <= hi and np.array_equal(data[d : d + m], pattern)), None)
+        best = (0, whole - lo, whole - lo + m) if whole is not None else banded_distance(pattern, data[lo:hi], low - lo, high - lo, k)
         if best is None:
             continue
         edits, start, end = best
-        byte_at = lambda n: lo + len(text[:n].encode())
-        first, last = int(places[byte_at(start)]) - int(begins[doc]), int(places[byte_at(end) - 1]) - int(begins[doc])
-        while last + 1 < len(texts[doc]) and texts[doc][last + 1] & 0xC0 == 0x80:
-            last += 1
-        start = len(texts[doc][:first].decode("utf-8", "replace"))
-        end = len(texts[doc][: last + 1].decode("utf-8", "replace"))
+        start, end = int(places[lo + start] - begins[doc]), int(places[lo + end - 1] - begins[doc]) + 1
         key = (doc, p, start, end)
         if key not in rows or rows[key][5] < shared:
             rows[key] = (ids[doc], index.ids[p], start, end, edits, shared)
@@ -236,14 +244,20 @@ def _search(index: PassageIndex, ids: list, texts: list[bytes]) -> list[tuple]:
 
 
 def _blocks(benchmark: DataFrame, params: LeakParams) -> Iterator[list[tuple[int, str]]]:
-    """Passages in blocks of bounded size, one block on the driver at a time."""
+    """Passages in blocks of bounded size, one block on the driver at a time.
+
+    More than one block is written first, dealt by block, so that each is read once and alone.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * total // params.block_bytes)) if total > params.block_bytes else 1
+    n = -(-2 * total // params.block_bytes) if total > params.block_bytes else 1
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    if n > 1:
+        numbered = materialize(numbered, "passages", by="block")
     for block in range(n):
         held, size = [], 0
-        for r in numbered.where(F.col("block") == block).select("item_id", "text").distinct().toLocalIterator():
+        own = numbered.where(F.col("block") == block) if n > 1 else numbered
+        for r in own.select("item_id", "text").distinct().toLocalIterator():
             if held and size + len(r["text"].encode()) > params.block_bytes:
                 yield held
                 held, size = [], 0
@@ -258,23 +272,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
 
     ``start`` and ``end`` are code-point offsets in the original text, ``distance`` the edits between the
     normal forms, ``shared`` the shared q-grams counted. Every region within ``edit_rate`` edits a
-    character is found. Null and empty texts have no leak; passages whose normal form is shorter than
-    ``q`` bytes are never reported; repeated rows each give their rows; an empty benchmark gives an
-    empty table. Extra columns are not read. Narrow: no shuffle.
+    character is found, however short the passage; a passage without a letter or digit is never. Null
+    and empty texts have no leak; repeated rows each give their rows, repeated passages count once; an
+    empty benchmark gives an empty table. Extra columns are not read. Narrow: no shuffle. A benchmark of
+    more than one block takes one scan of the documents for each, whose results are written in turn.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= params.q)
-    found = None
-    for passages in _blocks(benchmark, params):
-        part = rows.mapInArrow(_searcher(passages, params), RESULT)
-        found = part if found is None else found.union(part)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text != ''")
+    found = _each_block(rows, benchmark, params, _searcher, RESULT)
     return found if found is not None else docs.sparkSession.createDataFrame([], RESULT)
 
 
-def _runs(keys, column: pa.Array) -> Iterator[tuple[list, list[bytes]]]:
-    """Keys and UTF-8 texts in runs of about RUN_BYTES; null texts are empty."""
+def _each_block(rows: DataFrame, benchmark: DataFrame, params: LeakParams, searcher, schema: str) -> DataFrame | None:
+    """Results of all blocks: of one block as a plan, of several from written tables."""
+    blocks = _blocks(benchmark, params)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return None
+    found = rows.mapInArrow(searcher(first, params), schema)
+    if second is None:
+        return found
+    found = materialize(found, "leaks")
+    while second is not None:
+        found = found.union(materialize(rows.mapInArrow(searcher(second, params), schema), "leaks"))
+        second = next(blocks, None)
+    return found
+
+
+def _runs(keys, column: pa.Array) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts in runs of about RUN_BYTES; null texts are empty."""
     held, texts, size = [], [], 0
     for key, text in zip(keys, column):
-        data = text.as_buffer().to_pybytes() if text.is_valid else b""
+        data = text.as_py() or ""
         if texts and size + len(data) > RUN_BYTES:
             yield held, texts
             held, texts, size = [], [], 0
@@ -299,26 +327,39 @@ def _searcher(passages: list[tuple[int, str]], params: LeakParams):
     return run
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark passage is found, with all their columns.
-
-    Each block of passages filters what the blocks before it left; nothing is shuffled. Null and empty
-    texts stay, and so do rows with a null id that are clean.
-    """
-    names = docs.columns
+def _keeper(names: list[str], leaking: bool = False):
+    """A searcher that passes whole rows on: those without a leak, or those with one."""
     at = names.index("text")
 
-    def keeper(passages: list[tuple[int, str]]):
+    def searcher(passages: list[tuple[int, str]], params: LeakParams):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = PassageIndex(passages, params)
             for batch in batches:
-                leaking: set[int] = set()
+                found: set[int] = set()
                 for rows, texts in _runs(range(batch.num_rows), batch.column(at)):
-                    leaking.update(r[0] for r in _search(index, rows, texts))
-                yield batch.filter(pa.array([i not in leaking for i in range(batch.num_rows)], pa.bool_()))
+                    found.update(r[0] for r in _search(index, rows, texts))
+                yield batch.filter(pa.array([(i in found) == leaking for i in range(batch.num_rows)], pa.bool_()))
 
         return run
 
-    for passages in _blocks(benchmark, params):
-        docs = docs.mapInArrow(keeper(passages), docs.schema)
-    return docs
+    return searcher
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark passage is found, with all their columns.
+
+    A benchmark of one block filters the rows in one narrow pass; of a larger one the hashes of leaking
+    texts are gathered block by block, and the rows are joined against them. Null and empty texts stay,
+    and so do rows with a null id that are clean.
+    """
+    blocks = _blocks(benchmark, params)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.mapInArrow(_keeper(docs.columns)(first, params), docs.schema)
+    marks = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    rows = docs.where("text != ''").select(*[m.alias(f"h{i}") for i, m in enumerate(marks)], "text")
+    found = _each_block(rows, benchmark, params, _keeper(rows.columns, leaking=True), "h0 long, h1 long, text string")
+    leaking = found.select("h0", "h1").distinct()
+    return docs.join(leaking, (marks[0] == leaking["h0"]) & (marks[1] == leaking["h1"]), "left_anti")

@@ -32,8 +32,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``edges(a, b)`` of longs, in either direction, repeated or not; loops are ignored and an empty
     table gives an empty one. Alternating large and small stars: a number of rounds in the order of
     the squared logarithm of the largest component, each a few aggregations that combine before they
-    shuffle. Each round is written to the shared folder, so no lineage grows and a lost executor costs
-    one round at most. Only two numbers a round reach the driver.
+    shuffle. Each round is written to the shared folder in place of the one before, so no lineage grows
+    and a lost executor costs one round at most. Only two numbers a round reach the driver.
     """
     edges = materialize(_clean(edges.select("a", "b")), "edges")
     state = None
@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if n == 0 or (n, mark) == state:
             break
         state = (n, mark)
-        edges = materialize(_clean(_small_star(_clean(_large_star(edges)))), "edges")
+        edges = materialize(_clean(_small_star(_clean(_large_star(edges)))), "edges", instead_of=edges)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()

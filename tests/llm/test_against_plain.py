@@ -83,43 +83,88 @@ def semi_global(pattern, text):
 
 def test_banded_distance_equals_plain():
     rng = random.Random(3)
-    for _ in range(300):
+    for _ in range(600):
         pattern = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
         text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))
         limit = rng.randint(0, 5)
-        best, plain = decontaminate.banded_distance(pattern, text, limit), semi_global(pattern, text)
+        codes = [decontaminate.code_points(x) for x in (pattern, text)]
+        best, plain = decontaminate.banded_distance(*codes, -len(pattern), len(text) + 1, limit), semi_global(pattern, text)
         assert (best is None) == (plain > limit)
         if best:
             assert best[0] == plain and semi_global(pattern, text[best[1] : best[2]]) == plain
+            low = best[1] - rng.randint(0, 2)  # a path starts on a diagonal of the band and stays near it
+            near = decontaminate.banded_distance(*codes, low - plain, low + plain + 2, limit)
+            assert near is not None and near[0] == plain
+
+
+def test_band_is_narrow():
+    """An alignment of a long passage touches 2k + 1 diagonals a row and not the text."""
+    rng = np.random.default_rng(1)
+    pattern = rng.integers(97, 123, 4000).astype(np.uint32)
+    index = decontaminate.PassageIndex([(0, pattern.tobytes().decode("utf-32-le"))], decontaminate.LeakParams())
+    changed = pattern.copy()
+    changed[rng.choice(4000, 160, replace=False)] = 35
+    text = np.concatenate((rng.integers(97, 123, 5000), np.delete(changed, 7), rng.integers(97, 123, 5000))).astype(np.uint32)
+    k = index.edits[0]
+    regions = decontaminate._regions(index, text, np.arange(len(text)), np.array([len(text) + 1]))
+    assert k == 160 and all(high - low + 1 <= 4 * k + 1 for _, _, low, high, _ in regions)
+
+
+def test_every_passage_length_equals_plain_search():
+    """Passages of 1 to 60 characters, planted with as many edits as the budget allows and one more."""
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    params = decontaminate.LeakParams(edit_rate=0.08)
+    passages = [(m, "".join(rng.choice(letters) for _ in range(m))) for m in range(1, 61)]
+    index = decontaminate.PassageIndex(passages, params)
+    assert index.ids == list(range(1, 61)) and index.edits == [int(0.08 * m) for m in range(1, 61)]
+    hits = 0
+    for (m, passage), k in zip(passages, index.edits):
+        for edits in (0, k, k + 1):
+            own = list(passage)
+            for at in rng.sample(range(m), min(m, edits)):
+                own[at] = rng.choice(("", "é", "xy"))
+            text = "".join(rng.choice(letters) for _ in range(80)) + "".join(own) + "".join(rng.choice(letters) for _ in range(80))
+            one = decontaminate.PassageIndex([(m, passage)], params)
+            best = min((r[4] for r in decontaminate._search(one, [0], [text])), default=None)
+            plain = semi_global(passage, text)
+            assert best == (plain if plain <= k else None), (passage, text)
+            hits += best is not None
+    assert hits > 80
 
 
 def test_leaks_equal_plain_search_with_edits(spark):
     rng = random.Random(7)
     letters = "abcdefghijklmnop "
-    items = ["".join(rng.choice(letters) for _ in range(n)).strip() for n in (30, 60, 120, 200, 250)]
+    items = ["".join(rng.choice(letters) for _ in range(n)).strip() for n in (9, 30, 60, 120, 200, 250)] + ["日本語の長い文章がここにあり、それは何度も繰り返される。"]
     docs = []
-    for i in range(60):
+    for i in range(70):
         own = "".join(rng.choice(letters) for _ in range(300))
-        passage = list(items[i % 5])
-        for _ in range(i // 5):
+        passage = list(items[i % 7])
+        for _ in range(i // 7):
             at = rng.randrange(len(passage))
             passage[at : at + rng.choice((0, 1))] = rng.choice(["x", "y", "é", ""])
         docs.append((i, own[:150] + ". " + "".join(passage).upper() + "!\n" + own[150:]))
-    params = decontaminate.LeakParams(block_bytes=300)  # several blocks
-    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), params)
-    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in found.collect()}
-    index = decontaminate.PassageIndex(list(enumerate(items)), params)
+    plain_form = lambda t: "".join(map(chr, decontaminate.normal_form(decontaminate.code_points(t))[0]))
+    index = decontaminate.PassageIndex(list(enumerate(items)), decontaminate.LeakParams())
     limits = dict(zip(index.ids, index.edits))
-    plain_form = lambda t: decontaminate.normal_form(np.frombuffer(t.encode(), np.uint8))[0].tobytes().decode()
     want = {}
     for doc_id, text in docs:
         for item, own in enumerate(items):
             distance = semi_global(plain_form(own).strip(), plain_form(text))
             if distance <= limits[item]:
                 want[doc_id, item] = distance
-    assert got == want and len(want) > 20
-    kept = decontaminate.without_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), params)
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
+    table, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for params in (decontaminate.LeakParams(), decontaminate.LeakParams(block_bytes=300)):  # one block and several
+        got: dict = {}
+        for r in decontaminate.find_leaks(table, benchmark, params).collect():
+            key = r["doc_id"], r["item_id"]
+            got[key] = min(got.get(key, 99), r["distance"])
+            own = plain_form(dict(docs)[r["doc_id"]][r["start"] : r["end"]])
+            assert semi_global(plain_form(items[r["item_id"]]).strip(), own) == r["distance"]
+        assert got == want and len(want) > 20
+        kept = decontaminate.without_leaks(table, benchmark, params)
+        assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
 def test_language_is_right_on_held_out(spark):

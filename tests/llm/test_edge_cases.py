@@ -38,7 +38,7 @@ def labels(spark):
 
 @pytest.fixture(scope="module")
 def benchmark(spark):
-    return spark.createDataFrame([(0, "einung und die keitlich"), (1, None), (2, ""), (3, "a"), (3, "a")], "item_id long, text string")
+    return spark.createDataFrame([(0, "einung und die keitlich"), (1, None), (2, ""), (3, "zqx"), (3, "zqx"), (4, " ?! ")], "item_id long, text string")
 
 
 @pytest.fixture(scope="module")
