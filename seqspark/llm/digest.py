@@ -1,11 +1,10 @@
 """Similarity digests of improbable features.
 
-Every window of 64 bytes is a feature; its rank is how rare its entropy is in the whole corpus. In each
-run of 64 neighbouring windows the rarest one is counted, and windows counted often enough are selected.
-Texts under 1024 bytes, which have few such windows, also give windows of 16 bytes, chosen the same way
-by their own ranks. Selected features are hashed into Bloom filters of 2048 bits, 160 features to a
-filter, chained. Two digests are compared filter by filter by the bits they share beyond what chance
-would give.
+Every window of 16 bytes is a feature; its rank is how rare its entropy is in the whole corpus. In each
+run of 16 neighbouring windows the rarest one is counted, and windows counted often enough are selected.
+Selected features are hashed into Bloom filters of 2048 bits, 160 features to a filter, chained. Two
+digests are compared filter by filter by the bits they share beyond what chance would give. Texts of all
+lengths follow the same rule.
 """
 
 from __future__ import annotations
@@ -19,25 +18,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-WINDOW, NARROW = 64, 16
-#: Texts of fewer bytes also give narrow windows.
-SHORT = 1024
-#: Steps of entropy that are told apart, for each window size.
+WINDOW = 16
+#: Steps of entropy that are told apart.
 LEVELS = 1024
 BITS = 2048
 #: Bytes that are worked on at a time.
 BLOCK = 1 << 18
+LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class DigestParams:
     """popularity: share of the runs around a window in which it must be the rarest. features: in a filter,
-    at most. probes: bits that a feature sets. part_rows: documents of one range of ids, which a task holds together."""
+    at most. probes: bits that a feature sets. range_bytes: text of one range of ids, on average.
+    range_draws: ids that are drawn for each range, to find its bounds. run_bytes: text that is compared
+    at a time."""
 
     popularity: float = 0.25
     features: int = 160
     probes: int = 5
-    part_rows: int = 400
+    range_bytes: int = 32 << 20
+    range_draws: int = 8
+    run_bytes: int = 2 << 20
 
 
 def _gains() -> np.ndarray:
@@ -137,17 +139,12 @@ def _selected(data: np.ndarray, levels: np.ndarray, ranks: np.ndarray, window: i
     return np.concatenate(out)
 
 
-def digest(text: bytes, wide: np.ndarray, narrow: np.ndarray | None, ranks: np.ndarray, params: DigestParams = DigestParams()) -> np.ndarray:
-    """Filters as rows of 64-bit words, from a text and its levels for both window sizes.
-
-    No bytes give no filter. ``ranks`` has a row for each window size.
-    """
+def digest(text: bytes, levels: np.ndarray, ranks: np.ndarray, params: DigestParams = DigestParams()) -> np.ndarray:
+    """Filters as rows of 64-bit words, from a text and its levels. No bytes give no filter; fewer bytes
+    than a window are one feature, filled up with zeros."""
     if not text:
         return np.zeros((0, BITS // 64), np.uint64)
-    data = np.frombuffer(text, np.uint8)
-    hashes = _selected(data, wide, ranks[0], WINDOW, params) if len(data) >= WINDOW else np.zeros(0, np.uint64)
-    if len(data) < SHORT:
-        hashes = np.concatenate((hashes, _selected(data, narrow, ranks[1], NARROW, params)))
+    hashes = _selected(np.frombuffer(text, np.uint8), levels, ranks, WINDOW, params)
     n = len(hashes)
     out = np.zeros((-(-n // params.features), BITS // 8), np.uint8)
     which = (np.arange(n) // params.features)[:, None]
@@ -195,103 +192,130 @@ def _runs(column: pa.Array) -> Iterator[list[bytes]]:
 
 
 def entropy_ranks(docs: DataFrame) -> np.ndarray:
-    """For each window size, the rank of every entropy level, the rarest first, counted over all windows.
+    """The rank of every entropy level, the rarest first, counted over all windows.
 
-    At most a row for each level and size reaches the driver; ties go to the lower level.
+    At most a row for each level reaches the driver; ties go to the lower level.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * LEVELS, np.int64)
+        total = np.zeros(LEVELS, np.int64)
         for batch in batches:
             for texts in _runs(batch.column(0)):
-                total[:LEVELS] += np.bincount(np.concatenate(levels_of(texts)), minlength=LEVELS)
-                short = [t for t in texts if len(t) < SHORT]
-                if short:
-                    total[LEVELS:] += np.bincount(np.concatenate(levels_of(short, NARROW)), minlength=LEVELS)
+                total += np.bincount(np.concatenate(levels_of(texts)), minlength=LEVELS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["level", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((2, LEVELS), np.int64)
-    for r in rows:
-        counts[divmod(r["level"], LEVELS)] = r["n"]
-    ranks = np.empty((2, LEVELS), np.int64)
-    for own, n in zip(ranks, counts):
-        own[np.lexsort((np.arange(LEVELS), n))] = np.arange(LEVELS)
+    counts = np.zeros(LEVELS, np.int64)
+    for r in docs.select("text").mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+        counts[r["level"]] = r["n"]
+    ranks = np.empty(LEVELS, np.int64)
+    ranks[np.lexsort((np.arange(LEVELS), counts))] = np.arange(LEVELS)
     return ranks
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+KINDS = (("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
+
+
+def _bounds(rows: DataFrame, params: DigestParams) -> list[tuple[int, int]]:
+    """The first row of each range as (doc_id, mark), in order; they are rows that occur.
+
+    Their number follows the bytes of text. They come from a draw of rows by their hash, ``range_draws``
+    for each range, which is what Spark's own range partitioning sends to the driver as well, only less.
+    """
+    least, total, n = rows.agg(F.min(F.struct("doc_id", "mark")), F.sum(F.octet_length("text")), F.count("*")).first()
+    if not n:
+        return []
+    parts = -(-total // params.range_bytes)
+    if parts < 2:
+        return [tuple(least)]
+    share = min(1.0, params.range_draws * parts / n)
+    draw = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(1 << 40)) < int(share * (1 << 40))
+    drawn = sorted(tuple(r) for r in rows.where(draw).select("doc_id", "mark").distinct().collect())
+    inner = drawn[params.range_draws // 2 :: params.range_draws]
+    return sorted({tuple(least), *inner})
+
+
+def _range_of(edges: list[tuple[int, int]], ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each row, and whether it is the first of its range."""
+    first, second = (np.array(x, np.int64) for x in zip(*edges))
+    low, high = np.searchsorted(first, ids), np.searchsorted(first, ids, side="right")
+    part = high - 1
+    for k in np.flatnonzero(high > low):  # ids that bound a range are told apart by their marks
+        part[k] = low[k] + np.searchsorted(second[low[k] : high[k]], marks[k], side="right") - 1
+    return part, (first[part] == ids) & (second[part] == marks)
 
 
 def document_digests(docs: DataFrame, params: DigestParams = DigestParams()) -> DataFrame:
     """``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many, or all, of
-    the next document by ascending id; after the last comes the first. Rows are ordered by (id, text), so
-    repeated rows follow each other; null ids come last, null texts are empty. Documents are dealt by
-    ranges of ids, whose bounds are ids that occur; the first document of each range is also sent to the
-    range before it, so each range finds its next documents in itself.
+    the next document by ascending id; after the last comes the first. Rows of one id are ordered by a
+    hash of their text; null ids come last, null texts are empty. Rows are dealt by ranges of that order,
+    whose bounds are rows that occur; the first row of each range is also sent to the range before it, so
+    each range finds its next documents in itself. Ranges are sorted and then read as a stream, so a task
+    holds ``run_bytes`` of text, or one document that is longer. Rows equal in id and text share a range.
     """
-    ranks = entropy_ranks(docs)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    n = ids.count()
-    if not n:
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    edges = _bounds(rows, params)
+    if not edges:
         return docs.sparkSession.createDataFrame([], RESULT)
-    parts = max(1, -(-n // params.part_rows))
-    if parts > 1:
-        cuts = [k / parts for k in range(1, parts)]
-        bounds = ids.agg(F.percentile_approx("doc_id", cuts, 10 * parts), F.min("doc_id")).first()
-        least, inner = bounds[1], sorted(set(bounds[0]) - {bounds[1]})
-    else:
-        least, inner = ids.agg(F.min("doc_id")).first()[0], []
-    edges = np.array([least, *inner], np.int64)
+    ranks = entropy_ranks(docs)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(edges, own, side="right") - 1
-            halo = np.flatnonzero(edges[part] == own)
-            take = pa.array(np.concatenate((np.arange(len(own)), halo)))
+            part, first = _range_of(edges, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
+            halo = []
+            for k in np.flatnonzero(first):
+                if part[k] not in sent:  # of equal rows one is enough
+                    sent.add(part[k])
+                    halo.append(k)
+            take = pa.array(np.concatenate((np.arange(len(part)), np.array(halo, np.int64))))
             where = np.concatenate((part, (part[halo] - 1) % len(edges)))
-            late = np.concatenate((np.zeros(len(own), bool), np.ones(len(halo), bool)))
-            # what another range gets of a long document is all of it: its digest is compared too
-            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(late), batch.column(0).take(take), batch.column(1).take(take)], names=["part", "late", "doc_id", "text"])
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        late = table.column("late").to_numpy()
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        own = sorted((ids[i], texts[i]) for i in np.flatnonzero(~late))
-        halo = sorted((ids[i], texts[i]) for i in np.flatnonzero(late))
-        return _compare(own, halo[0], ranks, params)
-
-    parted = rows.mapInArrow(dealt, "part long, late boolean, doc_id long, text string")
-    return parted.groupBy("part").applyInArrow(compare, RESULT)
+            late = np.concatenate((np.zeros(len(part), bool), np.ones(len(halo), bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(late), *(c.take(take) for c in batch.columns)], names=["part", "late", "doc_id", "mark", "text"])
 
-
-def _compare(own: list[tuple[int, str]], after: tuple[int, str], ranks: np.ndarray, params: DigestParams) -> pa.Table:
-    texts = [t for _, t in own] + [after[1]]
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, str]] = []
+        part, ended, size = None, False, 0
+        for batch in batches:
+            for own, late, doc_id, value in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                if own != part:
+                    part, ended = own, False
+                if ended:
+                    continue
+                value = value.as_py()
+                held.append((doc_id, value))
+                size += len(value)
+                ended = late
+                if late or size > params.run_bytes and len(held) > 1:
+                    yield _compare(held, ranks, params)
+                    held, size = ([], 0) if late else (held[-1:], len(value))
+
+    parted = rows.mapInArrow(dealt, "part long, late boolean, doc_id long, mark long, text string")
+    ordered = parted.repartition("part").sortWithinPartitions("part", "late", "doc_id", "mark")
+    return ordered.select("part", "late", "doc_id", "text").mapInArrow(compare, RESULT)
+
+
+def _compare(rows: list[tuple[int, str]], ranks: np.ndarray, params: DigestParams) -> pa.RecordBatch:
+    """Results of all rows but the last, which follows them."""
+    texts = [t for _, t in rows]
     edits = []  # what stays of a text, and what comes from the next
     for text, following in zip(texts, texts[1:]):
         cut = len(text) // 4
         edits.append((text[: len(text) - cut].encode(), following[:cut].encode()))
     data = [t.encode() for t in texts]
     edited = [a + b for a, b in edits]
-    wide = levels_of(data)
+    levels = levels_of(data)
     # an edited text has the windows of both parts; only those across the seam are new
     side = WINDOW - 1
     seams = levels_of([a[-side:] + b[:side] for a, b in edits])
-    seen = [np.concatenate((w[: max(0, len(a) - side)], seam, v[: max(0, len(b) - side)])) for w, v, seam, (a, b) in zip(wide, wide[1:], seams, edits)]
-
-    def prints(items: list[bytes], levels: list[np.ndarray]) -> list[np.ndarray]:
-        narrow = levels_of([t if len(t) < SHORT else b"" for t in items], NARROW)
-        return [digest(t, w, n, ranks, params) for t, w, n in zip(items, levels, narrow)]
-
-    whole, changed = prints(data, wide), prints(edited, seen)
+    seen = [np.concatenate((w[: max(0, len(a) - side)], seam, v[: max(0, len(b) - side)])) for w, v, seam, (a, b) in zip(levels, levels[1:], seams, edits)]
+    whole, changed = ([digest(t, w, ranks, params) for t, w in zip(*x)] for x in ((data, levels), (edited, seen)))
     out = [
-        (None if doc_id == (1 << 63) - 1 else doc_id, len(text), hashlib.sha256(edited[k]).hexdigest(), shown(whole[k]), shown(changed[k]), likeness(whole[k], changed[k]), likeness(whole[k], whole[k + 1]))
-        for k, (doc_id, text) in enumerate(own)
+        (None if doc_id == LAST else doc_id, len(text), hashlib.sha256(edited[k]).hexdigest(), shown(whole[k]), shown(changed[k]), likeness(whole[k], changed[k]), likeness(whole[k], whole[k + 1]))
+        for k, (doc_id, text) in enumerate(rows[:-1])
     ]
-    kinds = (("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
-    return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds)})
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(KINDS)], names=[name for name, _ in KINDS])
