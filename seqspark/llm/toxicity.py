@@ -3,9 +3,11 @@
 Labels are of whole documents, so token labels are inferred first: over all labelled training documents,
 words and beginnings of words are counted by how many toxic and how many other documents hold them, and
 those that speak for toxic documents most clearly are the candidates; a token with a candidate in a toxic
-document is a toxic token, all other tokens are not. On these token labels a chain with two states is
-trained by exact gradients (forward-backward). Its marginals give the offending offsets; a logistic curve
-over their sum and maximum and the length, fitted to the document labels, gives the score of a document.
+document is a toxic token, all other tokens are not. From these labelled tokens a chain with two states is
+trained by exact gradients (forward-backward). Every token has features: its word, beginnings of it, its
+shape and its neighbours; what has never been seen has no weight. The marginals of the chain give the
+offending offsets; a logistic curve over their sum and maximum and the length, fitted to the document
+labels, gives the score of a document.
 """
 
 from __future__ import annotations
@@ -17,189 +19,196 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from seqspark.session import materialize
 
 from .language import crc_of
-from .vocab import Memo
 
 WORD = re.compile(r"\w+")
+#: Tokens of one column when a chain is run, and tokens that are run together.
+COLUMN, TOGETHER = 128, 1 << 18
+#: Words that a worker remembers.
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
 class ToxicParams:
-    """documents: labelled documents of each label that train the chain and the curve, at most; they are
-    those with the smallest hash of their id. chars: characters of each that are used for training.
+    """documents, sample_bytes: labelled documents of each label that train the chain and the curve, whole,
+    at most so many and with so much text; they are those with the smallest hash of id and text.
     candidates: words, at most. support, ratio: toxic documents that must hold a candidate, and how many
     times likelier it must be in them. prefixes: lengths of the beginnings of words that count besides
-    whole words. steps, rate, decay: of the gradient ascent. broadcast_labels: labels that are sent to
-    the documents, at most; more are joined by a shuffle."""
+    whole words. bits: of the table of feature weights. steps, rate, decay: of the gradient ascent.
+    broadcast_labels: labels that are sent to the documents, at most; more are joined by a shuffle."""
 
     documents: int = 1_500
-    chars: int = 20_000
+    sample_bytes: int = 16 << 20
     candidates: int = 2_000
     support: int = 3
     ratio: float = 8.0
     prefixes: tuple[int, ...] = (4, 5, 6, 7)
-    steps: int = 120
+    bits: int = 20
+    steps: int = 60
     rate: float = 0.5
     decay: float = 1e-3
     broadcast_labels: int = 1_000_000
 
 
+def features_of(word: str, prefixes: tuple[int, ...]) -> list[str]:
+    """The word, written with a closing ``$``, and its beginnings, longest first."""
+    return [word + "$", *(word[:k] for k in sorted(prefixes, reverse=True) if k < len(word))]
+
+
+def shape_of(word: str) -> str:
+    return "digit" if word.isdigit() else "title" if word.istitle() else "upper" if word.isupper() else "lower" if word.islower() else "other"
+
+
 @dataclass
 class Chain:
-    """Scores of state 1 against state 0: for each candidate, for other words, and for the transitions.
+    """Scores of state 1 against state 0: a table of feature weights, what every token has, and moves.
 
-    A token's factor is that of its longest candidate: the whole word, written with a closing ``$``, or
-    a beginning of it.
+    ``move[a, b]`` is the score of state b after state a; ``curve`` turns marginals into a document score.
     """
 
-    words: dict[str, int] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
+    bias: float = -4.0
     prefixes: tuple[int, ...] = ()
-    emit: np.ndarray = field(default_factory=lambda: np.array([-6.0]))  # the last is that of other words
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     curve: tuple[float, float, float, float] = (-6.0, 0.0, 0.0, 0.0)
 
-    def __post_init__(self) -> None:
-        self.of_word = Memo(self._feature, 200_000)
-
-    def __reduce__(self):
-        return Chain, (self.words, self.prefixes, self.emit, self.move, self.curve)
-
-    def _feature(self, word: str) -> int:
-        """The number of the longest candidate in a word, or -1."""
-        for part in features_of(word, self.prefixes):
-            if part in self.words:
-                return self.words[part]
-        return -1
-
-    def tokens(self, text: str) -> tuple[list[int], list[int], int]:
-        """Places of candidates among the words of a lower-case text, their numbers, and the number of words."""
-        found = list(map(self.of_word.__getitem__, WORD.findall(text)))
-        places = [i for i, f in enumerate(found) if f >= 0]
-        return places, [found[i] for i in places], len(found)
-
-
-def features_of(word: str, prefixes: tuple[int, ...]) -> list[str]:
-    """The word and its beginnings, longest first."""
-    return [word + "$", *(word[:k] for k in sorted(prefixes, reverse=True) if k < len(word))]
-
-
-def _power(m: np.ndarray, k: int, held: dict) -> np.ndarray:
-    """m to the k, scaled to a greatest entry of 1."""
-    if k not in held:
-        if k == 0:
-            held[k] = np.eye(2)
-        else:
-            half = _power(m, k // 2, held)
-            out = half @ half
-            if k % 2:
-                out = out @ m
-            held[k] = out / out.max()
-        if len(held) > 4096:
-            kept = held[k]
-            held.clear()
-            held[k] = kept
-    return held[k]
-
-
-def marginals(chain: Chain, features: list[int], places: list[int], n: int, held: dict) -> np.ndarray:
-    """Probability of state 1 at each candidate place, given all n words.
-
-    Words that are no candidates have one and the same factor, so a gap is one power of a matrix, and a
-    text costs as much as it has candidates.
+    def places(self, word: str) -> tuple[list[int], int, int]:
+        """Places in the table: of a token's own features, of being the word before, and the word after."""
+        low, mask = word.lower(), len(self.weights) - 1
+        at = lambda kind, value: xxhash.xxh3_64_intdigest(f"{kind}{value}") & mask
+        own = [at("=", x) for x in features_of(low, self.prefixes)] + [at("#", shape_of(word))]
+        return own, at("<", low), at(">", low)
+
+
+class Emissions:
+    """Emission scores of the words of texts under a chain; words are remembered, a bounded number."""
+
+    def __init__(self, chain: Chain):
+        self.chain, self.number, self.scores = chain, {}, np.zeros((1024, 3))
+
+    def _of(self, word: str) -> int:
+        k = self.number.get(word)
+        if k is None:
+            own, before, after = self.chain.places(word)
+            w = self.chain.weights
+            k = self.number[word] = len(self.number)
+            if k == len(self.scores):
+                self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+            self.scores[k] = float(w[own].sum()) + self.chain.bias, w[before], w[after]
+        return k
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > REMEMBERED:
+            self.number.clear()
+        ids = np.fromiter(map(self._of, words), np.int64, len(words))
+        rows = self.scores[ids]
+        out = rows[:, 0].copy()
+        out[1:] += rows[:-1, 1]
+        out[:-1] += rows[1:, 2]
+        return out
+
+
+def _ratios(gain: np.ndarray, first: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``r[t] = gain[t] (m01 + m11 r[t-1]) / (m00 + m10 r[t-1])``, and ``gain[t]`` where a text begins.
+
+    Each step is a linear map of (numerator, denominator). Columns of tokens are composed side by side,
+    then the columns are walked, then all ratios follow: three passes, exact for texts of any length.
     """
-    if not places:
-        return np.zeros(0)
-    move = np.exp(chain.move)
-    other = move * np.exp([0.0, chain.emit[-1]])
-    forward = []
-    state, last = np.ones(2), -1
-    for place, f in zip(places, features):
-        gap = place - last - 1
-        if last < 0:
-            state = np.array([1.0, math.exp(chain.emit[-1])]) @ _power(other, gap - 1, held) if gap else state
-            state = state @ move if gap else state
-        else:
-            state = state @ _power(other, gap, held) @ move
-        state = state * np.exp([0.0, chain.emit[f]])
-        state /= state.sum()
-        forward.append(state)
-        last = place
-    out = np.zeros(len(places))
-    back = _power(other, n - 1 - last, held) @ np.ones(2)
-    for k in range(len(places) - 1, -1, -1):
-        both = forward[k] * back
-        out[k] = both[1] / both.sum()
-        if k:
-            factor = move * np.exp([0.0, chain.emit[features[k]]])
-            back = _power(other, places[k] - places[k - 1] - 1, held) @ factor @ back
-            back /= back.sum()
-    return out
-
-
-def _train_chain(chain: Chain, texts: list[tuple[list[int], list[int], int, int]], params: ToxicParams) -> None:
-    """Exact gradient ascent over runs: a text is candidates and the gaps between them.
-
-    For training, gaps are cut to three words at most around candidates: words far from any candidate
-    have state 0 for certain, and only scale the likelihood.
-    """
-    sequences = []
-    for places, features, n, toxic in texts:
-        seq: list[int] = []
-        last = -4
-        for p, f in zip(places, features):
-            seq += [-1] * min(3, p - last - 1, p) + [f]
-            last = p
-        seq += [-1] * (min(3, n - 1 - last) if places else min(3, n))
-        if seq:
-            sequences.append((np.array(seq), np.array([int(f >= 0 and toxic) for f in seq])))
-    if not sequences:
+    n = len(gain)
+    size = min(COLUMN, max(1, n))
+    wide = -(-n // size)
+    own, begins = np.ones(wide * size), np.ones(wide * size, bool)
+    own[:n], begins[:n] = gain, first
+    own, begins = own.reshape(wide, size).T, begins.reshape(wide, size).T
+    a, b = np.ones(wide), np.zeros(wide)  # r -> (a r + b) / (c r + d)
+    c, d = np.zeros(wide), np.ones(wide)
+    for g, start in zip(own, begins):
+        a, b, c, d = g * (m[1, 1] * a + m[0, 1] * c), g * (m[1, 1] * b + m[0, 1] * d), m[1, 0] * a + m[0, 0] * c, m[1, 0] * b + m[0, 0] * d
+        top = np.maximum(np.maximum(a, b), np.maximum(c, d))
+        a, b, c, d = a / top, b / top, c / top, d / top
+        a, b, c, d = np.where(start, 0, a), np.where(start, g, b), np.where(start, 0, c), np.where(start, 1, d)
+    enter = np.ones(wide)
+    r = 1.0
+    for k, (x, y, z, w) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())):
+        enter[k] = r
+        r = (x * r + y) / (z * r + w)
+    out, r = np.empty((size, wide)), enter
+    for i, (g, start) in enumerate(zip(own, begins)):
+        r = np.where(start, g, g * (m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r))
+        out[i] = r
+    return out.T.ravel()[:n]
+
+
+def _forward_backward(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of state 1 of the tokens of texts that follow each other, the ratios of state 1 to 0 from
+    before (token included) and from behind (token included), and where texts begin."""
+    gain, m = np.exp(np.clip(emit, -30, 30)), np.exp(move)
+    ends = np.cumsum(lengths[lengths > 0])
+    first, last = np.zeros(len(emit), bool), np.zeros(len(emit), bool)
+    last[ends - 1] = True
+    first[ends - lengths[lengths > 0]] = True
+    before = _ratios(gain, first, m)
+    behind = _ratios(gain[::-1], last[::-1], m.T)[::-1]
+    odds = before * (behind / gain)
+    return odds / (1 + odds), before, behind, first
+
+
+def marginals(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Probability of state 1 at each token."""
+    return _forward_backward(emit, lengths, move)[0] if len(emit) else np.zeros(0)
+
+
+def _train_chain(chain: Chain, texts: list[list[str]], tags: list[np.ndarray], params: ToxicParams) -> None:
+    """Exact gradient ascent on the log likelihood of the tags, over whole texts with all their tokens."""
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for t in texts for w in t], np.int64)
+    if not len(ids):
         return
-    size = max(len(f) for f, _ in sequences)
-    sequences.sort(key=lambda s: len(s[0]))
-    groups = []
-    for at in range(0, len(sequences), 256):
-        own = sequences[at : at + 256]
-        length = min(len(own[-1][0]), 400, size)
-        feats = np.full((len(own), length), -2)
-        tags = np.zeros((len(own), length), np.int64)
-        for i, (f, t) in enumerate(own):
-            feats[i, : len(f[:length])], tags[i, : len(f[:length])] = f[:length], t[:length]
-        groups.append((feats, tags))
-    n = sum(int((f != -2).sum()) for f, _ in groups)
-    speed_e, speed_m = np.full(len(chain.emit), 1e-8), np.full((2, 2), 1e-8)
+    lengths, gold = np.array([len(t) for t in texts]), np.concatenate(tags).astype(float)
+    places = [chain.places(w) for w in number]
+    counts = np.array([len(p[0]) for p in places])
+    own = np.concatenate([p[0] for p in places])
+    owner = np.repeat(np.arange(len(places)), counts)
+    before, after = (np.array([p[i] for p in places]) for i in (1, 2))
+    n, size, v = len(ids), len(chain.weights), len(places)
+    first = np.zeros(n + 1, bool)
+    first[np.concatenate(([0], np.cumsum(lengths)))] = True
+    inner = np.flatnonzero(~first[1:n])  # places t whose token t + 1 is of the same text
+    pairs = np.zeros((2, 2))
+    np.add.at(pairs, (gold[inner].astype(int), gold[inner + 1].astype(int)), 1)
+    weights, speed = np.zeros(size), np.full(size, 1e-8)
+    speed_move, speed_bias = np.full((2, 2), 1e-8), 1e-8
+    used = np.unique(np.concatenate((own, before, after)))
     for _ in range(params.steps):
-        grad_e, grad_m = np.zeros(len(chain.emit)), np.zeros((2, 2))
-        for feats, tags in groups:
-            real = feats != -2
-            emit = np.stack((np.zeros(feats.shape), np.where(real, chain.emit[feats], 0)), axis=2)
-            length = feats.shape[1]
-            move = np.exp(chain.move)
-            alpha, beta = np.zeros((length, len(feats), 2)), np.ones((length, len(feats), 2))
-            factor = np.exp(emit)
-            for t in range(length):
-                step = factor[:, t] if t == 0 else (alpha[t - 1] @ move) * factor[:, t]
-                alpha[t] = np.where(real[:, t, None], step / step.sum(axis=1, keepdims=True), alpha[t - 1] if t else 1)
-            for t in range(length - 2, -1, -1):
-                step = (factor[:, t + 1] * beta[t + 1]) @ move.T
-                beta[t] = np.where(real[:, t + 1, None], step / step.sum(axis=1, keepdims=True), beta[t + 1])
-            both = alpha * beta
-            prob = (both / both.sum(axis=2, keepdims=True))[:, :, 1].T
-            np.add.at(grad_e, feats[real], (tags - prob)[real])
-            for t in range(1, length):
-                pair = alpha[t - 1][:, :, None] * move * (factor[:, t] * beta[t])[:, None, :]
-                pair /= pair.sum(axis=(1, 2), keepdims=True)
-                own = real[:, t]
-                grad_m -= pair[own].sum(axis=0)
-                np.add.at(grad_m, (tags[own, t - 1], tags[own, t]), 1)
-        grad_e, grad_m = grad_e / n - params.decay / n * chain.emit, grad_m / n - params.decay / n * chain.move
-        speed_e += grad_e**2
-        speed_m += grad_m**2
-        chain.emit += params.rate * grad_e / np.sqrt(speed_e)
-        chain.move += params.rate * grad_m / np.sqrt(speed_m)
+        score = np.bincount(owner, weights[own], v)
+        emit = score[ids] + chain.bias
+        emit[inner + 1] += weights[before][ids[inner]]
+        emit[inner] += weights[after][ids[inner + 1]]
+        prob, ahead, behind, _ = _forward_backward(emit, lengths, chain.move)
+        diff = gold - prob
+        grad = np.bincount(own, np.bincount(ids, diff, v)[owner], size)
+        grad += np.bincount(before, np.bincount(ids[inner], diff[inner + 1], v), size)
+        grad += np.bincount(after, np.bincount(ids[inner + 1], diff[inner], v), size)
+        m = np.exp(chain.move)
+        a, g = ahead[inner], behind[inner + 1]
+        parts = [m[0, 0], m[0, 1] * g, m[1, 0] * a, m[1, 1] * a * g]
+        total = parts[0] + parts[1] + parts[2] + parts[3]
+        expected = np.array([(p / total).sum() for p in parts]).reshape(2, 2)
+        grad = grad[used] / n - params.decay / n * weights[used]
+        speed[used] += grad**2
+        weights[used] += params.rate * grad / np.sqrt(speed[used])
+        step = (pairs - expected) / n - params.decay / n * chain.move
+        speed_move += step**2
+        chain.move = chain.move + params.rate * step / np.sqrt(speed_move)
+        lean = diff.sum() / n
+        speed_bias += lean**2
+        chain.bias += float(params.rate * lean / math.sqrt(speed_bias))
+    chain.weights = weights.astype(np.float32)
 
 
 def _features(probs: np.ndarray, n: int) -> tuple[float, float, float]:
@@ -221,53 +230,95 @@ def _fit_curve(xs: list[tuple[float, float, float]], ys: list[int]) -> tuple[flo
     return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2])), min(0.0, float(w[3]))
 
 
-def train(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> Chain:
-    """A chain from ``(doc_id, text, toxic)``.
+def candidates(known: DataFrame, n_toxic: int, n_clean: int, params: ToxicParams) -> set[str]:
+    """Words and beginnings of words that speak for toxic documents, counted over all of ``known``.
 
-    Word counts cover all rows with a label; the driver gets the candidates and a bounded sample. Without
-    toxic rows the chain scores everything low.
+    Of equally good ones at the end of the list, the first by their letters count.
     """
-    known = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
-    chain = Chain(prefixes=params.prefixes)
-    if not n_toxic:
-        return chain
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own: list[str] = []
+            marks: list[int] = []
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                own = list({part for w in set(WORD.findall(text.as_py().lower())) for part in features_of(w, params.prefixes)})
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32())], names=["word", "toxic"])
+                held = {part for w in set(WORD.findall(text.as_py())) for part in features_of(w.lower(), params.prefixes)}
+                own += held
+                marks += [toxic] * len(held)
+                if len(own) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(marks, pa.int32())], names=["word", "toxic"])
+                    own, marks = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(marks, pa.int32())], names=["word", "toxic"])
 
     held = known.select("text", F.col("toxic").cast("int")).mapInArrow(words, "word string, toxic int")
     counts = held.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     ratio = ((F.col("a") + 0.5) / (n_toxic + 1.0)) / ((F.col("b") + 0.5) / (n_clean + 1.0))
-    gain = F.col("a") * F.log(ratio)
-    top = counts.where(F.col("a") >= params.support).where(ratio >= params.ratio).orderBy(F.desc(gain), "word").limit(params.candidates)
-    chain.words = {r["word"]: i for i, r in enumerate(top.select("word").collect())}
-
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    share = F.when(F.col("toxic") == 1, params.documents / max(1, n_toxic)).otherwise(params.documents / max(1, n_clean))
-    sample = known.withColumn("draw", draw).where(F.col("draw") < share * float(1 << 30)).select("draw", "toxic", F.substring("text", 1, params.chars).alias("text"))
-    rows = sorted(sample.limit(4 * params.documents).collect(), key=lambda r: (r["draw"], r["toxic"], r["text"]))
-
-    chain.emit = np.concatenate((np.zeros(len(chain.words)), [-3.0]))
-    texts = []
-    for r in rows:
-        texts.append((*chain.tokens(r["text"].lower()), r["toxic"]))
-    _train_chain(chain, texts, params)
-    held_powers: dict = {}
-    xs = [_features(marginals(chain, f, p, n, held_powers), n) for p, f, n, _ in texts]
-    chain.curve = _fit_curve(xs, [t[3] for t in texts])
+    top = counts.where(F.col("a") >= params.support).where(ratio >= params.ratio).orderBy(F.desc(F.col("a") * F.log(ratio)), "word").limit(params.candidates)
+    return {r["word"] for r in top.select("word").collect()}
+
+
+def _sample(known: DataFrame, totals: dict[int, int], params: ToxicParams) -> list[tuple[str, int]]:
+    """Whole texts and labels of a bounded draw, which depends only on the rows; equal rows count once."""
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    share = F.when(F.col("toxic") == 1, 2.0 * params.documents / max(1, totals.get(1, 0))).otherwise(2.0 * params.documents / max(1, totals.get(0, 0)))
+    drawn = known.withColumn("draw", draw).where(F.col("draw") < share * float(1 << 40)).groupBy("toxic", "draw").agg(F.min("text").alias("text"))
+    by_draw = Window.partitionBy("toxic").orderBy("draw")
+    size = F.sum(F.octet_length("text")).over(by_draw.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = drawn.withColumn("place", F.row_number().over(by_draw)).withColumn("size", F.coalesce(size, F.lit(0)))
+    rows = ranked.where((F.col("place") <= params.documents) & (F.col("size") <= params.sample_bytes)).select("toxic", "draw", "text").collect()
+    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["draw"], r["toxic"]))]
+
+
+def train(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> Chain:
+    """A chain from ``(doc_id, text, toxic)``.
+
+    Word counts cover all rows with a label; the driver gets the candidates and a bounded sample. Without
+    toxic rows the chain scores everything low.
+    """
+    known = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
+    if not n_toxic:
+        return Chain()
+    chain = Chain(np.zeros(1 << params.bits, np.float32), prefixes=params.prefixes)
+    found = candidates(known, n_toxic, n_clean, params)
+    texts, labels, tags = [], [], []
+    marked: dict[str, bool] = {}
+    for text, toxic in _sample(known, totals, params):
+        words = WORD.findall(text)
+        for w in words:
+            if w not in marked:
+                marked[w] = not found.isdisjoint(features_of(w.lower(), params.prefixes))
+        texts.append(words)
+        labels.append(toxic)
+        tags.append(np.array([bool(toxic) and marked[w] for w in words], bool))
+    _train_chain(chain, texts, tags, params)
+    emissions = Emissions(chain)
+    chain.curve = _fit_curve([_features(marginals(emissions(t), np.array([len(t)]), chain.move), len(t)) for t in texts], labels)
     # the sample is balanced; the curve is moved to the share of toxic documents
-    drawn = [sum(1 for t in texts if t[3] == label) for label in (0, 1)]
+    drawn = [labels.count(label) for label in (0, 1)]
     if all(drawn):
-        shift = math.log((n_toxic / n_clean) / (drawn[1] / drawn[0]))
-        chain.curve = (chain.curve[0] + shift, *chain.curve[1:])
+        chain.curve = (chain.curve[0] + math.log((n_toxic / n_clean) / (drawn[1] / drawn[0])), *chain.curve[1:])
     return chain
 
 
+def _scored(texts: list[str], chain: Chain, emissions: Emissions, span_prob: float) -> Iterator[tuple[float, list[dict]]]:
+    """Score and spans of each text; many texts run through the chain together."""
+    a, b, c, d = chain.curve
+    words = [WORD.findall(t) for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    probs = marginals(np.concatenate([emissions(w) for w in words]), lengths, chain.move)
+    at = 0
+    for text, n in zip(texts, lengths.tolist()):
+        own = probs[at : at + n]
+        at += n
+        total, most, length = _features(own, n)
+        found = []
+        if n and own.max() >= span_prob:
+            places = [m.span() for m in WORD.finditer(text)]
+            found = [{"start": places[i][0], "end": places[i][1], "probability": float(own[i])} for i in np.flatnonzero(own >= span_prob)]
+        yield 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * total + c * most + d * length)))), found
+
+
 def tag(docs: DataFrame, chain: Chain, threshold: float = 0.3, span_prob: float = 0.5) -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``predicted`` and ``spans``, the offending code-point offsets.
 
@@ -281,23 +332,22 @@ def tag(docs: DataFrame, chain: Chain, threshold: float = 0.3, span_prob: float
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        a, b, c, d = chain.curve
+        emissions = Emissions(chain)
         for batch in batches:
-            scores, spans = [], []
+            found: list[tuple[float, list[dict]]] = []
+            texts: list[str] = []
+            size = 0
             for text in batch.column(at):
-                text = (text.as_py() or "").lower()
-                places, numbers, n = chain.tokens(text)
-                probs, found = np.zeros(0), []
-                if places:
-                    every = [m.span() for m in WORD.finditer(text)]
-                    probs = marginals(chain, numbers, places, n, held)
-                    found = [{"start": every[i][0], "end": every[i][1], "probability": float(p)} for i, p in zip(places, probs) if p >= span_prob]
-                total, most, length = _features(probs, n)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * total + c * most + d * length)))))
-                spans.append(found)
+                texts.append(text.as_py() or "")
+                size += len(texts[-1]) // 6 + 1
+                if size > TOGETHER:
+                    found += _scored(texts, chain, emissions, span_prob)
+                    texts, size = [], 0
+            if texts:
+                found += _scored(texts, chain, emissions, span_prob)
+            scores = [s for s, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32()), pa.array(spans, spans_type)],
+                [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32()), pa.array([s for _, s in found], spans_type)],
                 names=[*names, *added],
             )
 
@@ -318,7 +368,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out
     """``(doc_id, held_out, score, predicted, spans)`` of every document.
 
     Labels are learned only from rows where crc32 of the id as text, modulo ``folds``, is not
-    ``held_out``; a null id is never learned from. Rows of ``labels`` that repeat count once.
+    ``held_out``; a null id is never learned from. Rows of ``labels`` that repeat count once, as toxic if
+    one of them is.
     """
     fold = F.pmod(crc_of("doc_id"), F.lit(folds))
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

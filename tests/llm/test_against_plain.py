@@ -462,18 +462,78 @@ def test_small_feistel_number_is_a_permutation(spark):
     assert sorted(r["m"] for r in moved) == list(range(600))
 
 
+def plain_chain(emit, move):
+    """Log of the sum over all taggings, and the marginals of state 1, by listing all taggings."""
+    total, sums = 0.0, np.zeros(len(emit))
+    for tags in itertools.product((0, 1), repeat=len(emit)):
+        weight = math.exp(sum(e * t for e, t in zip(emit, tags)) + sum(move[a, b] for a, b in zip(tags, tags[1:])))
+        total, sums = total + weight, sums + weight * np.array(tags)
+    return math.log(total), sums / total
+
+
 def test_marginals_equal_plain_sums():
     rng = np.random.default_rng(0)
-    chain = toxicity.Chain({"a": 0, "b": 1}, (), rng.normal(size=3), rng.normal(size=(2, 2)))
-    for n, places in ((6, [1, 2, 5]), (4, [0]), (5, [4]), (1, [0]), (9, [0, 8])):
-        features = [k % 2 for k in range(len(places))]
-        emit = np.full(n, chain.emit[-1])
-        emit[places] = chain.emit[features]
-        total, sums = 0.0, np.zeros(n)
-        for tags in itertools.product((0, 1), repeat=n):
-            weight = math.exp(sum(e * t for e, t in zip(emit, tags)) + sum(chain.move[a, b] for a, b in zip(tags, tags[1:])))
-            total, sums = total + weight, sums + weight * np.array(tags)
-        assert np.allclose((sums / total)[places], toxicity.marginals(chain, features, places, n, {}))
+    move, lengths = rng.normal(size=(2, 2)), np.array([6, 0, 1, 9, 4])
+    emit = rng.normal(size=20) * 3
+    want = np.concatenate([plain_chain(emit[a : a + n], move)[1] for a, n in ((0, 6), (6, 1), (7, 9), (16, 4))])
+    assert np.allclose(toxicity.marginals(emit, lengths, move), want)
+    assert toxicity.marginals(np.zeros(0), np.array([0]), move).tolist() == []
+    # columns do not matter: a long text equals a plain recursion
+    emit = rng.normal(size=1000) * 5
+    m, gain = np.exp(move), np.exp(emit)
+    ahead, behind = [np.array([1.0, gain[0]])], [np.ones(2)]
+    for t in range(1, 1000):
+        step = ahead[-1] @ m * [1, gain[t]]
+        ahead.append(step / step.sum())
+        step = m @ (behind[-1] * [1, gain[1000 - t]])
+        behind.append(step / step.sum())
+    both = np.array(ahead) * np.array(behind[::-1])
+    assert np.allclose(toxicity.marginals(emit, np.array([1000]), move), both[:, 1] / both.sum(axis=1))
+
+
+def test_training_follows_the_likelihood():
+    """The likelihood of the tags, by listing all taggings, rises, and words in context are told apart."""
+    texts = [["you", "stupid", "man"], ["stupid", "is", "no", "man"], ["a", "man"], ["you", "clown", "is"]] * 5
+    tags = [np.array([w in ("stupid", "clown") and t[0] == "you" for w in t]) for t in texts]
+
+    def likelihood(chain):
+        emissions, total = toxicity.Emissions(chain), 0.0
+        for t, y in zip(texts, tags):
+            emit = emissions(t)
+            own = float((emit * y).sum()) + sum(chain.move[int(a), int(b)] for a, b in zip(y, y[1:]))
+            total += own - plain_chain(emit, chain.move)[0]
+        return total
+
+    values = []
+    for steps in (1, 5, 60):
+        chain = toxicity.Chain(np.zeros(1 << 12, np.float32), prefixes=(4,))
+        toxicity._train_chain(chain, texts, tags, toxicity.ToxicParams(steps=steps))
+        values.append(likelihood(chain))
+    assert values == sorted(values) and values[-1] > -1
+    probs = [toxicity.marginals(toxicity.Emissions(chain)(t), np.array([len(t)]), chain.move) for t in texts[:2]]
+    assert probs[0][1] > 0.9 and probs[1][0] < 0.1
+
+
+def test_offsets_are_of_the_original_text(spark):
+    chain = toxicity.Chain(np.zeros(1 << 12, np.float32), prefixes=(4,))
+    texts = [["you", "stupid", "thing"], ["good", "thing"]] * 10
+    toxicity._train_chain(chain, texts, [np.array([w == "stupid" for w in t]) for t in texts], toxicity.ToxicParams())
+    rows = [(0, "\u0130\u0130\u0130 you stupid thing"), (1, "good thing " * 9000 + "you STUPID"), (2, None), (3, "--")]
+    got = {r["doc_id"]: r["spans"] for r in toxicity.tag(spark.createDataFrame(rows, "doc_id long, text string"), chain).collect()}
+    assert [(s["start"], s["end"]) for s in got[0]] == [(8, 14)] and [(s["start"], s["end"]) for s in got[1]] == [(99_004, 99_010)]
+    assert got[2] == got[3] == []
+
+
+def test_candidates_equal_plain_counts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("toxic is not null")
+    params, plain = toxicity.ToxicParams(), rows.collect()
+    held = [Counter(), Counter()]
+    for r in plain:
+        held[r["toxic"]].update({x for w in re.findall(r"\w+", r["text"]) for x in (w.lower() + "$", *(w.lower()[:k] for k in (4, 5, 6, 7) if k < len(w.lower())))})
+    n = Counter(r["toxic"] for r in plain)
+    ratio = {w: ((a + 0.5) / (n[1] + 1)) / ((held[0][w] + 0.5) / (n[0] + 1)) for w, a in held[1].items() if a >= 3}
+    want = sorted((w for w, x in ratio.items() if x >= 8), key=lambda w: (-held[1][w] * math.log(ratio[w]), w))
+    assert toxicity.candidates(rows, n[1], n[0], params) == set(want[: params.candidates]) and want
 
 
 def test_toxicity_on_held_out(spark):
