@@ -8,12 +8,12 @@ whole-token table. At run time a pre-token in that table counts as one, and only
 from __future__ import annotations
 
 import re as _re
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import normalizers
 
 from .vocab import Memo, byte_alphabet, merge_symbols, read_bpe
 
@@ -53,10 +53,11 @@ class TokenCounter:
             if text and self.normalize(text) == text and SPLIT.findall(text) == [text] and self.merge(text) == [entry]:
                 yield text
 
-    @staticmethod
-    def normalize(text: str) -> str:
-        # capital sigma has a context rule in str.lower() that the tokenizer does not apply
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    #: The library's own tables and rules; the interpreter's are of another Unicode version.
+    normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+    def normalize(self, text: str) -> str:
+        return text.lower() if text.isascii() else self.normalizer.normalize_str(text)
 
     def merge(self, pre_token: str) -> list[str]:
         symbols = [self.stand_in[b] for b in pre_token.encode()]
@@ -67,14 +68,14 @@ class TokenCounter:
         return len(self.merge(pre_token))
 
     def _count_chunk(self, chunk: str) -> int:
-        """Pre-tokens never cross white space, so a chunk between spaces has a count of its own."""
+        """Neither pre-tokens nor what is normalised cross white space, so a chunk between spaces has a
+        count of its own."""
         merged, whole = self.merged, self.whole
-        return sum(1 if p in whole else merged[p] for p in SPLIT.findall(chunk))
+        return sum(1 if p in whole else merged[p] for p in SPLIT.findall(self.normalize(chunk)))
 
     def count(self, text: str) -> int:
         if self.specials is not None and "<|" in text and (found := self.specials.findall(text)):
             return len(found) + sum(map(self.count, self.specials.split(text)))
-        text = self.normalize(text)
         # str.split() also splits at four control characters that are no white space to the tokenizer
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         return sum(map(self.chunks.__getitem__, _SPACE.split(text) if odd else text.split()))
