@@ -411,6 +411,46 @@ def test_lm_base_scores_equal_plain(spark, texts, head):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) and r["score"] < 0
 
 
+def test_lm_scores_sum_over_segmentations_of_whole_documents(spark):
+    """The score of a document against the plain sum over all ways to cut it in pieces, words and end."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(i, t) for i, t in enumerate(["the cat", "a thnd\u00e9 of", "cat", "", "in THE \u65e5 inn", "zq x"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 1")
+    marked = docs.selectExpr("text", "crc32(cast(cast(doc_id as string) as binary)) % 5 = 1 as held_out")
+    pieces = lattice_lm.pieces_of(path)
+    weights = lattice_lm.learn_weights(lattice_lm._word_counts(marked, lattice_lm.LmParams()), train.count(), pieces)
+    assert math.isclose(np.exp(weights).sum(), 1)
+    weight = {p: math.exp(w) for p, w in zip(pieces, weights)}
+
+    def cut(text):
+        """All segmentations of a whole text in which no piece has a blank but at its start."""
+        if not text:
+            yield 1.0
+            return
+        end = text.find("\u2581", 1)
+        for n in range(1, min(20, end if end > 0 else len(text)) + 1):
+            if text[:n] in weight:
+                yield from (weight[text[:n]] * rest for rest in cut(text[n:]))
+        yield from ((math.exp(weights[-2]) / 256) ** len(text[0].encode()) * rest for rest in cut(text[1:]))
+
+    scored = {r["doc_id"]: r["score"] for r in lattice_lm.document_scores(docs, path).collect()}
+    for i, text in rows[:6]:
+        whole = "".join("\u2581" + w for w in text.lower().split())
+        assert math.isclose(scored[i], math.log10(sum(cut(whole)) * math.exp(weights[-1])), rel_tol=1e-9), text
+
+
+def test_training_raises_the_likelihood(spark, texts):
+    pieces = lattice_lm.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    counts = Counter(w for t in list(texts.values())[:60] for w in t.lower().split())
+    counted = spark.createDataFrame([(w, c, c) for w, c in counts.items()], "word string, c long, f long")
+    total = []
+    for warm, rounds in ((0, 0), (1, 0), (1, 2)):
+        weights = lattice_lm.learn_weights(counted, 60, pieces, lattice_lm.LmParams(warm_rounds=warm, rounds=rounds, pseudo=1e-6))
+        total.append(float(np.dot(lattice_lm.Lattice(pieces, weights).log_probs(list(counts)), list(counts.values()))) + 60 * weights[-1])
+    assert total == sorted(total)
+
+
 def test_lm_is_a_distribution_over_words(spark):
     """Probabilities of words and the end must not sum to more than one."""
     rows = [(i, w) for i, w in enumerate(["a", "b", "a b", "ab", "c a"] * 4)]
