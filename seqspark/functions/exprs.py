@@ -35,3 +35,13 @@ def wrap(position: Column, n: Column) -> Column:
 
 def linear_map(value: Column, lo: float | Column, hi: float | Column, to_lo: float, to_hi: float) -> Column:
     return F.lit(to_lo) + (value - lo) / (F.lit(hi) - F.lit(lo) if not isinstance(hi, Column) else hi - lo) * (to_hi - to_lo)
+
+
+def windows(seq: Column, size: int, overlap: int) -> Column:
+    """The sequence in pieces of ``size`` bases, each with the ``overlap`` bases after it, in one pass."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
+
+
+def overlapping(seq: Column, k: int) -> Column:
+    """The k-mers at all positions of a sequence, in one pass."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))

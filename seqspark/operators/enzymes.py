@@ -20,7 +20,7 @@ def re_sites(seqs: DataFrame) -> DataFrame:
     """
     spark = seqs.sparkSession
     spelled = table(spark, "enzyme_sites").select(F.struct("enzyme_id", "spelled").alias("pattern_id"), F.col("spelled").alias("pattern"), "strand")
-    hits = motif_hits(seqs, spelled, seeds=(4,), strands=False)
+    hits = motif_hits(seqs, spelled, seeds=(4, 6), strands=False)
     enzymes = F.broadcast(table(spark, "enzymes").select("enzyme_id", "enzyme", F.length("site").alias("size"), "cut_after"))
     lengths = seqs.select("seq_id", F.length("seq").alias("n"), (F.col("topology") == "circular").alias("circular"))
     rows = hits.select("seq_id", F.col("pattern_id.enzyme_id").alias("enzyme_id"), "strand", F.col("start").alias("site_start")).join(enzymes, "enzyme_id").join(lengths, "seq_id")
@@ -85,22 +85,26 @@ def enzyme_filter(sites: DataFrame, seq_ids: DataFrame | None = None, unique: bo
     return found.select("enzyme_id", "enzyme", "sequences", "most_sites")
 
 
-def re_candidates(insert_sites: DataFrame, vector_sites: DataFrame) -> DataFrame:
+def re_candidates(insert_sites: DataFrame, vector_sites: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(insert_id, vector_id, enzyme_id, insert_pos, vector_pos)``: enzymes that cut an insert and a
-    vector once each, and leave sticky ends.
+    vector once each, and leave sticky ends, for the stated ``pairs(insert_id, vector_id)``.
 
-    Each (sequence, enzyme) has one row after the filter, so the join on the enzyme gives the pairs asked
-    for and no site against site product within them.
+    The pairs go to the sites of their insert, and these to those of their vector by vector and enzyme, so
+    no key is as common as an enzyme.
     """
     sharp = F.broadcast(table(insert_sites.sparkSession, "enzymes").where("not is_blunt").select("enzyme_id"))
     once = lambda s: s.where("match_count = 1").join(sharp, "enzyme_id", "left_semi")
     a = once(insert_sites).select(F.col("seq_id").alias("insert_id"), "enzyme_id", F.col("site_start").alias("insert_pos"))
     b = once(vector_sites).select(F.col("seq_id").alias("vector_id"), "enzyme_id", F.col("site_start").alias("vector_pos"))
-    return a.join(b, "enzyme_id").select("insert_id", "vector_id", "enzyme_id", "insert_pos", "vector_pos")
+    rows = pairs.select("insert_id", "vector_id").distinct().join(a, "insert_id").join(b, ["vector_id", "enzyme_id"])
+    return rows.select("insert_id", "vector_id", "enzyme_id", "insert_pos", "vector_pos")
 
 
-def common_enzymes(sites: DataFrame, seq_ids: DataFrame) -> DataFrame:
-    """Enzymes that cut every one of the given sequences, by a relational division."""
-    wanted = seq_ids.select("seq_id").distinct()
-    found = sites.select("seq_id", "enzyme").distinct().join(wanted, "seq_id", "left_semi").groupBy("enzyme").agg(F.count("*").alias("k"))
-    return found.join(wanted.agg(F.count("*").alias("k")), "k", "left_semi").select("enzyme")
+def common_enzymes(sites: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(set_id, enzyme)``: the enzymes that cut every sequence of a set, by a relational division.
+
+    ``sets(set_id, seq_id)``; a sequence may be in several.
+    """
+    wanted = sets.select("set_id", "seq_id").distinct()
+    found = wanted.join(sites.select("seq_id", "enzyme").distinct(), "seq_id").groupBy("set_id", "enzyme").agg(F.count("*").alias("k"))
+    return found.join(wanted.groupBy("set_id").agg(F.count("*").alias("k")), ["set_id", "k"], "left_semi").select("set_id", "enzyme")

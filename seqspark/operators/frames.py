@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqspark.functions.constants import HIS_CODONS, START, STOPS, table
-from seqspark.functions.exprs import reverse_complement, span_sequence
+from seqspark.functions.exprs import overlapping, reverse_complement, span_sequence, windows
 
 CHUNK = 1536
 
@@ -18,11 +18,9 @@ def strand_codons(seqs: DataFrame) -> DataFrame:
     """
     n = F.length("seq")
     strands = seqs.where(n >= 3).select("seq_id", n.alias("n"), F.explode(F.array(F.struct(F.lit("Fwd").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("Rev").alias("strand"), reverse_complement(F.col("seq")).alias("s")))).alias("x"))
-    rows = strands.select("seq_id", "n", "x.strand", "x.s", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 3) / CHUNK).cast("int"))).alias("chunk"))
-    rows = rows.select("seq_id", "n", "strand", (F.col("chunk") * CHUNK).alias("before"), F.substring(F.col("s"), F.col("chunk") * CHUNK + 1, F.lit(CHUNK + 2)).alias("bases"))
-    starts = F.sequence(F.lit(1), F.length("bases") - 2)
-    codons = rows.where(F.length("bases") >= 3).select("seq_id", "n", "strand", "before", F.posexplode(F.transform(starts, lambda p: F.substring(F.col("bases"), p, F.lit(3)))).alias("k", "codon"))
-    return codons.select("seq_id", "n", "strand", (F.col("before") + F.col("k") + 1).alias("pos"), "codon")
+    rows = strands.select("seq_id", "n", "x.strand", F.posexplode(windows(F.col("x.s"), CHUNK, 2)).alias("chunk", "bases"))
+    codons = rows.where(F.length("bases") >= 3).select("seq_id", "n", "strand", F.col("chunk"), F.posexplode(overlapping(F.col("bases"), 3)).alias("k", "codon"))
+    return codons.select("seq_id", "n", "strand", (F.col("chunk") * CHUNK + F.col("k") + 1).alias("pos"), "codon")
 
 
 def frame_name() -> Column:
@@ -79,12 +77,18 @@ def frame_order(frame: Column) -> Column:
     return F.when(frame.startswith("Fwd"), 0).otherwise(3) + F.substring(frame, -1, 1).cast("int")
 
 
-def cds_orfs(features: DataFrame, found: DataFrame) -> DataFrame:
+def cds_orfs(features: DataFrame, found: DataFrame, width: int = 1024) -> DataFrame:
     """``(seq_id, feature_id, cds_start, cds_end, frame, start, end)``: each coding region's shortest
-    containing reading frame; ties go to the first frame, then the first start."""
+    containing reading frame; ties go to the first frame, then the first start.
+
+    A frame stands in all bins of ``width`` bases that it meets, a coding region in that of its start. Frames
+    of one kind do not overlap, so a bin holds a bounded number of them.
+    """
     cds = features.where((F.col("feature_type") == "CodingRegion") & ~F.lower("label").rlike("[x×]his"))
     cds = cds.select("seq_id", "feature_id", F.col("start").alias("cds_start"), F.col("end").alias("cds_end"))
-    both = cds.join(found, "seq_id").where("start <= cds_start and cds_end <= end and cds_start <= cds_end")
+    cds = cds.withColumn("bin", F.floor(F.col("cds_start") / width))
+    binned = found.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    both = cds.join(binned, ["seq_id", "bin"]).where("start <= cds_start and cds_end <= end and cds_start <= cds_end")
     best = Window.partitionBy("seq_id", "feature_id").orderBy(F.col("end") - F.col("start"), frame_order(F.col("frame")), "start")
     return both.withColumn("best", F.row_number().over(best)).where("best = 1").select("seq_id", "feature_id", "cds_start", "cds_end", "frame", "start", "end")
 
@@ -99,11 +103,7 @@ def residues(seqs: DataFrame, regions: DataFrame) -> DataFrame:
     forward = F.col("frame").startswith("Fwd")
     span = span_sequence(F.col("seq"), F.col("start"), F.col("end"))
     rows = rows.withColumn("bases", F.when(forward, span).otherwise(reverse_complement(span))).where(F.length("bases") >= 3)
-    count = F.floor(F.length("bases") / 3).cast("int")
-    codons = rows.select(
-        "seq_id", "feature_id", "frame", "start", "end", "cds_start", "cds_end",
-        F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("bases"), 3 * i + 1, F.lit(3)))).alias("pos", "codon"),
-    )
+    codons = rows.select("seq_id", "feature_id", "frame", "start", "end", "cds_start", "cds_end", F.posexplode(F.regexp_extract_all("bases", F.lit("..."), F.lit(0))).alias("pos", "codon"))
     at = F.when(forward, F.col("start") + 3 * F.col("pos")).otherwise(F.col("end") - 3 * F.col("pos") - 2)
     before = F.when(forward, at < F.col("cds_start")).otherwise(at + 2 > F.col("cds_end"))
     after = F.when(forward, at + 2 > F.col("cds_end")).otherwise(at < F.col("cds_start"))

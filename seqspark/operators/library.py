@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqspark.functions.exprs import span_sequence
 
+from .edits import merge_features
+from .matching import annotate
+
 
 def build_feature_library(features: DataFrame, seqs: DataFrame) -> DataFrame:
     """``(seq, label, feature_type, sequences, occurrences)``: features with one sequence as one entry.
@@ -51,10 +54,21 @@ def reagent_demand(orders: DataFrame, recipe_lines: DataFrame, reagents: DataFra
 
 
 def reads_to_sequences(reads: DataFrame) -> DataFrame:
-    """Sequencing reads as linear sequences named by their read."""
+    """Sequencing reads, whole, as linear sequences named by their read."""
     return reads.select(F.col("read_id").alias("seq_id"), F.concat(F.lit("read "), F.col("read_id").cast("string")).alias("name"), "seq", F.length("seq").alias("length"), F.lit("linear").alias("topology"))
 
 
+def annotate_reads(reads: DataFrame, library: DataFrame, known: DataFrame | None = None, min_run: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Reads as sequences, and their features: those ``known``, and library entries and His tags that are
+    found on them at ranges that no known feature has.
+
+    ``known(seq_id, start, end, feature_type, direction, label)`` may come with the reads.
+    """
+    seqs = reads_to_sequences(reads)
+    found = annotate(seqs, library, min_run)
+    return seqs, found if known is None else merge_features(known.select(*found.columns), found)
+
+
 def trace_scale(reads: DataFrame, n: int = 40) -> DataFrame:
     """``(read_id, peak)``: the highest of four channels among the first samples of each read."""
     rows = reads.select("read_id", F.posexplode(F.arrays_zip("ch1", "ch2", "ch3", "ch4")).alias("pos", "s")).where(F.col("pos") <= n)

@@ -1,8 +1,9 @@
 """Exact and nearly exact occurrences of patterns in sequences, by k-mer seeds.
 
-A pattern's first k bases are its seed. Sequences are cut into overlapping chunks, so that no row and no
-string operation grows with a chromosome; the k-mers of a chunk are joined with the seeds, and what
-meets is verified against the chunk. The sequence itself never goes through the k-mer join.
+A pattern's first k bases are its seed. Sequences are cut into overlapping chunks in one pass, so that no
+row and no string operation grows with a chromosome; the k-mers of a chunk meet the seeds, and what
+meets is verified against the chunk. Seeds of a counted, bounded number of patterns are broadcast, and
+nothing is shuffled; more are joined by shuffles through which the sequence itself never goes.
 """
 
 from __future__ import annotations
@@ -10,38 +11,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqspark.functions.constants import DIRECTED
-from seqspark.functions.exprs import reverse_complement, wrap
+from seqspark.functions.exprs import overlapping, reverse_complement, windows, wrap
 
-#: Bases that belong to a chunk; it also holds the overlap that follows.
+#: Bases that belong to a chunk, unless patterns are longer; it also holds the overlap that follows.
 CHUNK = 2048
+#: Patterns, and bases of them, that are broadcast at most.
+BROADCAST_PATTERNS, BROADCAST_BASES = 500_000, 32 << 20
 
 
-def chunk_sequences(seqs: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
-    """``(seq_id, n, circular, chunk, first, bases)``: chunks of ``size`` bases and the ``overlap`` after
-    them, across the origin of circular sequences. A position belongs to the chunk it starts in."""
-    n = F.length("seq")
-    padded = F.when(F.col("topology") == "circular", F.concat("seq", F.substring(F.col("seq"), F.lit(1), F.lit(overlap)))).otherwise(F.col("seq"))
-    rows = seqs.where(n > 0).select("seq_id", n.alias("n"), (F.col("topology") == "circular").alias("circular"), padded.alias("padded"))
-    cut = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int"))))
-    first = F.col("chunk") * size + 1
-    return cut.select("seq_id", "n", "circular", "chunk", first.alias("first"), F.substring(F.col("padded"), first, F.lit(size + overlap)).alias("bases"))
+def chunk_size(overlap: int) -> int:
+    """Bases of a chunk: what follows a chunk must lie in the next one."""
+    return max(CHUNK, overlap)
 
 
-def kmers(chunks: DataFrame, k: int, size: int = CHUNK) -> DataFrame:
-    """``(seq_id, chunk, pos, kmer)`` of all positions of the chunks; ``pos`` counts in the sequence."""
-    starts = F.sequence(F.lit(1), F.least(F.length("bases") - k + 1, F.lit(size), F.col("n") - F.col("first") + 1))
-    rows = chunks.where(F.length("bases") >= k).select(
-        "seq_id", "chunk", "first", F.posexplode(F.transform(starts, lambda p: F.substring(F.col("bases"), p, F.lit(k)))).alias("offset", "kmer")
-    )
-    return rows.select("seq_id", "chunk", (F.col("first") + F.col("offset")).alias("pos"), "kmer")
+def chunk_sequences(seqs: DataFrame, overlap: int) -> DataFrame:
+    """``(seq_id, n, circular, chunk, first, own, bases)``: chunks and the ``overlap`` after them, across
+    the origin of circular sequences. A position belongs to the chunk it starts in; ``own`` of them do."""
+    n, size = F.length("seq"), chunk_size(overlap)
+    padded = F.when(F.col("topology") == "circular", F.concat("seq", F.substring(F.col("seq"), F.lit(1), F.lit(overlap)))).otherwise(F.col("seq"))
+    cut = seqs.where(n > 0).select("seq_id", n.alias("n"), (F.col("topology") == "circular").alias("circular"), F.posexplode(windows(padded, size, overlap)).alias("chunk", "bases"))
+    first = F.col("chunk") * size + 1
+    rows = cut.select("seq_id", "n", "circular", "chunk", first.alias("first"), F.least(F.lit(size), F.col("n") - first + 1).alias("own"), "bases")
+    return rows.where("own > 0")
 
 
-def _seed_hits(seqs: DataFrame, patterns: DataFrame, k: int, longest: int, keep: Column) -> DataFrame:
+def _seed_hits(seqs: DataFrame, patterns: DataFrame, k: int, longest: int, small: bool) -> DataFrame:
+    """``(seq_id, n, circular, pos, pattern_id, strand, pattern)`` of every occurrence."""
     chunks = chunk_sequences(seqs, longest - 1)
     seeds = patterns.select("pattern_id", "strand", "pattern", F.substring(F.col("pattern"), F.lit(1), F.lit(k)).alias("kmer"))
-    met = kmers(chunks, k).join(seeds, "kmer").select("seq_id", "chunk", "pos", "pattern_id", "strand", "pattern")
-    found = met.join(chunks, ["seq_id", "chunk"])
-    return found.where((F.length("pattern") <= F.col("n")) & keep)
+    kmers = F.posexplode(F.slice(overlapping(F.col("bases"), k), F.lit(1), F.col("own"))).alias("offset", "kmer")
+    long = chunks.where(F.length("bases") >= k)
+    if small:
+        found = long.select("seq_id", "n", "circular", "first", "bases", kmers).join(F.broadcast(seeds), "kmer")
+    else:
+        met = long.select("seq_id", "chunk", kmers).join(seeds, "kmer").drop("kmer")
+        found = met.join(chunks, ["seq_id", "chunk"])
+    found = found.where((F.length("pattern") <= F.col("n")) & (F.substring(F.col("bases"), F.col("offset") + 1, F.length("pattern")) == F.col("pattern")))
+    return found.select("seq_id", "n", "circular", (F.col("first") + F.col("offset")).alias("pos"), "pattern_id", "strand", "pattern")
 
 
 def both_strands(patterns: DataFrame) -> DataFrame:
@@ -50,23 +56,22 @@ def both_strands(patterns: DataFrame) -> DataFrame:
     return forward.unionByName(patterns.select("pattern_id", reverse_complement(F.col("pattern")).alias("pattern"), F.lit("rev").alias("strand")))
 
 
-def motif_hits(seqs: DataFrame, patterns: DataFrame, min_len: int = 3, seeds: tuple[int, ...] = (3, 6, 10), strands: bool = True) -> DataFrame:
+def motif_hits(seqs: DataFrame, patterns: DataFrame, min_len: int = 3, seeds: tuple[int, ...] = tuple(range(3, 11)), strands: bool = True) -> DataFrame:
     """``(seq_id, pattern_id, strand, start, end)`` of every occurrence, overlapping ones included.
 
     ``seqs(seq_id, seq, topology)``; ``patterns(pattern_id, pattern)``, or with a ``strand`` if
     ``strands`` is false. Occurrences wrap only in circular sequences; a pattern longer than the
     sequence never matches; palindromes are reported on both strands. A pattern is looked up by the
-    longest of ``seeds`` that it holds.
+    longest of ``seeds`` that it holds; each seed length that occurs takes one scan.
     """
-    usable = (both_strands(patterns) if strands else patterns).where(F.length("pattern") >= min_len)
-    lengths = usable.agg(F.min(F.length("pattern")), F.max(F.length("pattern"))).first()
+    usable = (both_strands(patterns) if strands else patterns).where(F.length("pattern") >= max(min_len, min(seeds)))
+    size = F.length("pattern")
+    seed = F.greatest(*[F.when(size >= k, k).otherwise(0) for k in (0, *seeds)])
+    groups = usable.groupBy(seed.alias("k")).agg(F.count("*").alias("n"), F.max(size).alias("longest"), F.sum(size).alias("bases")).collect()
+    small = sum(g["n"] for g in groups) <= BROADCAST_PATTERNS and sum(g["bases"] for g in groups) <= BROADCAST_BASES
     out = None
-    for k, above in zip(seeds, [*seeds[1:], 1 << 30]):
-        if lengths[0] is None or lengths[1] < k or lengths[0] >= above:
-            continue
-        own = usable.where((F.length("pattern") >= k) & (F.length("pattern") < above))
-        at = F.col("pos") - F.col("first") + 1
-        hits = _seed_hits(seqs, own, k, min(lengths[1], above - 1), F.substring(F.col("bases"), at, F.length("pattern")) == F.col("pattern"))
+    for g in sorted(groups, key=lambda g: g["k"]):
+        hits = _seed_hits(seqs, usable.where(seed == g["k"]), g["k"], g["longest"], small)
         end = F.when(F.col("circular"), wrap(F.col("pos") + F.length("pattern") - 1, F.col("n"))).otherwise(F.col("pos") + F.length("pattern") - 1)
         hits = hits.select("seq_id", "pattern_id", "strand", F.col("pos").alias("start"), end.cast("int").alias("end"))
         out = hits if out is None else out.unionByName(hits)
@@ -75,7 +80,7 @@ def motif_hits(seqs: DataFrame, patterns: DataFrame, min_len: int = 3, seeds: tu
 
 def primer_sites(seqs: DataFrame, primers: DataFrame) -> DataFrame:
     """``(seq_id, primer_id, strand, start, end)``; primers under 10 bases bind nowhere."""
-    hits = motif_hits(seqs, primers.select(F.col("primer_id").alias("pattern_id"), F.col("seq").alias("pattern")), min_len=10, seeds=(10,))
+    hits = motif_hits(seqs, primers.select(F.col("primer_id").alias("pattern_id"), F.col("seq").alias("pattern")), min_len=10)
     return hits.withColumnRenamed("pattern_id", "primer_id")
 
 
@@ -96,7 +101,7 @@ def annotate(seqs: DataFrame, library: DataFrame, min_run: int = 6) -> DataFrame
     """Library entries and His tags of every sequence, as features."""
     from .frames import his_tags
 
-    hits = motif_hits(seqs, library.select(F.col("lib_id").alias("pattern_id"), F.col("seq").alias("pattern")), min_len=10, seeds=(10,))
+    hits = motif_hits(seqs, library.select(F.col("lib_id").alias("pattern_id"), F.col("seq").alias("pattern")), min_len=10)
     return library_features(hits, library).unionByName(his_tags(seqs, min_run))
 
 
@@ -114,16 +119,19 @@ def annotate_fuzzy(seqs: DataFrame, library: DataFrame, min_identity: float = 0.
         F.struct("pattern_id", "strand", "piece").alias("pattern_id"), F.lit("fwd").alias("strand"), F.substring(F.col("pattern"), F.col("piece") * F.col("size") + 1, F.col("size")).alias("pattern")
     )
     hits = motif_hits(seqs, pieces, strands=False).select("seq_id", F.col("pattern_id.*"), F.col("start").alias("piece_start"))
-    placed = hits.join(cut.select("pattern_id", "strand", "piece", "size", "pattern", "d"), ["pattern_id", "strand", "piece"])
-    n = F.length("seq")
+    placed = hits.join(cut.select("pattern_id", "strand", "piece", "size", F.length("pattern").alias("m")), ["pattern_id", "strand", "piece"])
+    lengths = seqs.select("seq_id", F.length("seq").alias("n"), (F.col("topology") == "circular").alias("circular"))
     start = F.col("piece_start") - F.col("piece") * F.col("size")
-    full = placed.select("seq_id", "pattern_id", "strand", "pattern", "d", start.alias("start")).join(seqs.select("seq_id", "seq", "topology"), "seq_id")
-    circular = F.col("topology") == "circular"
-    full = full.withColumn("start", F.when(circular, wrap(F.col("start"), n)).otherwise(F.col("start"))).distinct()
-    full = full.where((F.length("pattern") <= n) & (circular | ((F.col("start") >= 1) & (F.col("start") + F.length("pattern") - 1 <= n))))
-    window = F.substring(F.concat("seq", "seq"), F.col("start"), F.length("pattern"))
+    places = placed.join(lengths, "seq_id").withColumn("start", F.when(F.col("circular"), wrap(start, F.col("n"))).otherwise(start))
+    places = places.where((F.col("m") <= F.col("n")) & (F.col("circular") | ((F.col("start") >= 1) & (F.col("start") + F.col("m") - 1 <= F.col("n")))))
+    # each place once, before any bases come in
+    places = places.select("seq_id", "pattern_id", "strand", F.col("start").cast("int").alias("start")).distinct()
+    longest = whole.agg(F.max(F.length("pattern"))).first()[0] or 1
+    chunk = F.floor((F.col("start") - 1) / chunk_size(longest - 1)).cast("int")
+    full = places.withColumn("chunk", chunk).join(whole.select("pattern_id", "strand", "pattern", "d"), ["pattern_id", "strand"]).join(chunk_sequences(seqs, longest - 1), ["seq_id", "chunk"])
+    window = F.substring(F.col("bases"), F.col("start") - F.col("first") + 1, F.length("pattern"))
     missed = F.size(F.filter(F.zip_with(F.split(window, ""), F.split("pattern", ""), lambda a, b: a != b), lambda x: x))
-    end = F.when(circular, wrap(F.col("start") + F.length("pattern") - 1, n)).otherwise(F.col("start") + F.length("pattern") - 1)
+    last = F.col("start") + F.length("pattern") - 1
     return full.withColumn("mismatches", missed).where("mismatches <= d").select(
-        "seq_id", F.col("pattern_id").alias("lib_id"), "strand", F.col("start").cast("int").alias("start"), end.cast("int").alias("end"), F.col("mismatches").cast("int").alias("mismatches")
+        "seq_id", F.col("pattern_id").alias("lib_id"), "strand", "start", F.when(F.col("circular"), wrap(last, F.col("n"))).otherwise(last).cast("int").alias("end"), F.col("mismatches").cast("int").alias("mismatches")
     )

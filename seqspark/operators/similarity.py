@@ -11,23 +11,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 GAP_OPEN, GAP_EXTEND, MATCH, MISMATCH = -5, -1, 1, -1
 
 
-def _shared_kmers(a: DataFrame, b: DataFrame, k: int, most: int | None = None) -> DataFrame:
-    """Distinct ``(a_id, b_id)`` that share a k-mer; texts are not carried along."""
-
-    def grams(df: DataFrame, side: str) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.length("seq") - k + 1)
-        return df.where(F.length("seq") >= k).select(F.col("id").alias(side), F.explode(F.array_distinct(F.transform(starts, lambda p: F.substring(F.col("seq"), p, F.lit(k))))).alias("kmer"))
-
-    return grams(a, "a_id").join(grams(b, "b_id"), "kmer").select("a_id", "b_id").distinct()
-
-
 def similarity_join(a: DataFrame, b: DataFrame, max_dist: int) -> DataFrame:
     """``(a_id, b_id, distance)`` of pairs within ``max_dist``: Hamming distance for equal lengths, else
     edit distance. ``a(id, seq)`` is the query set.
 
     A pattern of n bases cut into max_dist + 1 pieces keeps one piece whole, at an offset that moves by
     max_dist at most. So each text of ``b`` is cut into pieces, each text of ``a`` gives its substrings
-    of those sizes around the same offsets, and equal pieces are joined and verified; no pair is lost.
+    of those sizes around the same offsets, and pieces of equal hash are joined and verified; no pair is lost.
     Texts too short to be cut meet by length alone.
     """
     d = max_dist
@@ -35,12 +25,12 @@ def similarity_join(a: DataFrame, b: DataFrame, max_dist: int) -> DataFrame:
     size = F.floor(F.col("b_n") / (d + 1)).cast("int")
     offset = F.col("piece") * size
     width = F.when(F.col("piece") == d, F.col("b_n") - offset).otherwise(size)
-    pieces = cut.select("b_id", "b_n", "piece", F.substring(F.col("seq"), offset + 1, width).alias("part"))
+    pieces = cut.select("b_id", "b_n", "piece", F.xxhash64(F.substring(F.col("seq"), offset + 1, width)).alias("part"))
     shapes = F.explode(F.sequence(F.greatest(F.lit(d + 1), F.length("seq") - d), F.length("seq") + d))
     own = a.select(F.col("id").alias("a_id"), "seq", shapes.alias("b_n")).where(F.length("seq") >= 1)
     own = own.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(d)))).withColumn("move", F.explode(F.sequence(F.lit(-d), F.lit(d))))
     at = offset + F.col("move") + 1
-    own = own.where((at >= 1) & (at + width - 1 <= F.length("seq"))).select("a_id", "b_n", "piece", F.substring(F.col("seq"), at, width).alias("part"))
+    own = own.where((at >= 1) & (at + width - 1 <= F.length("seq"))).select("a_id", "b_n", "piece", F.xxhash64(F.substring(F.col("seq"), at, width)).alias("part"))
     pairs = own.join(pieces, ["b_n", "piece", "part"]).select("a_id", "b_id")
     if d:  # texts of b of d bases or fewer cannot be cut: they meet by length, of which there are d + 1
         lengths = F.explode(F.sequence(F.greatest(F.lit(0), F.length("seq") - d), F.least(F.lit(d), F.length("seq") + d)))
@@ -88,19 +78,48 @@ def align_scores(pairs: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def align_best(queries: DataFrame, targets: DataFrame, top_k: int = 3, k: int = 8) -> DataFrame:
-    """``(query_id, target_id, score)``: the best targets of each query among those that share a k-mer.
+#: Bases of the queries that meet all targets at once.
+BLOCK_BASES = 1 << 18
+
+
+def align_best(queries: DataFrame, targets: DataFrame, top_k: int = 3) -> DataFrame:
+    """``(query_id, target_id, score)``: the best targets of each query, out of all; ties go to the smaller
+    target id.
 
-    Candidates come from an equi-join on k-mers; only they are aligned, many pairs to an array. Ties go
-    to the smaller target id.
+    ``queries(id, seq)`` is the query set. It meets the targets in blocks of ``BLOCK_BASES``, each sent to
+    the tasks that read the targets; a task keeps the best ``top_k`` of each query, and the best of these
+    are the result. Empty queries and targets take no part.
     """
-    pairs = _shared_kmers(queries, targets, k)
-    full = pairs.join(queries.select(F.col("id").alias("a_id"), F.col("seq").alias("x")), "a_id").join(targets.select(F.col("id").alias("b_id"), F.col("seq").alias("y")), "b_id")
+    found = None
+    for block in _blocks(queries):
+        part = targets.where("seq != ''").select("id", "seq").mapInPandas(_aligner(block, top_k), "query_id long, target_id long, score long")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, target_id long, score long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "target_id")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top_k).select("query_id", "target_id", "score")
+
+
+def _blocks(queries: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    held, size = [], 0
+    for r in queries.where("seq != ''").select("id", "seq").toLocalIterator():
+        if held and size + len(r["seq"]) > BLOCK_BASES:
+            yield held
+            held, size = [], 0
+        held.append((r["id"], r["seq"]))
+        size += len(r["seq"])
+    if held:
+        yield held
 
+
+def _aligner(block: list[tuple[int, str]], top_k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, list[tuple[int, int]]] = {q: [] for q, _ in block}
         for batch in batches:
-            yield pd.DataFrame({"query_id": batch["a_id"], "target_id": batch["b_id"], "score": align_scores(batch)})
+            for query, seq in block:
+                scores = align_scores(pd.DataFrame({"x": [seq] * len(batch), "y": batch["seq"]}))
+                best[query] = sorted([*best[query], *zip((-scores).tolist(), batch["id"].tolist())])[:top_k]
+        rows = [(query, target, -score) for query, own in best.items() for score, target in own]
+        yield pd.DataFrame(rows, columns=["query_id", "target_id", "score"])
 
-    scored = full.mapInPandas(run, "query_id long, target_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "target_id")
-    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top_k).select("query_id", "target_id", "score")
+    return run

@@ -8,7 +8,9 @@ from seqspark.functions.exprs import wrap
 from seqspark.operators import cloning, edits, primers, similarity
 
 from . import derive as d
+from .chemistry import tuning_sql
 from .registry import query
+from .sites import RUNS
 
 E_ = '"end"'
 CIRC = "substring({s} || {s}, {a}, {n})"
@@ -117,10 +119,9 @@ def primers_from_ranges(spark, sf):
 
 
 LOC = "CASE WHEN his_start IS NULL THEN coalesce(rbs_end + 6, promoter_end + 7) WHEN his_start >= coalesce(rbs_end + 6, promoter_end + 7) THEN coalesce(rbs_end + 6, promoter_end + 7) + (his_start - coalesce(rbs_end + 6, promoter_end + 7)) % 3 END"
-SCREEN_WITH = (
-    f"WITH {d.SEQUENCES}, {d.STRANDS}, {d.TRIPLETS}, {d.ORFS}, {d.INSERTS}, {d.BACKBONES}, located AS (SELECT * FROM (SELECT *, {LOC} AS loc FROM backbones) WHERE loc BETWEEN 1 AND length(seq)), "
-    "own AS (SELECT insert_id, CASE WHEN right(insert, 3) IN ('taa', 'tag', 'tga') THEN left(insert, length(insert) - 3) ELSE insert END AS insert FROM inserts WHERE length(insert) >= 3), "
-    "prod AS (SELECT o.insert_id, b.*, length(o.insert) AS size, substring(b.seq, 1, b.loc - 1) || o.insert || substring(b.seq, b.loc) AS product FROM own o, located b), "
+VECTORS_WITH = f"WITH {d.SEQUENCES}, {d.STRANDS}, {d.TRIPLETS}, {d.ORFS}, {d.INSERTS}, {d.BACKBONES}, {d.PAIRS}, located AS (SELECT * FROM (SELECT *, {LOC} AS loc FROM backbones) WHERE loc BETWEEN 1 AND length(seq)), own AS (SELECT insert_id, CASE WHEN right(insert, 3) IN ('taa', 'tag', 'tga') THEN left(insert, length(insert) - 3) ELSE insert END AS insert FROM inserts WHERE length(insert) >= 3)"
+SCREEN_WITH = VECTORS_WITH + (
+    ", prod AS (SELECT o.insert_id, b.*, length(o.insert) AS size, substring(b.seq, 1, b.loc - 1) || o.insert || substring(b.seq, b.loc) AS product FROM own o JOIN pairs p ON p.insert_id = o.insert_id JOIN located b ON b.backbone_id = p.backbone_id), "
     "stops AS (SELECT insert_id, backbone_id FROM (SELECT insert_id, backbone_id, product, unnest(range(loc, his_start + size, 3)) AS i FROM prod WHERE his_start IS NOT NULL) WHERE substring(product, i, 3) IN ('taa', 'tag', 'tga') OR i + 2 >= length(product) GROUP BY ALL), "
     "screen AS (SELECT p.insert_id, p.backbone_id, CAST(loc AS INT) AS loc, CAST(length(product) AS INT) AS product_length, CASE WHEN rbs_end IS NULL THEN 'NotApplicable' WHEN loc - rbs_end BETWEEN 4 AND 11 THEN 'Pass' ELSE 'Fail' END AS rbs_dist, CASE WHEN loc > promoter_end THEN 'Pass' ELSE 'Fail' END AS promoter, CASE WHEN loc < terminator_end THEN 'Pass' ELSE 'Fail' END AS terminator, 'Pass' AS direction, "
     "CASE WHEN his_start IS NULL THEN 'NotApplicable' WHEN loc < his_start + size AND (his_start + size - loc) % 3 = 0 AND s.insert_id IS NULL THEN 'Pass' ELSE 'Fail' END AS tag_frame FROM prod p LEFT JOIN stops s ON s.insert_id = p.insert_id AND s.backbone_id = p.backbone_id)"
@@ -129,15 +130,20 @@ SCREEN_WITH = (
 
 @query("b12_cloning_screen", SCREEN_WITH + " SELECT * FROM screen")
 def cloning_screen(spark, sf):
-    return cloning.cloning_screen(d.inserts(spark, sf), d.backbones(spark, sf))
+    return cloning.cloning_screen(d.inserts(spark, sf), d.backbones(spark, sf), d.pairs(spark, sf))
 
 
 @query(
     "b12_screen_summary",
-    SCREEN_WITH + " SELECT backbone_id, tag_frame, count(*) AS pairs, count(*) FILTER (rbs_dist <> 'Fail' AND promoter <> 'Fail' AND terminator <> 'Fail' AND tag_frame <> 'Fail') AS good FROM screen GROUP BY ROLLUP (backbone_id, tag_frame)",
+    VECTORS_WITH
+    + ", ic AS (SELECT insert_id, length(insert) AS size, length(insert) % 3 = 0 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(1, length(insert) - 1, 3)) AS i) WHERE substring(insert, i, 3) IN ('taa', 'tag', 'tga')) AS ok FROM own), "
+    "vc AS (SELECT backbone_id, his_start, loc, (rbs_end IS NULL OR loc - rbs_end BETWEEN 4 AND 11) AND loc > promoter_end AND loc < terminator_end AS fine, NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(loc, his_start, 3)) AS i) WHERE substring(seq, i, 3) IN ('taa', 'tag', 'tga') OR i + 2 >= length(seq)) AS ok FROM located), "
+    "screen AS (SELECT v.backbone_id, v.fine, CASE WHEN his_start IS NULL THEN 'NotApplicable' WHEN i.ok AND v.ok AND loc < his_start + size THEN 'Pass' ELSE 'Fail' END AS tag_frame FROM ic i, vc v) "
+    "SELECT backbone_id, tag_frame, count(*) AS pairs, count(*) FILTER (fine AND tag_frame <> 'Fail') AS good FROM screen GROUP BY ROLLUP (backbone_id, tag_frame)",
 )
 def screen_summary(spark, sf):
-    return cloning.screen_summary(cloning_screen(spark, sf))
+    """Every insert with every vector."""
+    return cloning.screen_summary(d.inserts(spark, sf), d.backbones(spark, sf))
 
 
 @query("h10_insert_locations", f"WITH {d.SEQUENCES}, {d.BACKBONES} SELECT backbone_id, CAST({LOC} AS INT) AS loc FROM backbones")
@@ -158,11 +164,14 @@ def filter_backbones(spark, sf):
 
 @query(
     "h8_backbones_from_features",
-    f"WITH {d.FEATURES}, k AS (SELECT seq_id, feature_type, start, {E_}, row_number() OVER (PARTITION BY seq_id, feature_type ORDER BY feature_id DESC) AS r FROM features) "
-    f"SELECT q.seq_id AS backbone_id, q.topology, p.start AS promoter_start, p.{E_} AS promoter_end FROM sequences q LEFT JOIN k p ON p.seq_id = q.seq_id AND p.feature_type = 'Promoter' AND p.r = 1",
+    f"WITH {d.FEATURES}, t AS (SELECT * REPLACE (CASE feature_type WHEN 'Ori' THEN 'Terminator' WHEN 'Generic' THEN 'RibosomeBindSite' ELSE feature_type END AS feature_type) FROM features), k AS (SELECT seq_id, feature_type, start, {E_}, row_number() OVER (PARTITION BY seq_id, feature_type ORDER BY feature_id DESC) AS r FROM t) "
+    f"SELECT q.seq_id AS backbone_id, q.topology, p.start AS promoter_start, p.{E_} AS promoter_end, t.start AS terminator_start, t.{E_} AS terminator_end, r.start AS rbs_start, r.{E_} AS rbs_end FROM sequences q LEFT JOIN k p ON p.seq_id = q.seq_id AND p.feature_type = 'Promoter' AND p.r = 1 LEFT JOIN k t ON t.seq_id = q.seq_id AND t.feature_type = 'Terminator' AND t.r = 1 LEFT JOIN k r ON r.seq_id = q.seq_id AND r.feature_type = 'RibosomeBindSite' AND r.r = 1",
 )
 def backbones_from_features(spark, sf):
-    return cloning.backbones_from_features(d.sequences(spark, sf), d.features(spark, sf)).select("backbone_id", "topology", "promoter_start", "promoter_end")
+    """Library entries of two further kinds stand for terminators and ribosome binding sites."""
+    kind = F.when(F.col("feature_type") == "Ori", "Terminator").when(F.col("feature_type") == "Generic", "RibosomeBindSite").otherwise(F.col("feature_type"))
+    found = cloning.backbones_from_features(d.sequences(spark, sf), d.features(spark, sf).withColumn("feature_type", kind))
+    return found.drop("seq")
 
 
 RANGES = "rng AS (SELECT backbone_id, 0 AS feature_id, 'Promoter' AS feature_type, promoter_start AS start, promoter_end AS \"end\" FROM backbones UNION ALL SELECT backbone_id, 1, 'Terminator', terminator_start, terminator_end FROM backbones UNION ALL SELECT backbone_id, 2, 'RibosomeBindSite', rbs_start, rbs_end FROM backbones WHERE rbs_start IS NOT NULL UNION ALL SELECT backbone_id, 3, 'CodingRegion', his_start, his_end FROM backbones WHERE his_start IS NOT NULL)"
@@ -173,10 +182,10 @@ def features_from_backbones(spark, sf):
     return cloning.features_from_backbones(d.backbones(spark, sf))
 
 
-def _products(spark, sf):
+def _products(spark, sf, library=None):
     backs = d.backbones(spark, sf)
-    feats = cloning.features_from_backbones(backs).select("backbone_id", "feature_id", "start", "end", F.col("feature_type").alias("label"))
-    return cloning.cloning_products(d.inserts(spark, sf), backs, feats)
+    feats = cloning.features_from_backbones(backs).withColumn("direction", F.lit("None")).withColumn("label", F.col("feature_type"))
+    return cloning.cloning_products(d.inserts(spark, sf), backs, feats, d.pairs(spark, sf), library=library, min_run=3)
 
 
 @query("h12_cloning_products", SCREEN_WITH + " SELECT insert_id, backbone_id, md5(product) AS product FROM prod")
@@ -184,46 +193,73 @@ def cloning_products(spark, sf):
     return _products(spark, sf)[0].select("insert_id", "backbone_id", F.md5("seq").alias("product"))
 
 
+# products as the sequences of the annotation SQL
+PRODUCTS = "sequences AS (SELECT {'i': insert_id, 'b': backbone_id} AS seq_id, product AS seq, 'circular' AS topology FROM prod)"
+LIFTED = (
+    f"lifted AS (SELECT p.insert_id, p.backbone_id, CAST(f.feature_id AS BIGINT) AS feature_id, CAST(f.start + CASE WHEN f.start >= p.loc THEN p.size ELSE 0 END AS INT) AS start, CAST(f.{E_} + CASE WHEN f.{E_} >= p.loc THEN p.size ELSE 0 END AS INT) AS {E_}, f.feature_type, 'None' AS direction, f.feature_type AS label FROM prod p JOIN rng f USING (backbone_id) "
+    "UNION ALL SELECT insert_id, backbone_id, -1, CAST(loc AS INT), CAST(loc + size - 1 AS INT), 'CodingRegion', 'Forward', 'Cloning insert' FROM prod)"
+)
+
+
 @query(
     "h12_product_features",
-    SCREEN_WITH + f", {RANGES} SELECT p.insert_id, p.backbone_id, CAST(f.feature_id AS BIGINT) AS feature_id, CAST(f.start + CASE WHEN f.start >= p.loc THEN p.size ELSE 0 END AS INT) AS start, CAST(f.{E_} + CASE WHEN f.{E_} >= p.loc THEN p.size ELSE 0 END AS INT) AS {E_}, f.feature_type AS label FROM prod p JOIN rng f USING (backbone_id) UNION ALL SELECT insert_id, backbone_id, -1, CAST(loc AS INT), CAST(loc + size - 1 AS INT), 'Cloning insert' FROM prod",
+    f"{SCREEN_WITH}, {RANGES}, {LIFTED}, {d.LIBRARY}, lib_patterns AS (SELECT lib_id AS pattern_id, seq AS pattern FROM library), {PRODUCTS.replace('sequences AS', 'made AS')}, {d.hits_sql('hits', 'lib_patterns', sequences='made')}, {d.LIBRARY_FEATURES}, "
+    f"{d.STRANDS.replace('strands AS', 'pstrands AS').replace('FROM sequences', 'FROM made')}, {d.TRIPLETS.replace('triplets AS', 'ptriplets AS').replace('FROM strands', 'FROM pstrands')}, {RUNS.replace('FROM triplets', 'FROM ptriplets')}, "
+    f"found AS (SELECT * FROM lib_features UNION ALL SELECT seq_id, start, {E_}, 'CodingRegion', CASE WHEN strand = 'Fwd' THEN 'Forward' ELSE 'Reverse' END, codons || '×His' FROM tags) "
+    f"SELECT * FROM lifted UNION ALL SELECT f.seq_id.i, f.seq_id.b, NULL, f.start, f.{E_}, f.feature_type, f.direction, f.label FROM found f WHERE NOT EXISTS (SELECT 1 FROM lifted k WHERE k.insert_id = f.seq_id.i AND k.backbone_id = f.seq_id.b AND k.start = f.start AND k.{E_} = f.{E_})",
 )
 def product_features(spark, sf):
-    return _products(spark, sf)[1]
+    """Lifted vector features and the insert, and what the library finds on the products besides."""
+    return _products(spark, sf, d.feature_library(spark, sf))[1]
 
 
 def _slic_pairs(spark, sf):
-    backs = d.backbones(spark, sf).withColumn("loc", cloning.insert_location()).where("loc is not null").select(F.col("seq").alias("vector"), F.col("loc").cast("int").alias("loc"), F.col("backbone_id"))
+    backs = d.backbones(spark, sf).withColumn("loc", cloning.insert_location()).where("loc is not null").select(F.col("seq").alias("vector"), F.col("loc").cast("int").alias("loc"), "backbone_id")
     ins = d.inserts(spark, sf).select("insert_id", "insert")
-    return backs.join(ins, F.col("backbone_id") + 1 == F.col("insert_id")).select(F.col("backbone_id").alias("pair_id"), "vector", "insert", "loc")
+    return d.pairs(spark, sf).join(ins, "insert_id").join(backs, "backbone_id").select(F.col("insert_id").alias("pair_id"), "vector", "insert", "loc")
 
 
-@query(
-    "h2_design_slic",
-    f"WITH {d.SEQUENCES}, {d.STRANDS}, {d.TRIPLETS}, {d.ORFS}, {d.INSERTS}, {d.BACKBONES}, l AS (SELECT *, {LOC} AS loc0 FROM backbones), p AS (SELECT b.backbone_id AS pair_id, b.seq AS v, i.insert, (b.loc0 - 1) % length(b.seq) + 1 AS loc, length(b.seq) AS n FROM l b JOIN inserts i ON i.insert_id = b.backbone_id + 1 WHERE b.loc0 IS NOT NULL), "
-    f"w AS (SELECT pair_id, insert, substring(v || v, loc, 32) AS fwd, {d.RC.format('substring(v || v, (loc - 33 + n) % n + 1, 32)')} AS rev FROM p) "
-    f"SELECT pair_id, 'Vector fwd' AS name, fwd AS seq, 'only3' AS tune_mode, CAST(NULL AS INT) AS anchor FROM w UNION ALL SELECT pair_id, 'Vector rev', rev, 'only3', NULL FROM w UNION ALL SELECT pair_id, 'Insert fwd', {d.RC.format('rev')} || substring(insert, 1, 30), 'both', 30 FROM w UNION ALL SELECT pair_id, 'Insert rev', {d.RC.format('fwd')} || substring({d.RC.format('insert')}, 1, 30), 'both', 32 FROM w",
+SLIC = (
+    f"l AS (SELECT *, {LOC} AS loc0 FROM backbones), p AS (SELECT i.insert_id AS pair_id, b.seq AS v, i.insert, (b.loc0 - 1) % length(b.seq) + 1 AS loc, length(b.seq) AS n FROM pairs x JOIN l b ON b.backbone_id = x.backbone_id JOIN inserts i ON i.insert_id = x.insert_id WHERE b.loc0 IS NOT NULL), "
+    f"w AS (SELECT pair_id, insert, substring(v || v, loc, 32) AS fwd, {d.RC.format('substring(v || v, (loc - 33 + n) % n + 1, 32)')} AS rev FROM p), "
+    f"slic AS (SELECT pair_id, 'Vector fwd' AS name, fwd AS seq, 'only3' AS tune_mode, CAST(NULL AS INT) AS anchor FROM w UNION ALL SELECT pair_id, 'Vector rev', rev, 'only3', NULL FROM w UNION ALL SELECT pair_id, 'Insert fwd', {d.RC.format('rev')} || substring(insert, 1, 30), 'both', 30 FROM w UNION ALL SELECT pair_id, 'Insert rev', {d.RC.format('fwd')} || substring({d.RC.format('insert')}, 1, 30), 'both', 32 FROM w)"
 )
+SLIC_WITH = f"WITH {d.SEQUENCES}, {d.STRANDS}, {d.TRIPLETS}, {d.ORFS}, {d.INSERTS}, {d.BACKBONES}, {d.PAIRS}, {SLIC}"
+
+
+@query("h2_design_slic", f"{SLIC_WITH} SELECT * FROM slic")
 def design_slic(spark, sf):
     return primers.design_slic(_slic_pairs(spark, sf))
 
 
-def _starts(spark, sf):
-    """The first 24 bases of each sequence: the texts of the similarity queries."""
-    return d.sequences(spark, sf).select(F.col("seq_id").alias("id"), F.substring("seq", 1, 24).alias("seq"))
+@query("h2_tuned_slic", f"{SLIC_WITH}, {tuning_sql('slic', ('pair_id', 'name'))} SELECT pair_id, name, tune_mode, trim5, trim3, seq, quality FROM tuned")
+def tuned_slic(spark, sf):
+    return primers.tuned_designs(primers.design_slic(_slic_pairs(spark, sf)), "pair_id")
+
+
+AMPLIFY = f"amplify AS (SELECT seq_id, 'Amplification fwd' AS name, substring(seq, 1, 32) AS seq, 'only3' AS tune_mode, CAST(NULL AS INT) AS anchor FROM sequences WHERE length(seq) >= 10 UNION ALL SELECT seq_id, 'Amplification rev', substring({d.RC.format('seq')}, 1, 32), 'only3', NULL FROM sequences WHERE length(seq) >= 10)"
+
+
+@query("h3_tuned_amplification", f"WITH {d.SEQUENCES}, {AMPLIFY}, {tuning_sql('amplify', ('seq_id', 'name'))} SELECT seq_id, name, tune_mode, trim5, trim3, seq, quality FROM tuned")
+def tuned_amplification(spark, sf):
+    return primers.tuned_designs(primers.design_amplification(d.sequences(spark, sf)), "seq_id")
+
+
+DISTANCE = "CASE WHEN length(a.seq) = length(b.seq) THEN hamming(a.seq || 'x', b.seq || 'x') ELSE levenshtein(a.seq, b.seq) END"
 
 
 @query(
     "b14_similarity_join",
-    f"WITH {d.SEQUENCES}, s AS (SELECT seq_id AS id, substring(seq, 1, 24) AS seq FROM sequences) SELECT a.id AS a_id, b.id AS b_id, CAST(CASE WHEN length(a.seq) = length(b.seq) THEN hamming(a.seq || 'x', b.seq || 'x') ELSE levenshtein(a.seq, b.seq) END AS INT) AS distance FROM s a, s b "
-    "WHERE a.id % 100 = 0 AND CASE WHEN length(a.seq) = length(b.seq) THEN hamming(a.seq || 'x', b.seq || 'x') ELSE levenshtein(a.seq, b.seq) END <= 5",
+    f"WITH {d.SEQUENCES}, s AS (SELECT seq_id AS id, seq FROM sequences) SELECT a.id AS a_id, b.id AS b_id, CAST({DISTANCE} AS INT) AS distance FROM s a JOIN s b ON length(b.seq) BETWEEN length(a.seq) - 5 AND length(a.seq) + 5 WHERE a.id % 100 = 0 AND {DISTANCE} <= 5",
 )
 def similarity_join(spark, sf):
-    texts = _starts(spark, sf)
+    """Whole sequences; the query set is every hundredth."""
+    texts = d.sequences(spark, sf).select(F.col("seq_id").alias("id"), "seq")
     return similarity.similarity_join(texts.where(F.col("id") % 100 == 0), texts, 5)
 
 
 @query("b15_align_best")
 def align_best(spark, sf):
+    """The library against every sequence. SQL has no affine alignment; a plain version is in the tests."""
     lib = d.feature_library(spark, sf).select(F.col("lib_id").alias("id"), "seq")
-    return similarity.align_best(lib, d.sequences(spark, sf).select(F.col("seq_id").alias("id"), "seq"), top_k=3, k=10)
+    return similarity.align_best(lib, d.sequences(spark, sf).select(F.col("seq_id").alias("id"), "seq"), top_k=3)

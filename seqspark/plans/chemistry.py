@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqspark.functions.constants import values_sql
-from seqspark.operators import library, pcr, primers
+from seqspark.operators import frames, library, pcr, primers
 from seqspark.session import read_table
 
 from . import derive as d
 from .registry import query
-from .sites import primer_sites as found_sites
+from .sites import RUNS, primer_sites as found_sites
 
 WITH = f"WITH {d.SEQUENCES}, {d.LIBRARY}, {d.PRIMERS}"
 #: ln(0.05), R ln(1.25e-8): the default ions.
@@ -97,14 +97,25 @@ def qc_summary(spark, sf):
     return primers.qc_summary(primer_qc(spark, sf))
 
 
+def tuning_sql(source: str, keys: tuple[str, ...]) -> str:
+    """``tuned`` with the best trim of each row of ``source(keys, seq, tune_mode, anchor)``."""
+    own = ", ".join(f"'{k}': {k}" for k in keys)
+    shown = ", ".join(f"owner.{k} AS {k}" for k in keys)
+    return (
+        "room AS (SELECT *, CASE WHEN tune_mode = 'only5' THEN length(seq) - 10 WHEN tune_mode = 'both' AND length(seq) > 20 THEN greatest(anchor - 10, 0) ELSE 0 END AS r5, CASE WHEN tune_mode = 'only3' THEN length(seq) - 10 WHEN tune_mode = 'both' AND length(seq) > 20 THEN greatest(length(seq) - anchor - 10, 0) ELSE 0 END AS r3 "
+        f"FROM {source} WHERE length(seq) >= 10), "
+        "t5 AS (SELECT *, unnest(range(0, CASE WHEN tune_mode = 'both' AND r3 < 1 THEN 1 ELSE greatest(r5, 1) END)) AS trim5, CASE WHEN tune_mode = 'both' AND r5 < 1 THEN 1 ELSE greatest(r3, 1) END AS n3 FROM room), "
+        "t3 AS (SELECT *, unnest(range(0, n3)) AS trim3 FROM t5), "
+        f"cand AS (SELECT {{{own}}} AS owner, row_number() OVER () AS primer_id, substring(seq, trim5 + 1, length(seq) - trim5 - trim3) AS seq, tune_mode, CAST(trim5 AS INT) AS trim5, CAST(trim3 AS INT) AS trim3 FROM t3), "
+        f"{qc_sql('q', 'cand')}, best AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY quality DESC, trim5, trim3) AS b FROM q), "
+        f"tuned AS (SELECT {shown}, tune_mode, trim5, trim3, seq, quality FROM best WHERE b = 1)"
+    )
+
+
 @query(
     "f1_tune_primers",
     f"WITH {d.LIBRARY}, lp AS (SELECT lib_id AS primer_id, substring(seq, 1, 32) AS seq, CASE lib_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'only3' ELSE 'only5' END AS tune_mode, 16 AS anchor FROM library WHERE length(seq) >= 15), "
-    "room AS (SELECT *, CASE WHEN tune_mode = 'only5' THEN length(seq) - 10 WHEN tune_mode = 'both' AND length(seq) > 20 THEN greatest(anchor - 10, 0) ELSE 0 END AS r5, CASE WHEN tune_mode = 'only3' THEN length(seq) - 10 WHEN tune_mode = 'both' AND length(seq) > 20 THEN greatest(length(seq) - anchor - 10, 0) ELSE 0 END AS r3 FROM lp), "
-    "t5 AS (SELECT *, unnest(range(0, CASE WHEN tune_mode = 'both' AND r3 < 1 THEN 1 ELSE greatest(r5, 1) END)) AS trim5, CASE WHEN tune_mode = 'both' AND r5 < 1 THEN 1 ELSE greatest(r3, 1) END AS n3 FROM room), "
-    "t3 AS (SELECT *, unnest(range(0, n3)) AS trim3 FROM t5), "
-    "cand AS (SELECT primer_id AS owner, primer_id * 10000 + trim5 * 100 + trim3 AS primer_id, substring(seq, trim5 + 1, length(seq) - trim5 - trim3) AS seq, tune_mode, CAST(trim5 AS INT) AS trim5, CAST(trim3 AS INT) AS trim3 FROM t3), "
-    f"{qc_sql('q', 'cand')}, best AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY quality DESC, trim5, trim3) AS b FROM q) SELECT owner AS primer_id, trim5, trim3, seq, round(quality, 4) AS quality FROM best WHERE b = 1",
+    f"{tuning_sql('lp', ('primer_id',))} SELECT primer_id, trim5, trim3, seq, quality FROM tuned",
 )
 def tune_primers(spark, sf):
     return primers.tune_primers(d.long_primers(spark, sf))
@@ -189,9 +200,9 @@ def sequence_stats(spark, sf):
 
 
 def _reads(spark, sf):
-    """Reads with four channels computed from base and position."""
-    bases = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda p: F.substring(F.col("seq"), p, F.lit(1)))
-    rows = d.sequences(spark, sf).where("seq != ''").select(F.col("seq_id").alias("read_id"), F.substring("seq", 1, 60).alias("seq"))
+    """Whole sequences as reads, with four channels computed from base and position."""
+    bases = F.split("seq", "")
+    rows = d.sequences(spark, sf).where("seq != ''").select(F.col("seq_id").alias("read_id"), "seq")
     channel = lambda base, k: F.transform(bases, lambda b, i: F.when(b == base, 100 + (i * k) % 37).otherwise(i % 11).cast("int"))
     return rows.select("read_id", "seq", *[channel(b, k).alias(f"ch{j}") for j, (b, k) in enumerate((("a", 3), ("c", 5), ("g", 7), ("t", 11)), 1)])
 
@@ -202,9 +213,27 @@ def _reads(spark, sf):
     "SELECT read_id, CAST(max(100 + (i * CASE b WHEN 'a' THEN 3 WHEN 'c' THEN 5 WHEN 'g' THEN 7 ELSE 11 END) % 37) AS INT) AS peak FROM p GROUP BY read_id",
 )
 def trace_scale(spark, sf):
+    """The scale is that of the first 41 samples; the reads are whole."""
     return library.trace_scale(_reads(spark, sf))
 
 
-@query("a8_reads_to_sequences", f"WITH {d.SEQUENCES} SELECT seq_id, 'read ' || seq_id AS name, substring(seq, 1, 60) AS seq, CAST(least(60, length(seq)) AS INT) AS length, 'linear' AS topology FROM sequences WHERE seq <> ''")
+@query("a8_reads_to_sequences", f"WITH {d.SEQUENCES} SELECT seq_id, 'read ' || seq_id AS name, seq, CAST(length(seq) AS INT) AS length, 'linear' AS topology FROM sequences WHERE seq <> ''")
 def reads_to_sequences(spark, sf):
     return library.reads_to_sequences(_reads(spark, sf))
+
+
+LINEAR = d.SEQUENCES.replace("CASE WHEN doc_id % 2 = 0 THEN 'circular' ELSE 'linear' END", "'linear'")
+
+
+@query(
+    "a8_read_features",
+    f"WITH {LINEAR}, {d.LIBRARY}, {d.LIBRARY_HITS}, {d.LIBRARY_FEATURES}, {d.STRANDS}, {d.TRIPLETS}, {d.ORFS}, {RUNS}, known AS (SELECT seq_id, start, \"end\", 'CodingRegion' AS feature_type, 'Forward' AS direction, 'orf' || frame AS label FROM orfs WHERE \"end\" - start >= 29 AND frame LIKE 'Fwd%'), "
+    "found AS (SELECT * FROM lib_features UNION ALL SELECT seq_id, start, \"end\", 'CodingRegion', CASE WHEN strand = 'Fwd' THEN 'Forward' ELSE 'Reverse' END, codons || '×His' FROM tags) "
+    "SELECT * FROM known UNION ALL SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.seq_id = f.seq_id AND k.start = f.start AND k.\"end\" = f.\"end\")",
+)
+def read_features(spark, sf):
+    """Reads come with their forward reading frames; the library is merged in."""
+    reads = d.sequences(spark, sf).where("seq != ''").select(F.col("seq_id").alias("read_id"), "seq")
+    orfs = frames.orfs(library.reads_to_sequences(reads)).where((F.col("end") - F.col("start") >= 29) & F.col("frame").startswith("Fwd"))
+    known = orfs.select("seq_id", "start", "end", F.lit("CodingRegion").alias("feature_type"), F.lit("Forward").alias("direction"), F.concat(F.lit("orf"), "frame").alias("label"))
+    return library.annotate_reads(reads, d.feature_library(spark, sf), known, min_run=3)[1]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from seqspark.functions.exprs import clean_sequence, reverse_complement
 from seqspark.operators import frames, matching
 from seqspark.session import read_table
 
+#: Insert ids are sequence ids times this, and the first base.
+INSERT_PLACES = 10_000_000
 TYPES = ("CodingRegion", "Promoter", "Ori", "AntibioticResistance", "Generic")
 
 
@@ -55,7 +57,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 def library_hits(spark: SparkSession, sf: str) -> DataFrame:
     lib = feature_library(spark, sf).select(F.col("lib_id").alias("pattern_id"), F.col("seq").alias("pattern"))
-    return matching.motif_hits(sequences(spark, sf), lib, min_len=10, seeds=(10,))
+    return matching.motif_hits(sequences(spark, sf), lib, min_len=10)
 
 
 def backbones(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,11 +78,22 @@ def backbones(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def inserts(spark: SparkSession, sf: str) -> DataFrame:
-    """Forward reading frames of 60 bases or more of every linear sequence's first such frame."""
+    """All forward reading frames of 30 bases or more of linear sequences; the id holds sequence and start."""
     seqs = sequences(spark, sf).where("topology = 'linear'")
-    orfs = frames.orfs(seqs).where((F.col("end") - F.col("start") >= 59) & F.col("frame").startswith("Fwd"))
-    first = orfs.groupBy("seq_id").agg(F.min(F.struct("start", "end")).alias("r")).select("seq_id", "r.*")
-    return first.join(seqs, "seq_id").select(F.col("seq_id").alias("insert_id"), F.substring(F.col("seq"), F.col("start"), F.col("end") - F.col("start") + 1).alias("insert"))
+    orfs = frames.orfs(seqs).where((F.col("end") - F.col("start") >= 29) & F.col("frame").startswith("Fwd"))
+    own = F.substring(F.col("seq"), F.col("start"), F.col("end") - F.col("start") + 1)
+    return orfs.select("seq_id", "start", "end").join(seqs, "seq_id").select((F.col("seq_id") * INSERT_PLACES + F.col("start")).alias("insert_id"), "seq_id", own.alias("insert"))
+
+
+def vector_of(seq_id: Column) -> Column:
+    """The vector that is stated for a sequence's inserts: the sequence of its round hundred, if it is one."""
+    return seq_id - seq_id % 100
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """``(insert_id, backbone_id)``: every insert with its stated vector."""
+    rows = inserts(spark, sf).select("insert_id", vector_of(F.col("seq_id")).alias("backbone_id"))
+    return rows.join(backbones(spark, sf).select("backbone_id"), "backbone_id", "left_semi").select("insert_id", "backbone_id")
 
 
 def alignments(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,6 +154,6 @@ BACKBONES = (
     "FROM (SELECT *, CAST(length(seq) AS DOUBLE) AS n FROM sequences) WHERE topology = 'circular' AND n >= 600)"
 )
 INSERTS = (
-    "first_orfs AS (SELECT o.seq_id, min({'s': o.start, 'e': o.\"end\"}) AS r FROM orfs o JOIN sequences q ON q.seq_id = o.seq_id WHERE q.topology = 'linear' AND o.\"end\" - o.start >= 59 AND frame LIKE 'Fwd%' GROUP BY o.seq_id), "
-    "inserts AS (SELECT f.seq_id AS insert_id, substring(q.seq, f.r.s, f.r.e - f.r.s + 1) AS insert FROM first_orfs f JOIN sequences q ON q.seq_id = f.seq_id)"
+    "inserts AS (SELECT o.seq_id * 10000000 + o.start AS insert_id, o.seq_id, substring(q.seq, o.start, o.\"end\" - o.start + 1) AS insert FROM orfs o JOIN sequences q ON q.seq_id = o.seq_id WHERE q.topology = 'linear' AND o.\"end\" - o.start >= 29 AND frame LIKE 'Fwd%')"
 )
+PAIRS = "pairs AS (SELECT i.insert_id, b.backbone_id FROM inserts i JOIN backbones b ON b.backbone_id = i.seq_id - i.seq_id % 100)"

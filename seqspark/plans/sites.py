@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqspark.functions.constants import HIS_CODONS, values_sql
+from seqspark.functions.exprs import clean_sequence
 from seqspark.operators import enzymes, frames, intervals, library, matching
+from seqspark.session import read_table
 
 from . import derive as d
 from .registry import query
@@ -42,10 +44,13 @@ def annotate(spark, sf):
 
 @query(
     "b4_search",
-    f"{WITH}qq AS (SELECT lib_id AS pattern_id, substring(seq, 1, 7) AS pattern FROM library), {d.hits_sql('hits', 'qq')} SELECT seq_id, pattern_id AS query_id, strand, start, {E_} FROM hits",
+    f"{WITH}qq AS (SELECT item_id AS pattern_id, seq AS pattern FROM (SELECT item_id, {d.CLEAN.format("array_to_string(string_split(text, ' ')[1:4], '')")} AS seq FROM benchmark) WHERE length(seq) >= 3), {d.hits_sql('hits', 'qq')} SELECT seq_id, pattern_id AS query_id, strand, start, {E_} FROM hits",
 )
 def search(spark, sf):
-    return matching.search(d.sequences(spark, sf), d.feature_library(spark, sf).select(F.col("lib_id").alias("query_id"), F.substring("seq", 1, 7).alias("seq")))
+    """Short queries of 3 bases or more, from the first four words of each benchmark item."""
+    seq = clean_sequence(F.array_join(F.slice(F.split("text", " "), 1, 4), ""))
+    queries = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), seq.alias("seq"))
+    return matching.search(d.sequences(spark, sf), queries.where(F.length("seq") >= 3))
 
 
 SITES = (
@@ -241,18 +246,22 @@ def unique_cutters(spark, sf):
 @query(
     "b13_re_candidates",
     SITES_WITH + "SELECT a.seq_id AS insert_id, b.seq_id AS vector_id, a.enzyme_id, a.site_start AS insert_pos, b.site_start AS vector_pos FROM re_sites a JOIN re_sites b ON a.enzyme_id = b.enzyme_id JOIN enzymes e ON e.enzyme_id = a.enzyme_id "
-    "JOIN sequences i ON i.seq_id = a.seq_id JOIN sequences v ON v.seq_id = b.seq_id WHERE a.match_count = 1 AND b.match_count = 1 AND NOT e.is_blunt AND i.topology = 'linear' AND v.topology = 'circular' AND length(v.seq) >= 600",
+    "JOIN sequences i ON i.seq_id = a.seq_id JOIN sequences v ON v.seq_id = b.seq_id WHERE a.match_count = 1 AND b.match_count = 1 AND NOT e.is_blunt AND i.topology = 'linear' AND v.topology = 'circular' AND length(v.seq) >= 600 AND v.seq_id = i.seq_id - i.seq_id % 10",
 )
 def re_candidates(spark, sf):
+    """Every linear sequence with one vector: the sequence of its round ten."""
     seqs = d.sequences(spark, sf)
+    inserts = seqs.where("topology = 'linear'")
     vectors = seqs.where((F.col("topology") == "circular") & (F.length("seq") >= 600))
-    return enzymes.re_candidates(enzymes.re_sites(seqs.where("topology = 'linear'")), enzymes.re_sites(vectors))
+    pairs = inserts.select(F.col("seq_id").alias("insert_id"), (F.col("seq_id") - F.col("seq_id") % 10).alias("vector_id")).join(vectors.select(F.col("seq_id").alias("vector_id")), "vector_id", "left_semi")
+    return enzymes.re_candidates(enzymes.re_sites(inserts), enzymes.re_sites(vectors), pairs)
 
 
-@query("g3_common_enzymes", SITES_WITH + "SELECT enzyme FROM re_sites r JOIN (SELECT seq_id FROM sequences ORDER BY length(seq) DESC, seq_id LIMIT 2) t USING (seq_id) GROUP BY enzyme HAVING count(DISTINCT seq_id) = 2")
+@query("g3_common_enzymes", SITES_WITH + ", sets AS (SELECT seq_id // 2 AS set_id, seq_id FROM sequences) SELECT set_id, enzyme FROM sets JOIN re_sites USING (seq_id) GROUP BY set_id, enzyme HAVING count(DISTINCT seq_id) = (SELECT count(*) FROM sets s WHERE s.set_id = sets.set_id)")
 def common_enzymes(spark, sf):
-    longest = d.sequences(spark, sf).orderBy(F.desc(F.length("seq")), "seq_id").limit(2)
-    return enzymes.common_enzymes(re_sites(spark, sf), longest)
+    """Sets of two neighbouring sequences."""
+    seqs = d.sequences(spark, sf)
+    return enzymes.common_enzymes(enzymes.re_sites(seqs), seqs.select(F.floor(F.col("seq_id") / 2).alias("set_id"), "seq_id"))
 
 
 @query("f3_ordered_sites", SITES_WITH + "SELECT seq_id, enzyme, site_start, row_number() OVER (PARTITION BY seq_id ORDER BY site_start, enzyme) AS place FROM re_sites")

@@ -23,8 +23,9 @@ def read_genbank(spark: SparkSession, path: str, files: str = FILES) -> dict[str
     Records are cut at ``//`` lines, so files are split between tasks. Each range of a join is a feature
     row; what cannot be read as a range gives a row with ``parse_error`` true and null places.
     """
-    raw = spark.read.option("lineSep", "\n//\n").option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path)
-    records = raw.where(F.trim("value") != "").select(F.regexp_replace("value", "\r", "").alias("record"), F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.option("lineSep", "\n//").option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path)
+    # what follows a cut is the end of its line, of either kind
+    records = raw.where(F.col("value").rlike(r"\S")).select(F.regexp_replace("value", r"\r|^\s+", "").alias("record"), F.col("_metadata.file_name").alias("file"))
     field = lambda name: F.trim(F.regexp_replace(F.regexp_extract("record", rf"(?m)^{name} +((?:.*)(?:\n {{12}}.*)*)", 1), r"\n +", " "))
     locus = F.regexp_extract("record", r"(?m)^LOCUS +(\S+)", 1)
     records = records.withColumn("name", locus).withColumn("seq_id", F.xxhash64("file", "record"))

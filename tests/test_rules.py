@@ -262,12 +262,132 @@ def test_cloning_checks(spark):
     schema = "backbone_id long, seq string, promoter_start int, promoter_end int, terminator_start int, terminator_end int, rbs_start int, rbs_end int, his_start int, his_end int"
     backs = spark.createDataFrame([(1, vector, 1, 10, 80, 90, 12, 18, 51, 68), (2, vector, 1, 10, 80, 90, None, None, None, None), (3, vector, 1, 10, 80, 90, 12, 18, 20, 37)], schema)
     ins = spark.createDataFrame([(1, "atggcgtaa"), (2, "atgtaagcg"), (3, "at")], "insert_id long, insert string")
-    rows = {(r["insert_id"], r["backbone_id"]): r for r in cloning.cloning_screen(ins, backs).collect()}
+    pairs = ins.select("insert_id").crossJoin(backs.select("backbone_id"))
+    rows = {(r["insert_id"], r["backbone_id"]): r for r in cloning.cloning_screen(ins, backs, pairs).collect()}
     assert set(rows) == {(1, 1), (1, 2), (2, 1), (2, 2)}
     assert rows[1, 1]["loc"] == 24 and rows[1, 1]["tag_frame"] == "Pass" and rows[2, 1]["tag_frame"] == "Fail" and rows[1, 2]["rbs_dist"] == "NotApplicable"
     assert rows[1, 1]["product_length"] == 106 and rows[2, 1]["product_length"] == 109
 
 
+def plain_tag_frame(insert, vector, loc, his):
+    """The check on the product as a string."""
+    insert = insert[:-3] if insert[-3:] in ("taa", "tag", "tga") else insert
+    product, tag = vector[: loc - 1] + insert + vector[loc - 1 :], his + len(insert)
+    if loc >= tag or (tag - loc) % 3:
+        return "Fail"
+    stops = any(product[i - 1 : i + 2] in ("taa", "tag", "tga") or i + 2 >= len(product) for i in range(loc, tag, 3))
+    return "Fail" if stops else "Pass"
+
+
+def test_screen_and_summary_equal_plain_products(spark):
+    rng = random.Random(12)
+    vectors, inserts = [], []
+    for i in range(60):
+        seq = "".join(rng.choice("acgt") for _ in range(rng.randint(24, 40)))
+        rbs = rng.randint(3, 10)
+        his = rng.choice([None, rbs + 6 + rng.randint(0, 12), len(seq) - rng.randint(0, 2)])
+        vectors.append((i, seq, 1, 2, 30, 33, *rng.choice([(rbs - 2, rbs), (None, None)]), his, None if his is None else his + 5))
+    for i in range(40):
+        size = rng.choice([3, 3, 6, 7, 9, 12])
+        inserts.append((i, rng.choice(["taa", "".join(rng.choice("acgt") for _ in range(size))])))
+    schema = "backbone_id long, seq string, promoter_start int, promoter_end int, terminator_start int, terminator_end int, rbs_start int, rbs_end int, his_start int, his_end int"
+    backs, ins = spark.createDataFrame(vectors, schema), spark.createDataFrame(inserts, "insert_id long, insert string")
+    rows = cloning.cloning_screen(ins, backs, ins.select("insert_id").crossJoin(backs.select("backbone_id"))).collect()
+    tags, totals = {v[0]: (v[1], v[8]) for v in vectors}, {}
+    for r in rows:
+        seq, his = tags[r["backbone_id"]]
+        want = "NotApplicable" if his is None else plain_tag_frame(dict(inserts)[r["insert_id"]], seq, r["loc"], his)
+        assert r["tag_frame"] == want
+        good = "Fail" not in (r["rbs_dist"], r["promoter"], r["terminator"], want)
+        for key in ((r["backbone_id"], want), (r["backbone_id"], None), (None, None)):
+            n, k = totals.get(key, (0, 0))
+            totals[key] = n + 1, k + good
+    got = {(r["backbone_id"], r["tag_frame"]): (r["pairs"], r["good"]) for r in cloning.screen_summary(ins, backs).collect()}
+    assert got == totals and {r["tag_frame"] for r in rows} == {"Pass", "Fail", "NotApplicable"}
+
+
+def test_products_are_annotated_again(spark):
+    vector = "aaccggtt" * 5
+    schema = "backbone_id long, seq string, topology string, promoter_end int, rbs_end int, his_start int"
+    backs = spark.createDataFrame([(1, vector, "circular", 3, None, None)], schema)
+    ins = spark.createDataFrame([(5, "atgacatca")], "insert_id long, insert string")
+    features = spark.createDataFrame([(1, 0, "Promoter", "None", 1, 3, "p"), (1, 1, "Generic", "None", 20, 29, "old")], "backbone_id long, feature_id int, feature_type string, direction string, start int, end int, label string")
+    product = vector[:9] + "atgacatca" + vector[9:]
+    lib = spark.createDataFrame([(1, "junction", "Generic", product[5:15]), (2, "same range", "Generic", product[28:38])], "lib_id long, name string, feature_type string, seq string")
+    seqs, found = cloning.cloning_products(ins, backs, features, spark.createDataFrame([(5, 1), (5, 1)], "insert_id long, backbone_id long"), library=lib)
+    assert [r["seq"] for r in seqs.collect()] == [product]
+    got = {(r["label"], r["start"], r["end"]): r["feature_id"] for r in found.collect()}
+    assert got[("p", 1, 3)] == 0 and got[("old", 29, 38)] == 1 and got[("Cloning insert", 10, 18)] == -1 and ("junction", 6, 15) in got
+    assert ("same range", 29, 38) not in got and all(r["insert_id"] == 5 and r["backbone_id"] == 1 for r in found.collect())
+
+
+def test_cutting_is_linear_in_the_molecule(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1).select(F.lit(1).alias("seq_id"), F.repeat(F.lit("acgtacgttg"), 800_000).alias("seq"), F.lit("circular").alias("topology"))
+    began = time.time()
+    chunks = matching.chunk_sequences(rows, 30).agg(F.sum("own").alias("n"), F.sum(F.length("bases")).alias("m")).first()
+    assert (chunks["n"], chunks["m"]) == (8_000_000, 8_000_000 + 30 * -(-8_000_000 // matching.CHUNK)) and time.time() - began < 20
+
+
+@pytest.mark.parametrize("bounds", [(0, 0), (500_000, 1 << 25)])
+def test_hits_are_the_same_broadcast_or_not(spark, monkeypatch, bounds):
+    monkeypatch.setattr(matching, "BROADCAST_PATTERNS", bounds[0])
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ac") for _ in range(n)) for n in (5, 40, 5000)]
+    own = ["".join(rng.choice("ac") for _ in range(n)) for n in (2, 3, 4, 7, 9, 12)]
+    patterns = spark.createDataFrame(list(enumerate(own)), "pattern_id long, pattern string")
+    got = {(r["seq_id"], r["pattern_id"], r["start"]) for r in matching.motif_hits(seqs_of(spark, *[(t, "circular") for t in texts]), patterns).where("strand = 'fwd'").collect()}
+    ids = sorted({g[0] for g in got} | {r["seq_id"] for r in seqs_of(spark, *[(t, "circular") for t in texts]).collect()})
+    want = {(ids[k], p, i + 1) for k, t in enumerate(texts) for p, x in enumerate(own) if 3 <= len(x) <= len(t) for i in range(len(t)) if (t + t)[i : i + len(x)] == x}
+    assert got == want
+
+
+def test_align_best_equals_full_alignment(spark, monkeypatch):
+    rng = random.Random(21)
+    monkeypatch.setattr(similarity, "BLOCK_BASES", 40)
+    queries = [(i, "".join(rng.choice("acgt") for _ in range(rng.randint(8, 24)))) for i in range(7)]
+    targets = [(i, "".join(rng.choice("acgt") for _ in range(rng.randint(0, 60)))) for i in range(60)]
+
+    def plain(x, y):
+        low = -(10**9)
+        best, down = [0] * (len(y) + 1), [low] * (len(y) + 1)
+        for c in x:
+            row, across = [low] * (len(y) + 1), low
+            for j in range(len(y) + 1):
+                down[j] = max(best[j] - 6, down[j] - 1)
+                across = max(row[j - 1] - 6, across - 1) if j else low
+                row[j] = max(down[j], across, best[j - 1] + (1 if y[j - 1] == c else -1) if j else low)
+            best = row
+        return max(best)
+
+    got = {}
+    tables = [spark.createDataFrame(t, "id long, seq string") for t in (queries, targets)]
+    for r in similarity.align_best(*tables).collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["target_id"]))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted((-plain(x, y), t) for t, y in targets if y)[:3] for q, x in queries}
+
+
+def test_fuzzy_hits_across_chunks_and_origin(spark):
+    rng = random.Random(31)
+    text = "".join(rng.choice("acgt") for _ in range(5000))
+    own = [(text[2030:2070], 2031), ((text + text)[4980:5020], 4981), (text[100:140], 101)]
+    changed = [(i, "n", "Generic", x[:20] + ("a" if x[20] != "a" else "c") + x[21:]) for i, (x, _) in enumerate(own)]
+    lib = spark.createDataFrame(changed, "lib_id long, name string, feature_type string, seq string")
+    got = {(r["lib_id"], r["start"], r["mismatches"]) for r in matching.annotate_fuzzy(seqs_of(spark, (text, "circular")), lib).where("strand = 'fwd'").collect()}
+    assert got == {(i, at, 1) for i, (_, at) in enumerate(own)}
+
+
+def test_reads_are_annotated_without_duplicates(spark):
+    reads = spark.createDataFrame([(1, "ttt" + "acgtacgtga" + "ggg")], "read_id long, seq string")
+    lib = spark.createDataFrame([(1, "x", "Generic", "acgtacgtga"), (2, "y", "Generic", "tttacgtacg")], "lib_id long, name string, feature_type string, seq string")
+    known = spark.createDataFrame([(1, 4, 13, "Gene", "Forward", "mine")], "seq_id long, start int, end int, feature_type string, direction string, label string")
+    seqs, found = library.annotate_reads(reads, lib, known)
+    assert seqs.first()["name"] == "read 1" and sorted((r["label"], r["start"]) for r in found.collect()) == [("mine", 4), ("y", 1)]
+
+
 def test_trace_scale_and_reads(spark):
     rows = [(1, "ac", [1] * 41 + [99], [2], [3], [50])]
     reads = spark.createDataFrame(rows, "read_id long, seq string, ch1 array<int>, ch2 array<int>, ch3 array<int>, ch4 array<int>")

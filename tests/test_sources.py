@@ -99,3 +99,14 @@ def test_stream_annotates_what_arrives(spark, tmp_path):
         annotate_stream(spark, paths[0], lib, paths[1], paths[2]).awaitTermination()
     rows = spark.read.parquet(paths[1]).collect()
     assert [(r["start"], r["end"], r["direction"]) for r in rows] == [(3, 14, "Forward")] * 2
+
+
+def test_genbank_with_either_line_end(spark, tmp_path):
+    record = "LOCUS       {0} 8 bp DNA circular 01-JAN-2020\nDEFINITION  {0} of two.\nFEATURES             Location/Qualifiers\n     CDS             1..6\n                     /label={0}\nORIGIN\n        1 acgt acg{1}\n//\n"
+    text = record.format("p1", "t") + record.format("p2", "a")
+    for name, data in (("unix", text), ("windows", text.replace("\n", "\r\n"))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.gb").write_bytes(data.encode())
+        tables = read_genbank(spark, str(tmp_path / name))
+        assert sorted((r["name"], r["seq"], r["topology"]) for r in tables["sequences"].collect()) == [("p1", "acgtacgt", "circular"), ("p2", "acgtacga", "circular")]
+        assert sorted((r["label"], r["start"], r["end"]) for r in tables["features"].collect()) == [("p1", 1, 6), ("p2", 1, 6)]
