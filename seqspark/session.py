@@ -41,8 +41,8 @@ def materialize(df: DataFrame, name: str, by: str | None = None, instead_of: Dat
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    for scope in _scopes:
+        scope.append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
@@ -59,13 +59,15 @@ def delete_table(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """A scope whose written tables are deleted at its end, but for those taken off the list it gives."""
+    """A scope whose written tables are deleted at its end, but for those taken off the list it gives.
+
+    What an inner scope leaves belongs to the outer one as well."""
     made: list[str] = []
     _scopes.append(made)
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        _scopes.pop()
         for path in made:
             delete_table(spark, path)
 
