@@ -14,6 +14,8 @@ addresses and social security numbers run the same network over the two digits o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .names import spare_name
@@ -21,18 +23,22 @@ from .names import spare_name
 ROUNDS = 8
 #: Longest digest stream of a half; longer halves use it again from its start.
 STREAM = 64
-#: Days from 1900-01-01 that count as dates: 365 * 200, to 2099-10.
-DAY_A, DAY_B = 365, 200
+#: Steps of a walk that stays within a format; each leaves it with a chance of two thirds at most.
+WALK = 64
+#: Country codes of one and of two digits; all others have three.
+COUNTRY_1, COUNTRY_2 = "[17]", "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 #: The kinds in the order in which one pattern tries them.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
     "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9+])\+\d{1,3} ?\(\d{3}\) ?\d{3}[ \-]\d{4}(?!\d)|(?<![A-Za-z0-9+(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![A-Za-z0-9.\-])(?:\+1[ \-])?\d{3}-\d{3}-\d{4}(?![A-Za-z0-9\-])",
+    "phone": r"(?<![A-Za-z0-9+])\+\d{1,3}[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![A-Za-z0-9+])\+\d{1,3}(?:[ .\-]?\(\d{1,5}\))?(?:[ .\-]?\d{1,5}){1,5}(?![A-Za-z0-9])|"
+    r"(?<![A-Za-z0-9+(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![A-Za-z0-9.\-])\d{3}-\d{3}-\d{4}(?![A-Za-z0-9\-])|"
+    r"(?<![A-Za-z0-9.\-+])[2-9]\d{2}\.[2-9]\d{2}\.\d{4}(?![A-Za-z0-9]|[.\-]\d)|(?<![A-Za-z0-9.\-+]|\d )[2-9]\d{2} [2-9]\d{2} \d{4}(?![A-Za-z0-9]|[ .\-]\d)",
     "date": r"(?<![A-Za-z0-9.\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![A-Za-z0-9\-/])",
     "ssn": r"(?<![A-Za-z0-9\-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9\-])",
     "address": r"(?<![A-Za-z0-9.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![A-Za-z0-9]|\.\d)",
-    "card": r"(?<![A-Za-z0-9\-])\d{13,19}(?![A-Za-z0-9])|(?<![A-Za-z0-9\-])\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?![A-Za-z0-9\-])",
+    "card": r"(?<![A-Za-z0-9\-])\d{13,19}(?![A-Za-z0-9])|(?<![A-Za-z0-9\-])[2-6]\d{1,6}(?:-\d{2,7}){2,4}(?![A-Za-z0-9\-])|(?<![A-Za-z0-9.\-]|\d )[2-6]\d{1,6}(?: \d{2,7}){2,4}(?![A-Za-z0-9\-]| \d)",
 }
 PATTERN = "|".join(PATTERNS.values())
 
@@ -112,6 +118,11 @@ def feistel_pair(x: Column, y: Column, a: Column, b: Column, key: Column, kind:
     return F.aggregate(_steps(), F.struct(x.cast("long").alias("x"), y.cast("long").alias("y")), one)
 
 
+def walk(value: Column, step: Callable[[Column], Column], inside: Callable[[Column], Column]) -> Column:
+    """``step`` again and again until ``inside`` holds: a permutation of the values that are inside."""
+    return F.aggregate(F.array(*[F.lit(i) for i in range(WALK)]), step(value), lambda acc, _: F.when(inside(acc), acc).otherwise(step(acc)))
+
+
 def feistel_number(value: Column, a: int, b: int, key: Column, kind: str) -> Column:
     """A keyed permutation of 0 .. a*b-1."""
     moved = feistel_pair(F.floor(value / b), value % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, kind)
@@ -136,17 +147,26 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def _card(m: Column, key: Column) -> Column:
+    """The first digit, which tells the kind of card, stays; the check digit follows the others."""
     digits = F.regexp_replace(m, r"\D", "")
-    body = feistel_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    body = F.concat(F.substring(digits, F.lit(1), F.lit(1)), feistel_text(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card"))
     check = (10 - _digit_sum(body, 0) % 10) % 10
-    return F.when(_digit_sum(digits, 1) % 10 == 0, _refill(m, F.concat(body, check.cast("string")))).otherwise(m)
+    return F.when(F.length(digits).between(13, 19) & (_digit_sum(digits, 1) % 10 == 0), _refill(m, F.concat(body, check.cast("string")))).otherwise(m)
 
 
 def _phone(m: Column, key: Column) -> Column:
-    """The ten national digits move; a country code stays."""
+    """A country code stays, the national digits move. Ten digits whose area and exchange begin with 2 to 9
+    keep that; other ten digits become such that have it in one place at most. 8 to 15 digits in all."""
     digits = F.regexp_replace(m, r"\D", "")
-    ten = feistel_text(F.substring(digits, -10, 10), key, "phone")
-    return _refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), ten))
+    code = F.when(~F.startswith(m, F.lit("+")), 0).when(digits.rlike(f"^{COUNTRY_1}"), 1).when(digits.rlike(f"^(?:{COUNTRY_2})"), 2).otherwise(3)
+    national = F.substring(digits, code + 1, F.length(digits))
+    regular = lambda ten: ten.rlike(r"^[2-9]\d{2}[2-9]\d{6}$")
+    place = lambda at: F.substring(national, F.lit(at), F.lit(3)).cast("long") - 200
+    moved = feistel_pair(place(1) * 800 + place(4), F.substring(national, F.lit(7), F.lit(4)).cast("long"), F.lit(640_000).cast("long"), F.lit(10_000).cast("long"), key, "phone")
+    kept = F.concat((F.floor(moved["x"] / 800) + 200).cast("string"), (moved["x"] % 800 + 200).cast("string"), F.lpad(moved["y"].cast("string"), 4, "0"))
+    other = walk(national, lambda ten: feistel_text(ten, key, "phone"), lambda ten: ~regular(ten))
+    new = F.when(F.length(national) != 10, feistel_text(national, key, "phone")).when(regular(national), kept).otherwise(other)
+    return F.when(F.length(digits).between(8, 15), _refill(m, F.concat(F.substring(digits, F.lit(1), code), new))).otherwise(m)
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -184,14 +204,28 @@ def _address(m: Column, key: Column) -> Column:
 
 
 def _date(m: Column, key: Column) -> Column:
+    """A day moves within its century, years 100 to 9999. Slashed dates are day first where that is a date,
+    else month first, and these stay among those that can only be so: their days are 13 or later."""
     slashed = F.substring(m, 3, 1) == "/"
-    iso = F.when(slashed, F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).otherwise(m)
-    day = F.coalesce(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), F.lit(None).cast("date"))
-    number = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
-    moved = feistel_number(number, DAY_A, DAY_B, key, "date")
-    new = F.date_add(F.lit("1900-01-01").cast("date"), moved.cast("int"))
-    shown = F.when(slashed, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "yyyy-MM-dd"))
-    return F.when(number.between(0, DAY_A * DAY_B - 1), shown).otherwise(m)
+    year, one, two = F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)
+    parsed = lambda iso: F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
+    day_first = parsed(F.when(slashed, F.concat_ws("-", year, two, one)).otherwise(m))
+    month_first = parsed(F.when(slashed, F.concat_ws("-", year, one, two)))
+    day = F.coalesce(day_first, month_first)
+    century = F.floor(F.year(day) / 100).cast("int")
+    start = F.make_date(century * 100, F.lit(1), F.lit(1))
+    long = century % 4 == 0  # 36,525 days, else 36,524
+    a, b = F.when(long, 75).otherwise(92).cast("long"), F.when(long, 487).otherwise(397).cast("long")
+
+    def moved(number: Column) -> Column:
+        pair = feistel_pair(F.floor(number / b), number % b, a, b, F.concat_ws("|", key, century.cast("string")), "date")
+        return pair["x"] * b + pair["y"]
+
+    number = F.datediff(day, start).cast("long")
+    as_date = lambda n: F.date_add(start, n.cast("int"))
+    late = walk(number, moved, lambda n: F.dayofmonth(as_date(n)) > 12)
+    shown = F.when(~slashed, F.date_format(as_date(moved(number)), "yyyy-MM-dd")).when(day_first.isNotNull(), F.date_format(as_date(moved(number)), "dd/MM/yyyy")).otherwise(F.date_format(as_date(late), "MM/dd/yyyy"))
+    return F.when(F.year(day) >= 100, shown).otherwise(m)
 
 
 def pseudonym(m: Column, key: Column) -> Column:
@@ -199,7 +233,7 @@ def pseudonym(m: Column, key: Column) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), _email(m, key))
         .when(m.rlike("^[0-9a-f]{32,64}$"), feistel_text(m, key, "secret", hexadecimal=True))
-        .when(m.rlike(r"^(\+\d{1,3}[ \-]?)?\(?\d{3}[)\-] ?\d{3}[ \-]\d{4}$"), _phone(m, key))
+        .when(m.rlike(r"^[+(]|^\d{3}([ .\-])\d{3}\1\d{4}$"), _phone(m, key))
         .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), _date(m, key))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(m, key))
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _address(m, key))

@@ -1,6 +1,7 @@
 """Operators against plain versions, libraries and held-out labels on the smallest tables."""
 
 import base64
+import datetime
 import hashlib
 import itertools
 import math
@@ -490,11 +491,119 @@ def test_pseudonyms_validate_and_link(spark):
             assert a == b and valid(a) and r["n_private"] == 2, (v, r["text"])
             seen[v] = a
         assert len(set(seen.values())) == len(seen) and sum(v == a for v, a in seen.items()) <= 1
-    clean = ["4111111111111112 is no card", "version 2.0. of 1.2.3.4.5 and 256.1.1.1", "99/99/1999 000-12-3456", "page 3, 12:30"]
+    clean = ["4111111111111112 is no card", "version 2.0. of 1.2.3.4.5 and 256.1.1.1", "99/99/1999 000-12-3456", "page 3, 12:30", "1 2 3 4 5 6 7 8 9 0 1 2 3 4", "tables 100 200 3000 and 12 34 56", "31/02/2019 and 13/13/2000, 0099-01-01", "+1 23"]
     kept = pseudonyms.pseudonymize(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string"), "k").collect()
     assert [r["text"] for r in sorted(kept, key=lambda r: r["doc_id"])] == clean
 
 
+def plain_stream(key, kind, step, half):
+    return hashlib.sha512(f"{key}|{kind}|{step}|{half}".encode()).digest()
+
+
+def plain_feistel_text(value, key, kind, hexadecimal=False):
+    alphabets = ["0123456789abcdef"] if hexadecimal else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    cut = len(value) // 2
+    a, b = value[:cut], value[cut:]
+    for step in range(8):
+        stream, new = plain_stream(key, kind, step, b), ""
+        for i, c in enumerate(a):
+            own = next((x for x in alphabets if c in x), None)
+            new += own[(own.index(c) + stream[i % 64]) % len(own)] if own else c
+        a, b = b, new
+    return a + b
+
+
+def plain_feistel_pair(x, y, a, b, key, kind):
+    for step in range(8):
+        number = lambda half: int(plain_stream(key, kind, step, half)[:7].hex(), 16)
+        if step % 2 == 0:
+            x = (x + number(y)) % a
+        else:
+            y = (y + number(x)) % b
+    return x, y
+
+
+def plain_pseudonym(kind, value, key):
+    digits = re.sub(r"\D", "", value)
+    if kind == "email":
+        name, domain = value.split("@")
+        return plain_feistel_text(name, key, "email") + "@" + domain
+    if kind == "secret":
+        return plain_feistel_text(value, key, "secret", True)
+    if kind == "card":
+        body = digits[0] + plain_feistel_text(digits[1:-1], key, "card")
+        new = next(body + c for c in "0123456789" if luhn(body + c))
+    elif kind == "phone":
+        code = 0 if value[0] != "+" else 1 if digits[0] in "17" else 2 if re.match("44|33|49", digits) else 3
+        own = digits[code:]
+        if len(own) == 10 and own[0] > "1" and own[3] > "1":
+            x, y = plain_feistel_pair((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200, int(own[6:]), 640_000, 10_000, key, "phone")
+            own = f"{x // 800 + 200}{x % 800 + 200}{y:04d}"
+        else:
+            ten = len(own) == 10
+            own = plain_feistel_text(own, key, "phone")
+            while ten and own[0] > "1" and own[3] > "1":
+                own = plain_feistel_text(own, key, "phone")
+        new = digits[:code] + own
+    elif kind == "ssn":
+        area, group, serial = int(value[:3]), int(value[4:6]), int(value[7:])
+        number = (area - 1 - (area > 666)) * 989_901 + (group - 1) * 9_999 + serial - 1
+        x, y = plain_feistel_pair(number // 9_999, number % 9_999, 898 * 99, 9_999, key, "ssn")
+        number = x * 9_999 + y
+        area = number // 989_901 + 1
+        return f"{area + (area >= 666):03d}-{number // 9_999 % 99 + 1:02d}-{number % 9_999 + 1:04d}"
+    elif kind == "address":
+        sizes = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
+        own = [(int(o), *sizes[len(o)]) for o in value.split(".")]
+        place = [n - low for n, low, _ in own]
+        size = [n for _, _, n in own]
+        x, y = plain_feistel_pair(place[0] * size[1] + place[1], place[2] * size[3] + place[3], size[0] * size[1], size[2] * size[3], key + "".join(f"|{len(o)}" for o in value.split(".")), "address")
+        return ".".join(str(p + low) for p, (_, low, _) in zip((x // size[1], x % size[1], y // size[3], y % size[3]), own))
+    else:
+        shape = "%Y-%m-%d" if value[4] == "-" else "%d/%m/%Y"
+        try:
+            day = datetime.datetime.strptime(value, shape).date()
+        except ValueError:
+            shape = "%m/%d/%Y"
+            day = datetime.datetime.strptime(value, shape).date()
+        century = day.year // 100
+        start = datetime.date(century * 100, 1, 1)
+        a, b = (75, 487) if century % 4 == 0 else (92, 397)
+        number = (day - start).days
+        while True:
+            x, y = plain_feistel_pair(number // b, number % b, a, b, f"{key}|{century}", "date")
+            number = x * b + y
+            day = start + datetime.timedelta(number)
+            if shape != "%m/%d/%Y" or day.day > 12:
+                return day.strftime(shape.replace("%Y", f"{day.year:04d}"))
+    digit = iter(new)
+    return re.sub(r"\d", lambda _: next(digit), value)
+
+
+def with_check_digit(digits):
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
+def test_pseudonyms_equal_a_plain_network(spark):
+    rng = random.Random(16)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    cards = [with_check_digit("4" + number(14)) for _ in range(4)] + [with_check_digit("37" + number(12)), with_check_digit("6" + number(17))]
+    values = [("card", c) for c in cards]
+    values += [("card", f"{c[:4]} {c[4:10]} {c[10:]}") for c in cards[4:5]] + [("card", f"{c[:4]}-{c[4:8]}-{c[8:12]}-{c[12:]}") for c in cards[:2]]
+    values += [("phone", v) for v in ("+1 (743) 555-3824", "743-555-3824", "743.555.3824", "743 555 3824", "(743) 555-3824", "+44 20 7946 0958", "+49 30 901820", "+33 1 42 68 53 00", "+1 (143) 555-3824", "043-155-3824", "+353 1 679 6111")]
+    values += [("date", v) for v in ("2019-12-31", "1850-02-03", "2150-07-09", "31/12/2019", "12/31/2019", "02/29/2020", "05/06/1999", "1999-02-28", "0733-01-01")]
+    values += [("ssn", "123-45-6789"), ("ssn", "899-99-9999"), ("address", "10.2.255.100"), ("address", "192.168.1.20"), ("email", "Jane.Doe-7@mail.example.com"), ("secret", "0123456789abcdef" * 2), ("secret", "f0" * 20)]
+    rows = [(i, f"see {v} now, {v}.") for i, (_, v) in enumerate(values)]
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (kind, v) in enumerate(values):
+        new = plain_pseudonym(kind, v, "k")
+        assert out[i]["text"] == f"see {new} now, {new}." and out[i]["n_private"] == 2, (kind, v)
+    by_value = {v: out[i]["text"][4:].split(" now")[0] for i, (_, v) in enumerate(values)}
+    plain = re.sub(r"\D", "", by_value["743-555-3824"])
+    assert {re.sub(r"\D", "", by_value[v])[-10:] for v in ("+1 (743) 555-3824", "743.555.3824", "743 555 3824", "(743) 555-3824")} == {plain}
+    assert re.sub(" ", "", by_value[values[6][1]]) == by_value[cards[4]]
+
+
 def test_small_feistel_number_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
