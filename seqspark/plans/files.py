@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from seqspark.session import shared_dir
 from seqspark.sources.fasta import read_fasta, write_fasta
 from seqspark.sources.genbank import read_genbank, write_genbank
-from seqspark.sources.tables import load_tables, save_tables
+from seqspark.sources.tables import load_tables, read_sequences, save_tables
 from seqspark.streaming.ingest import annotate_stream
 
 from . import derive as d
+from .chemistry import SITES
 from .registry import query
+from .sites import RUNS, primer_sites
 
 PARTS = "part-*"
 
@@ -55,6 +57,58 @@ def genbank_features(spark, sf):
     return tables["features"].join(names, "seq_id").select("name", "start", "end", "feature_type", "direction", "label")
 
 
+def _metadata(spark, sf):
+    """A head for every sequence, and two references for every third."""
+    rows = _named(spark, sf).select("seq_id", "name", "topology", F.length("seq").cast("string").alias("n"))
+    accession = F.concat(F.lit("AC"), F.col("seq_id").cast("string"))
+    head = rows.select(
+        "seq_id", F.concat(F.lit("Molecule of "), "n", F.lit(" bases.")).alias("definition"), accession.alias("accession"), F.concat(accession, F.lit(".1")).alias("version"),
+        F.when(F.col("seq_id") % 2 == 0, F.col("topology")).alias("keywords"), F.lit("synthetic construct").alias("source"),
+    )
+    number = F.explode(F.array(F.lit(1), F.lit(2)))
+    refs = rows.where("seq_id % 3 = 0").select("seq_id", "n", number.alias("k")).select(
+        "seq_id", F.concat(F.col("k").cast("string"), F.lit("  (bases 1 to "), "n", F.lit(")")).alias("description"), F.lit("Doe,J. and Roe,R.").alias("authors"),
+        F.concat(F.lit("On molecule "), F.col("seq_id").cast("string")).alias("title"), F.lit("Unpublished").alias("journal"), F.when(F.col("k") == 2, F.col("seq_id").cast("string")).alias("pubmed"),
+    )
+    return head, refs
+
+
+def _genbank_heads(spark, sf):
+    path = _place(spark, "genbank")
+    head, refs = _metadata(spark, sf)
+    sites = primer_sites(spark, sf).select("seq_id", F.concat(F.lit("p"), F.col("primer_id").cast("string")).alias("name"), "strand", "start", "end")
+    write_genbank(_named(spark, sf), d.features(spark, sf), path, sites=sites, metadata=head, refs=refs)
+    tables = read_genbank(spark, path, PARTS)
+    return tables, tables["sequences"].select("seq_id", F.col("name").alias("molecule"))
+
+
+@query("a3_genbank_metadata", f"WITH {d.SEQUENCES} SELECT 'seq' || seq_id AS molecule, 'Molecule of ' || length(seq) || ' bases.' AS definition, 'AC' || seq_id AS accession, 'AC' || seq_id || '.1' AS version, CASE WHEN seq_id % 2 = 0 THEN topology END AS keywords, 'synthetic construct' AS source FROM sequences")
+def genbank_metadata(spark, sf):
+    tables, names = _genbank_heads(spark, sf)
+    return tables["metadata"].join(names, "seq_id").select("molecule", "definition", "accession", "version", "keywords", "source")
+
+
+@query("a3_genbank_refs", f"WITH {d.SEQUENCES} SELECT 'seq' || seq_id AS molecule, k || '  (bases 1 to ' || length(seq) || ')' AS description, 'Doe,J. and Roe,R.' AS authors, 'On molecule ' || seq_id AS title, 'Unpublished' AS journal, CASE WHEN k = 2 THEN CAST(seq_id AS VARCHAR) END AS pubmed FROM sequences, (VALUES (1), (2)) t(k) WHERE seq_id % 3 = 0")
+def genbank_refs(spark, sf):
+    tables, names = _genbank_heads(spark, sf)
+    return tables["refs"].join(names, "seq_id").select("molecule", "description", "authors", "title", "journal", "pubmed")
+
+
+@query("a3_genbank_primers", f"WITH {d.SEQUENCES}, {d.LIBRARY}, {d.PRIMERS}, {SITES} SELECT 'seq' || s.seq_id AS molecule, 'p' || s.primer_id AS name, p.seq FROM sites s JOIN primers p USING (primer_id)")
+def genbank_primers(spark, sf):
+    tables, names = _genbank_heads(spark, sf)
+    return tables["primers"].join(names, "seq_id").select("molecule", "name", "seq")
+
+
+@query("a5_read_sequences", f"WITH {d.SEQUENCES} SELECT 'seq' || seq_id AS name, seq, CAST(length(seq) AS INT) AS length, CASE WHEN seq_id % 3 = 0 THEN 'linear' ELSE topology END AS topology FROM sequences")
+def mixed_directory(spark, sf):
+    """Every third sequence as FASTA, the others as compressed GenBank records, in one directory."""
+    path, rows = _place(spark, "mixed"), _named(spark, sf)
+    write_fasta(rows.where("seq_id % 3 = 0").select("name", "seq"), f"{path}/fasta")
+    write_genbank(rows.where("seq_id % 3 != 0"), d.features(spark, sf), f"{path}/genbank", compression="gzip")
+    return read_sequences(spark, path, "part-*.txt", "part-*.txt.gz").select("name", "seq", "length", "topology")
+
+
 @query("a7_saved_tables", f"WITH {d.FEATURES} SELECT seq_id, feature_id, start, \"end\", label FROM features")
 def saved_tables(spark, sf):
     path = _place(spark, "tables")
@@ -64,13 +118,13 @@ def saved_tables(spark, sf):
 
 @query(
     "a6_annotate_stream",
-    f"WITH {d.SEQUENCES.replace('sequences AS (', 'all_sequences AS (')}, sequences AS (SELECT min(seq_id) AS seq_id, seq, 'linear' AS topology FROM all_sequences GROUP BY seq), {d.LIBRARY}, {d.LIBRARY_HITS}, {d.LIBRARY_FEATURES} SELECT start, \"end\", feature_type, direction, label FROM lib_features",
+    f"WITH {d.SEQUENCES.replace('sequences AS (', 'all_sequences AS (')}, sequences AS (SELECT min(seq_id) AS seq_id, seq, 'linear' AS topology FROM all_sequences GROUP BY seq), {d.LIBRARY}, {d.LIBRARY_HITS}, {d.LIBRARY_FEATURES}, {d.STRANDS}, {d.TRIPLETS}, {RUNS} SELECT start, \"end\", feature_type, direction, label FROM lib_features "
+    "UNION ALL SELECT start, \"end\", 'CodingRegion', CASE WHEN strand = 'Fwd' THEN 'Forward' ELSE 'Reverse' END, codons || '×His' FROM tags",
 )
 def annotated_stream(spark, sf):
-    """Distinct sequences arrive as FASTA files and are annotated as linear molecules; His tags apart."""
+    """Distinct sequences arrive as FASTA files and are annotated as linear molecules."""
     source, target, state = (_place(spark, n) for n in ("arrived", "annotated", "progress"))
     distinct = d.sequences(spark, sf).groupBy("seq").agg(F.min("seq_id").alias("seq_id"))
     write_fasta(distinct.select(F.concat(F.lit("seq"), F.col("seq_id").cast("string")).alias("name"), "seq"), source)
-    annotate_stream(spark, source, d.feature_library(spark, sf), target, state, files=PARTS).awaitTermination()
-    rows = spark.read.parquet(target)
-    return rows.where(~F.col("label").contains("×His")).select("start", "end", "feature_type", "direction", "label")
+    annotate_stream(spark, source, d.feature_library(spark, sf), target, state, files=PARTS, min_run=3).awaitTermination()
+    return spark.read.parquet(target).select("start", "end", "feature_type", "direction", "label")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seqspark.functions.exprs import clean_sequence, reverse_complement, span_sequence
+from seqspark.functions.exprs import clean_sequence, reverse_complement, span_sequence, windows
 
 #: Feature keys of the format and the types they stand for; all others are Generic.
 FEATURE_TYPES = {
@@ -40,7 +40,7 @@ def read_genbank(spark: SparkSession, path: str, files: str = FILES) -> dict[str
     primers = features.where("feature_type = 'Primer'").join(sequences.select("seq_id", F.col("seq").alias("bases")), "seq_id")
     span = span_sequence(F.col("bases"), F.col("start"), F.col("end"))
     metadata = records.select(
-        "seq_id", *[F.nullif(field(n), F.lit("")).alias(n.lower()) for n in ("DEFINITION", "ACCESSION", "VERSION", "KEYWORDS", "SOURCE")],
+        "seq_id", *[F.nullif(field(n), F.lit("")).alias(n.lower()) for n in map(str.upper, HEAD)],
         F.regexp_extract("record", r"(?m)^LOCUS.* (\d{2}-[A-Z]{3}-\d{4})", 1).alias("date"),
         F.transform(F.regexp_extract_all("record", F.lit(r"(?m)^COMMENT +((?:.*)(?:\n {12}.*)*)"), F.lit(1)), lambda c: F.regexp_replace(c, r"\n +", "\n")).alias("comments"),
     )
@@ -92,9 +92,17 @@ def _features(items: DataFrame) -> DataFrame:
     )
 
 
-def write_genbank(sequences: DataFrame, features: DataFrame, path: str, sites: DataFrame | None = None, mode: str = "errorifexists") -> None:
+#: The fields of a record's head that are written and read, in their order.
+HEAD = ("definition", "accession", "version", "keywords", "source")
+
+
+def write_genbank(
+    sequences: DataFrame, features: DataFrame, path: str, sites: DataFrame | None = None, metadata: DataFrame | None = None, refs: DataFrame | None = None, mode: str = "errorifexists", compression: str = "none"
+) -> None:
     """One record for each sequence. ``sites(seq_id, name, strand, start, end)`` of primers are written as
-    ``primer_bind`` features. Features of a record are gathered in one row, as the record itself is."""
+    ``primer_bind`` features; ``metadata(seq_id, definition, accession, version, keywords, source)`` and
+    ``refs(seq_id, description, authors, title, journal, pubmed)`` go to the head, what is null is left out.
+    Features of a record are gathered in one row, as the record itself is."""
     keys = F.create_map(*[F.lit(x) for k, v in FEATURE_TYPES.items() for x in (v, k)])
     rows = features.where("start is not null").select("seq_id", "start", "end", F.coalesce(F.try_element_at(keys, F.col("feature_type")), F.lit("misc_feature")).alias("key"), (F.col("direction") == "Reverse").alias("rev"), "label")
     if sites is not None:
@@ -103,16 +111,22 @@ def write_genbank(sequences: DataFrame, features: DataFrame, path: str, sites: D
     line = F.concat(F.lit("     "), F.rpad("key", 16, " "), F.when(F.col("rev"), F.concat(F.lit("complement("), span, F.lit(")"))).otherwise(span), F.lit('\n                     /label="'), F.regexp_replace("label", '"', "'"), F.lit('"'))
     listed = rows.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", line.alias("line")))).alias("f"))
     joined = sequences.join(listed, "seq_id", "left")
+    field = lambda name, title: F.when(F.col(name).isNotNull(), F.concat(F.lit("\n" + title.ljust(12)), F.col(name).cast("string")))
+    head = F.lit("")
+    if metadata is not None:
+        joined = joined.join(metadata.select("seq_id", F.concat_ws("", *[field(n, n.upper()) for n in HEAD]).alias("head")), "seq_id", "left")
+        head = F.coalesce("head", F.lit(""))
+    if refs is not None:
+        parts = ("description", "REFERENCE"), ("authors", "  AUTHORS"), ("title", "  TITLE"), ("journal", "  JOURNAL"), ("pubmed", "   PUBMED")
+        cited = refs.select("seq_id", "description", F.concat_ws("", *[field(n, t) for n, t in parts]).alias("ref"))
+        cited = cited.groupBy("seq_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("description", "ref"))), lambda x: x["ref"]), "").alias("cited"))
+        joined = joined.join(cited, "seq_id", "left")
+        head = F.concat(head, F.coalesce("cited", F.lit("")))
     body = F.array_join(F.transform(F.coalesce("f", F.array().cast("array<struct<start:int,end:int,line:string>>")), lambda x: x["line"]), "\n")
-    numbered = F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.ceil(F.length("seq") / 60).cast("int") - 1, F.lit(0))),
-            lambda i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), F.trim(F.regexp_replace(F.substring(F.col("seq"), i * 60 + 1, F.lit(60)), "(.{10})", "$1 "))),
-        ),
-        "\n",
-    )
+    lines = F.transform(windows(F.col("seq"), 60, 0), lambda x, i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), F.trim(F.regexp_replace(x, "(.{10})", "$1 "))))
+    numbered = F.when(F.col("seq") == "", F.lit("        1")).otherwise(F.array_join(lines, "\n"))
     record = F.concat(
-        F.lit("LOCUS       "), F.col("name"), F.lit(" "), F.length("seq").cast("string"), F.lit(" bp    DNA     "), F.col("topology"), F.lit("\nFEATURES             Location/Qualifiers\n"),
+        F.lit("LOCUS       "), F.col("name"), F.lit(" "), F.length("seq").cast("string"), F.lit(" bp    DNA     "), F.col("topology"), head, F.lit("\nFEATURES             Location/Qualifiers\n"),
         body, F.lit("\nORIGIN\n"), numbered, F.lit("\n//"),
     )
-    joined.select(record).write.mode(mode).option("compression", "none").text(path)
+    joined.select(record).write.mode(mode).option("compression", compression).text(path)

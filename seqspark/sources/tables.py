@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .fasta import read_fasta
-from .genbank import read_genbank
+from . import fasta, genbank
 
 
-def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+def read_sequences(spark: SparkSession, path: str, fasta_files: str = fasta.FILES, genbank_files: str = genbank.FILES) -> DataFrame:
     """``(seq_id, name, seq, length, topology, file)`` of all FASTA and GenBank files below a directory.
 
     Records without a name take their file's. Ids are digests of file, name and sequence.
     """
-    fasta = read_fasta(spark, path).select("name", "seq", F.lit("linear").alias("topology"), "file")
-    genbank = read_genbank(spark, path)["sequences"].select("name", "seq", "topology", "file")
-    rows = fasta.unionByName(genbank, allowMissingColumns=True)
+    lines = fasta.read_fasta(spark, path, fasta_files).select("name", "seq", F.lit("linear").alias("topology"), "file")
+    records = genbank.read_genbank(spark, path, genbank_files)["sequences"].select("name", "seq", "topology", "file")
+    rows = lines.unionByName(records, allowMissingColumns=True)
     named = rows.withColumn("name", F.when(F.trim("name") == "", F.regexp_replace("file", r"\.[^.]+$", "")).otherwise(F.col("name")))
     return named.select(F.xxhash64("file", "name", "seq").alias("seq_id"), "name", "seq", F.length("seq").alias("length"), "topology", "file")
 
