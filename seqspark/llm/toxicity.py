@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +31,7 @@ WORD = re.compile(r"\w+")
 #: Tokens of one column when a chain is run, and tokens that are run together.
 COLUMN, TOGETHER = 128, 1 << 18
 #: Words that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 @dataclass(frozen=True)
@@ -79,33 +80,36 @@ class Chain:
 
     def places(self, word: str) -> tuple[list[int], int, int]:
         """Places in the table: of a token's own features, of being the word before, and the word after."""
-        low, mask = word.lower(), len(self.weights) - 1
-        at = lambda kind, value: xxhash.xxh3_64_intdigest(f"{kind}{value}") & mask
-        own = [at("=", x) for x in features_of(low, self.prefixes)] + [at("#", shape_of(word))]
-        return own, at("<", low), at(">", low)
+        low, mask, digest = word.lower(), len(self.weights) - 1, xxhash.xxh3_64_intdigest
+        own = [digest(f"={low}$") & mask, digest(f"#{shape_of(word)}") & mask]
+        own += [digest("=" + low[:k]) & mask for k in self.prefixes if k < len(low)]
+        return own, digest("<" + low) & mask, digest(">" + low) & mask
 
 
-class Emissions:
-    """Emission scores of the words of texts under a chain; words are remembered, a bounded number."""
+class Emissions(dict):
+    """Emission scores of the words of texts under a chain.
+
+    As a mapping it numbers words, a bounded number of them, and holds the scores of each: of itself, for
+    the word behind it and for the word before it.
+    """
 
     def __init__(self, chain: Chain):
-        self.chain, self.number, self.scores = chain, {}, np.zeros((1024, 3))
-
-    def _of(self, word: str) -> int:
-        k = self.number.get(word)
-        if k is None:
-            own, before, after = self.chain.places(word)
-            w = self.chain.weights
-            k = self.number[word] = len(self.number)
-            if k == len(self.scores):
-                self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-            self.scores[k] = float(w[own].sum()) + self.chain.bias, w[before], w[after]
+        super().__init__()
+        self.chain, self.weights, self.scores = chain, array("f", chain.weights.tolist()), np.zeros((1024, 3))
+
+    def __missing__(self, word: str) -> int:
+        own, before, after = self.chain.places(word)
+        weight = self.weights.__getitem__
+        k = self[word] = len(self)
+        if k == len(self.scores):
+            self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+        self.scores[k] = sum(map(weight, own)) + self.chain.bias, weight(before), weight(after)
         return k
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > REMEMBERED:
-            self.number.clear()
-        ids = np.fromiter(map(self._of, words), np.int64, len(words))
+        if len(self) > REMEMBERED:
+            self.clear()
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         rows = self.scores[ids]
         out = rows[:, 0].copy()
         out[1:] += rows[:-1, 1]
