@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from seqspark.functions.exprs import clean_sequence, reverse_complement
 from seqspark.operators import frames, matching
-from seqspark.session import read_table
+from seqspark.session import is_written, materialize, read_table
 
 #: Insert ids are sequence ids times this, and the first base.
 INSERT_PLACES = 10_000_000
@@ -44,8 +44,19 @@ def long_primers(spark: SparkSession, sf: str) -> DataFrame:
     return lib.select(F.col("lib_id").alias("primer_id"), F.substring("seq", 1, 32).alias("seq"), mode.alias("tune_mode"), F.lit(16).alias("anchor"))
 
 
+#: Derived tables that are written once for an application and its tables.
+_written: dict[tuple[str, str], DataFrame] = {}
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    """Library hits, and open reading frames of 30 bases or more as coding regions."""
+    """Library hits, and open reading frames of 30 bases or more as coding regions; written once."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _written or not is_written(spark, _written[key].written_to):
+        _written[key] = materialize(_features(spark, sf), "features")
+    return _written[key]
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
     seqs = sequences(spark, sf)
     hits = matching.library_features(library_hits(spark, sf), feature_library(spark, sf))
     orfs = frames.orfs(seqs).where(F.col("end") - F.col("start") >= 29)
