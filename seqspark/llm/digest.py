@@ -37,7 +37,7 @@ class DigestParams:
     popularity: float = 0.25
     features: int = 160
     probes: int = 5
-    range_bytes: int = 32 << 20
+    range_bytes: int = 8 << 20
     range_draws: int = 8
     run_bytes: int = 2 << 20
 
@@ -295,7 +295,7 @@ def document_digests(docs: DataFrame, params: DigestParams = DigestParams()) ->
                     held, size = ([], 0) if late else (held[-1:], len(value))
 
     parted = rows.mapInArrow(dealt, "part long, late boolean, doc_id long, mark long, text string")
-    ordered = parted.repartition("part").sortWithinPartitions("part", "late", "doc_id", "mark")
+    ordered = parted.repartition(len(edges), "part").sortWithinPartitions("part", "late", "doc_id", "mark")
     return ordered.select("part", "late", "doc_id", "text").mapInArrow(compare, RESULT)
 
 
