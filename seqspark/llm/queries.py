@@ -13,6 +13,8 @@ from .decontaminate import find_leaks
 from .digest import document_digests
 from .language import language_predictions
 from .lattice_lm import document_scores
+from .merkle import merkle_manifest
+from .oracles import MERKLE
 from .pseudonyms import pseudonymize
 from .simhash import near_duplicate_groups
 from .token_count import token_counts
@@ -65,6 +67,10 @@ def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_text(read_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -76,5 +82,6 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_toxicity": op9_toxicity,
     "op10_repeated_text": op10_repeated_text,
+    "op13_merkle": op13_merkle,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_merkle": MERKLE}
