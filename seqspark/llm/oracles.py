@@ -77,3 +77,27 @@ folded AS (SELECT item, arg_max(node, lvl) AS folded_root FROM upper_fold GROUP
 SELECT o.doc_id, o.leaf, t.subroot, r.root, sha256(coalesce(p.proof, '') || coalesce(u.proof, '')) AS proof_sha256, f.folded_root, f.folded_root = r.root AS verified
 FROM ordered o JOIN tops t ON t.name = o.grp JOIN folded f USING (item) LEFT JOIN lower_proof p USING (item) LEFT JOIN upper_proof u ON u.item = o.grp, root_of r
 """
+
+_BYTES = "flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END))"
+
+SPELLING = f"""
+WITH RECURSIVE {CRC},
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+sums AS (SELECT run, n, {_crc(_BYTES)} AS h FROM own, crc_table),
+typed AS (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM sums),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, k, left(word, k) || substr(word, k + 2) AS rest FROM words, (SELECT unnest(range(200)) AS k) WHERE k < length(word)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, n, count(*) AS n_near, max(other_n) AS most, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word, n),
+forms AS (SELECT word, other AS form, most AS form_n FROM best WHERE most >= 5 * n),
+walk AS (SELECT word, form AS root, 1 AS step FROM forms UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN forms f ON f.word = w.root),
+roots AS (SELECT word, arg_max(root, step) AS root FROM walk GROUP BY word)
+SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, f.form_n
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word) LEFT JOIN roots r USING (word)
+"""

@@ -14,9 +14,10 @@ from .digest import document_digests
 from .language import language_predictions
 from .lattice_lm import document_scores
 from .merkle import merkle_manifest
-from .oracles import MERKLE
+from .oracles import MERKLE, SPELLING
 from .pseudonyms import pseudonymize
 from .simhash import near_duplicate_groups
+from .spelling import spelling_variants
 from .token_count import token_counts
 from .toxicity import toxicity_scores
 from .unit_dedup import repeated_text
@@ -67,6 +68,10 @@ def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_text(read_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(read_table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_toxicity": op9_toxicity,
     "op10_repeated_text": op10_repeated_text,
+    "op12_spelling": op12_spelling,
     "op13_merkle": op13_merkle,
 }
-ORACLE: dict[str, str] = {"op13_merkle": MERKLE}
+ORACLE: dict[str, str] = {"op12_spelling": SPELLING, "op13_merkle": MERKLE}
