@@ -16,6 +16,7 @@ from .lattice_lm import document_scores
 from .merkle import merkle_manifest
 from .oracles import MERKLE, SPELLING
 from .pseudonyms import pseudonymize
+from .quality import quality_scores
 from .simhash import near_duplicate_groups
 from .spelling import spelling_variants
 from .token_count import token_counts
@@ -68,6 +69,10 @@ def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_text(read_table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read_table(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_toxicity": op9_toxicity,
     "op10_repeated_text": op10_repeated_text,
+    "op11_quality": op11_quality,
     "op12_spelling": op12_spelling,
     "op13_merkle": op13_merkle,
 }

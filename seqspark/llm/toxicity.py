@@ -21,11 +21,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
-
-from seqspark.session import materialize
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .language import crc_of
+from .sampling import label_counts, sample_by_label, with_labels
 
 WORD = re.compile(r"\w+")
 #: Tokens of one column when a chain is run, and tokens that are run together.
@@ -260,18 +259,6 @@ def candidates(known: DataFrame, n_toxic: int, n_clean: int, params: ToxicParams
     return {r["word"] for r in top.select("word").collect()}
 
 
-def _sample(known: DataFrame, totals: dict[int, int], params: ToxicParams) -> list[tuple[str, int]]:
-    """Whole texts and labels of a bounded draw, which depends only on the rows; equal rows count once."""
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    share = F.when(F.col("toxic") == 1, 2.0 * params.documents / max(1, totals.get(1, 0))).otherwise(2.0 * params.documents / max(1, totals.get(0, 0)))
-    drawn = known.withColumn("draw", draw).where(F.col("draw") < share * float(1 << 40)).groupBy("toxic", "draw").agg(F.min("text").alias("text"))
-    by_draw = Window.partitionBy("toxic").orderBy("draw")
-    size = F.sum(F.octet_length("text")).over(by_draw.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = drawn.withColumn("place", F.row_number().over(by_draw)).withColumn("size", F.coalesce(size, F.lit(0)))
-    rows = ranked.where((F.col("place") <= params.documents) & (F.col("size") <= params.sample_bytes)).select("toxic", "draw", "text").collect()
-    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["draw"], r["toxic"]))]
-
-
 def train(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> Chain:
     """A chain from ``(doc_id, text, toxic)``.
 
@@ -279,7 +266,7 @@ def train(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> Chain:
     toxic rows the chain scores everything low.
     """
     known = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    totals = label_counts(known, "toxic")
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic:
         return Chain()
@@ -287,7 +274,7 @@ def train(labelled: DataFrame, params: ToxicParams = ToxicParams()) -> Chain:
     found = candidates(known, n_toxic, n_clean, params)
     texts, labels, tags = [], [], []
     marked: dict[str, bool] = {}
-    for text, toxic in _sample(known, totals, params):
+    for text, toxic in sample_by_label(known, "toxic", totals, params.documents, params.sample_bytes):
         words = WORD.findall(text)
         for w in words:
             if w not in marked:
@@ -359,15 +346,6 @@ def tag(docs: DataFrame, chain: Chain, threshold: float = 0.3, span_prob: float
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *result.fields]))
 
 
-def _labelled(docs: DataFrame, marks: DataFrame, params: ToxicParams) -> DataFrame:
-    """Documents with their labels. A counted, bounded number of labels is broadcast, so that texts stay
-    where they are read; beyond it both sides are shuffled, once, and the result is written."""
-    marks = materialize(marks, "marks")
-    if marks.count() <= params.broadcast_labels:
-        return docs.join(F.broadcast(marks), "doc_id")
-    return materialize(docs.join(marks, "doc_id"), "labelled")
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, params: ToxicParams = ToxicParams()) -> DataFrame:
     """``(doc_id, held_out, score, predicted, spans)`` of every document.
 
@@ -377,6 +355,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out
     """
     fold = F.pmod(crc_of("doc_id"), F.lit(folds))
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chain = train(_labelled(docs.where(fold != held_out).select("doc_id", "text"), marks, params), params)
+    chain = train(with_labels(docs.where(fold != held_out).select("doc_id", "text"), marks, params.broadcast_labels), params)
     rows = docs.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text")
     return tag(rows, chain).select("doc_id", "held_out", "score", "predicted", "spans")
