@@ -184,7 +184,7 @@ def rate(docs: DataFrame, model: Embeddings, threshold: float = 0.3) -> DataFram
             scores = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*names, *added])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields]).add("score", "double").add("predicted", "int"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields]).add("score", "double").add("predicted", "integer"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, params: QualityParams = QualityParams()) -> DataFrame:
