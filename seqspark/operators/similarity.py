@@ -1,14 +1,8 @@
-"""Distances and alignments between sequences."""
+"""Distances between sequences."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-
-GAP_OPEN, GAP_EXTEND, MATCH, MISMATCH = -5, -1, 1, -1
+from pyspark.sql import DataFrame, functions as F
 
 
 def similarity_join(a: DataFrame, b: DataFrame, max_dist: int) -> DataFrame:
@@ -42,84 +36,3 @@ def similarity_join(a: DataFrame, b: DataFrame, max_dist: int) -> DataFrame:
     hamming = F.aggregate(F.zip_with(F.split("x", ""), F.split("y", ""), lambda p, q: (p != q).cast("int")), F.lit(0), lambda acc, v: acc + v)
     distance = F.when(F.length("x") == F.length("y"), hamming).otherwise(F.levenshtein("x", "y", d))
     return full.select("a_id", "b_id", distance.alias("distance")).where(F.col("distance").between(0, d))
-
-
-def align_scores(pairs: pd.DataFrame) -> np.ndarray:
-    """Semi-global affine scores: all of ``x`` against any stretch of ``y``; rows share the array work."""
-    out = np.zeros(len(pairs), np.int64)
-    x, y = pairs["x"].to_numpy(), pairs["y"].to_numpy()
-    order = np.argsort([len(s) for s in y], kind="stable")
-    at = 0
-    while at < len(order):
-        # arrays of about 64k cells stay in cache; lengths within a group are near each other
-        own = order[at : at + max(1, (1 << 16) // (len(y[order[at]]) + 1))]
-        at += len(own)
-        width, height = max(len(y[i]) for i in own), max(len(x[i]) for i in own)
-        ys = np.array([np.frombuffer(y[i].encode().ljust(width, b"\0"), np.uint8) for i in own]).reshape(len(own), width)
-        low = -(1 << 28)
-        real = np.arange(width + 1) <= np.array([len(y[i]) for i in own])[:, None]
-        best = np.where(real, 0, low).astype(np.int32)
-        down = np.full((len(own), width + 1), low, np.int32)
-        column = np.arange(width + 1, dtype=np.int32)
-        for row in range(height):
-            chars = np.array([ord(x[i][row]) if row < len(x[i]) else 0 for i in own])[:, None]
-            active = np.array([row < len(x[i]) for i in own])[:, None]
-            new_down = np.maximum(best + GAP_OPEN + GAP_EXTEND, down + GAP_EXTEND)
-            swap = np.full_like(best, low)
-            swap[:, 1:] = best[:, :-1] + np.where(ys == chars, np.int32(MATCH), np.int32(MISMATCH))
-            new = np.maximum(swap, new_down)
-            # gaps in x: the best start to the left, extended
-            run = np.maximum.accumulate(new - GAP_EXTEND * column, axis=1)
-            across = np.full_like(new, low)
-            across[:, 1:] = run[:, :-1] + GAP_EXTEND * column[1:] + GAP_OPEN
-            new = np.where(real, np.maximum(new, across), low)
-            best, down = np.where(active, new, best), np.where(active, new_down, down)
-        out[own] = best.max(axis=1)
-    return out
-
-
-#: Bases of the queries that meet all targets at once.
-BLOCK_BASES = 1 << 18
-
-
-def align_best(queries: DataFrame, targets: DataFrame, top_k: int = 3) -> DataFrame:
-    """``(query_id, target_id, score)``: the best targets of each query, out of all; ties go to the smaller
-    target id.
-
-    ``queries(id, seq)`` is the query set. It meets the targets in blocks of ``BLOCK_BASES``, each sent to
-    the tasks that read the targets; a task keeps the best ``top_k`` of each query, and the best of these
-    are the result. Empty queries and targets take no part.
-    """
-    found = None
-    for block in _blocks(queries):
-        part = targets.where("seq != ''").select("id", "seq").mapInPandas(_aligner(block, top_k), "query_id long, target_id long, score long")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, target_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "target_id")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top_k).select("query_id", "target_id", "score")
-
-
-def _blocks(queries: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    held, size = [], 0
-    for r in queries.where("seq != ''").select("id", "seq").toLocalIterator():
-        if held and size + len(r["seq"]) > BLOCK_BASES:
-            yield held
-            held, size = [], 0
-        held.append((r["id"], r["seq"]))
-        size += len(r["seq"])
-    if held:
-        yield held
-
-
-def _aligner(block: list[tuple[int, str]], top_k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, list[tuple[int, int]]] = {q: [] for q, _ in block}
-        for batch in batches:
-            for query, seq in block:
-                scores = align_scores(pd.DataFrame({"x": [seq] * len(batch), "y": batch["seq"]}))
-                best[query] = sorted([*best[query], *zip((-scores).tolist(), batch["id"].tolist())])[:top_k]
-        rows = [(query, target, -score) for query, own in best.items() for score, target in own]
-        yield pd.DataFrame(rows, columns=["query_id", "target_id", "score"])
-
-    return run

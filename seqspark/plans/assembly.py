@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqspark.functions.exprs import wrap
-from seqspark.operators import cloning, edits, primers, similarity
+from seqspark.operators import alignment, cloning, edits, primers, similarity
 
 from . import derive as d
 from .chemistry import tuning_sql
@@ -262,4 +262,4 @@ def similarity_join(spark, sf):
 def align_best(spark, sf):
     """The library against every sequence. SQL has no affine alignment; a plain version is in the tests."""
     lib = d.feature_library(spark, sf).select(F.col("lib_id").alias("id"), "seq")
-    return similarity.align_best(lib, d.sequences(spark, sf).select(F.col("seq_id").alias("id"), "seq"), top_k=3)
+    return alignment.align_best(lib, d.sequences(spark, sf).select(F.col("seq_id").alias("id"), "seq"), top_k=3)

@@ -2,10 +2,12 @@
 
 import random
 
+import pandas as pd
+
 import pytest
 
 from seqspark.functions.constants import HIS_CODONS, reverse_complement
-from seqspark.operators import cloning, edits, enzymes, frames, intervals, library, matching, pcr, primers, similarity
+from seqspark.operators import alignment, cloning, edits, enzymes, frames, intervals, library, matching, pcr, primers, similarity
 
 
 def seqs_of(spark, *rows):
@@ -253,7 +255,7 @@ def test_alignment_scores(spark):
     import pandas as pd
 
     pairs = [("acgt", "ttacgttt", 4), ("acgtacgtacgt", "acgtacgttacgt", 12 - 6), ("aaaa", "tttt", -4), ("acgt", "", -5 - 4), ("ggg", "gg", 2 - 6)]
-    got = similarity.align_scores(pd.DataFrame({"x": [p[0] for p in pairs], "y": [p[1] for p in pairs]}))
+    got = alignment.align_scores(pd.DataFrame({"x": [p[0] for p in pairs], "y": [p[1] for p in pairs]}))
     assert got.tolist() == [p[2] for p in pairs]
 
 
@@ -347,7 +349,7 @@ def test_hits_are_the_same_broadcast_or_not(spark, monkeypatch, bounds):
 
 def test_align_best_equals_full_alignment(spark, monkeypatch):
     rng = random.Random(21)
-    monkeypatch.setattr(similarity, "BLOCK_BASES", 40)
+    monkeypatch.setattr(alignment, "BLOCK_BASES", 40)
     queries = [(i, "".join(rng.choice("acgt") for _ in range(rng.randint(8, 24)))) for i in range(7)]
     targets = [(i, "".join(rng.choice("acgt") for _ in range(rng.randint(0, 60)))) for i in range(60)]
 
@@ -365,11 +367,35 @@ def test_align_best_equals_full_alignment(spark, monkeypatch):
 
     got = {}
     tables = [spark.createDataFrame(t, "id long, seq string") for t in (queries, targets)]
-    for r in similarity.align_best(*tables).collect():
+    for r in alignment.align_best(*tables).collect():
         got.setdefault(r["query_id"], []).append((-r["score"], r["target_id"]))
     assert {q: sorted(x) for q, x in got.items()} == {q: sorted((-plain(x, y), t) for t, y in targets if y)[:3] for q, x in queries}
 
 
+def test_few_cells_are_filled_for_the_best():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("acgt") for _ in range(300)) for _ in range(400)]
+    queries = []
+    for q in range(6):
+        own = rng.choice(texts)[50:90]
+        queries.append((q, own[:10] + own[11:20] + rng.choice("acgt") + own[21:30] + "ac" + own[30:]))
+    found, cells = alignment.best_targets(queries, list(range(len(texts))), texts, 1)
+    scores = {q: alignment.align_scores(pd.DataFrame({"x": [x] * len(texts), "y": texts})) for q, x in queries}
+    assert found == [(q, int(s.argmax()), int(s.max())) for q, s in scores.items()]
+    assert cells < 0.05 * sum(len(x) for _, x in queries) * sum(map(len, texts))
+
+
+def test_long_targets_are_cut_into_windows(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(alignment, "WINDOW_BASES", 200)
+    text = "".join(rng.choice("acgt") for _ in range(3000))
+    queries = [(i, text[at : at + 30] + text[at + 32 : at + 60]) for i, at in enumerate((0, 175, 190, 2940))]
+    tables = [spark.createDataFrame(t, "id long, seq string") for t in (queries, [(7, text), (8, text[:250]), (9, "")])]
+    got = {(r["query_id"], r["target_id"]): r["score"] for r in alignment.align_best(*tables).collect()}
+    want = {(q, t): int(alignment.align_scores(pd.DataFrame({"x": [x], "y": [y]}))[0]) for q, x in queries for t, y in ((7, text), (8, text[:250]))}
+    assert got == want
+
+
 def test_fuzzy_hits_across_chunks_and_origin(spark):
     rng = random.Random(31)
     text = "".join(rng.choice("acgt") for _ in range(5000))
