@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqspark.functions.constants import HIS_CODONS, START, STOPS, table
-from seqspark.functions.exprs import overlapping, reverse_complement, span_sequence, windows
+from seqspark.functions.exprs import overlapping, reverse_complement, windows
+
+from .spans import span_bases
 
 CHUNK = 1536
 
@@ -99,10 +101,9 @@ def residues(seqs: DataFrame, regions: DataFrame) -> DataFrame:
     ``zone`` is ``pre``, ``cds`` or ``post`` by where the codon lies to the coding region.
     """
     spark = seqs.sparkSession
-    rows = regions.join(seqs.select("seq_id", "seq"), "seq_id")
+    rows = span_bases(seqs, regions.select("seq_id", "feature_id", "frame", "start", "end", "cds_start", "cds_end"))
     forward = F.col("frame").startswith("Fwd")
-    span = span_sequence(F.col("seq"), F.col("start"), F.col("end"))
-    rows = rows.withColumn("bases", F.when(forward, span).otherwise(reverse_complement(span))).where(F.length("bases") >= 3)
+    rows = rows.withColumn("bases", F.when(forward, F.col("bases")).otherwise(reverse_complement(F.col("bases")))).where(F.length("bases") >= 3)
     codons = rows.select("seq_id", "feature_id", "frame", "start", "end", "cds_start", "cds_end", F.posexplode(F.regexp_extract_all("bases", F.lit("..."), F.lit(0))).alias("pos", "codon"))
     at = F.when(forward, F.col("start") + 3 * F.col("pos")).otherwise(F.col("end") - 3 * F.col("pos") - 2)
     before = F.when(forward, at < F.col("cds_start")).otherwise(at + 2 > F.col("cds_end"))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqspark.functions.exprs import span_sequence
-
 from .edits import merge_features
 from .matching import annotate
+from .spans import span_bases
 
 
 def build_feature_library(features: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -15,8 +14,7 @@ def build_feature_library(features: DataFrame, seqs: DataFrame) -> DataFrame:
 
     The commonest label and type name it, the smallest among ties.
     """
-    rows = features.join(seqs.select("seq_id", F.col("seq").alias("bases")), "seq_id")
-    cut = rows.select("seq_id", "label", "feature_type", span_sequence(F.col("bases"), F.col("start"), F.col("end")).alias("seq"))
+    cut = span_bases(seqs, features.select("seq_id", "label", "feature_type", "start", "end"), "seq")
     return cut.groupBy("seq").agg(F.mode("label", True).alias("label"), F.mode("feature_type", True).alias("feature_type"), F.count_distinct("seq_id").alias("sequences"), F.count("*").alias("occurrences"))
 
 

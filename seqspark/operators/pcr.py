@@ -4,35 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqspark.functions.exprs import span_length, span_sequence
-
 from .intervals import overlap_join
+from .spans import span_bases
 
 #: Extension speed of polymerases in seconds for each 1000 bases.
 SPEEDS = {"taq": 60, "high_fidelity": 15}
 
 
-def amplicons(seqs: DataFrame, sites: DataFrame, primers: DataFrame, max_sites: int = 1, polymerase: str = "taq") -> DataFrame:
+def amplicons(seqs: DataFrame, sites: DataFrame, primers: DataFrame, max_sites: int = 1, polymerase: str = "taq", max_length: int = 40_000) -> DataFrame:
     """``(seq_id, fwd_id, rev_id, start, end, length, product, anneal, extend_s)``.
 
-    A primer takes part if it has at most ``max_sites`` sites in the sequence, so what meets of a
-    sequence is bounded by its primers. The product runs from the forward site's start to the reverse
-    site's end; across the origin only of circular sequences. The programme anneals at 5 degrees under
-    the lower melting temperature and extends by the polymerase's speed, in whole seconds.
-    ``primers(primer_id, tm)``.
+    A primer takes part if it has at most ``max_sites`` sites in the sequence. The product runs from the
+    forward site's start to the reverse site's end, ``max_length`` bases at most, which no polymerase goes
+    beyond; across the origin only of circular sequences. Sites meet in bins of that many bases, a forward
+    one in its own and the next, a reverse one where it ends and, on circular sequences, one turn further on;
+    so a site meets what it can reach and no more. The programme anneals at 5 degrees under the lower melting
+    temperature and extends by the polymerase's speed, in whole seconds. ``primers(primer_id, tm)``.
     """
     count = F.count("*").over(Window.partitionBy("seq_id", "primer_id"))
     few = sites.withColumn("k", count).where(F.col("k") <= max_sites)
-    tm = primers.select("primer_id", "tm")
-    fwd = few.where("strand = 'fwd'").join(tm, "primer_id").select("seq_id", F.col("primer_id").alias("fwd_id"), F.col("start"), F.col("tm").alias("fwd_tm"))
-    rev = few.where("strand = 'rev'").join(tm, "primer_id").select("seq_id", F.col("primer_id").alias("rev_id"), F.col("end"), F.col("tm").alias("rev_tm"))
-    rows = fwd.join(rev, "seq_id").where("fwd_id != rev_id").join(seqs.select("seq_id", "seq", "topology"), "seq_id")
-    rows = rows.where("start <= end or topology = 'circular'")
-    length = span_length(F.col("start"), F.col("end"), F.length("seq")).cast("int")
-    return rows.select(
-        "seq_id", "fwd_id", "rev_id", "start", "end", length.alias("length"), span_sequence(F.col("seq"), F.col("start"), F.col("end")).alias("product"),
+    placed = few.join(primers.select("primer_id", "tm"), "primer_id").join(seqs.select("seq_id", F.length("seq").alias("n"), (F.col("topology") == "circular").alias("circular")), "seq_id")
+    home = F.floor((F.col("start") - 1) / max_length)
+    fwd = placed.where("strand = 'fwd'").select("seq_id", F.col("primer_id").alias("fwd_id"), "start", F.col("tm").alias("fwd_tm"), "n", F.explode(F.array(home, home + 1)).alias("bin"))
+    turns = F.explode(F.when(F.col("circular"), F.array(F.col("end"), F.col("end") + F.col("n"))).otherwise(F.array(F.col("end"))))
+    rev = placed.where("strand = 'rev'").select("seq_id", F.col("primer_id").alias("rev_id"), "end", F.col("tm").alias("rev_tm"), turns.alias("stop"))
+    rev = rev.withColumn("bin", F.floor((F.col("stop") - 1) / max_length))
+    near = F.col("stop").between(F.col("start"), F.col("start") + F.least(F.lit(max_length), F.col("n")) - 1)
+    rows = fwd.join(rev, ["seq_id", "bin"]).where(near & (F.col("fwd_id") != F.col("rev_id")))
+    length = (F.col("stop") - F.col("start") + 1).cast("int")
+    rows = rows.select(
+        "seq_id", "fwd_id", "rev_id", "start", "end", length.alias("length"),
         F.round(F.least("fwd_tm", "rev_tm") - 5, 4).alias("anneal"), F.floor(F.lit(SPEEDS[polymerase]) * length / 1000).cast("int").alias("extend_s"),
     )
+    return span_bases(seqs, rows, "product").select("seq_id", "fwd_id", "rev_id", "start", "end", "length", "product", "anneal", "extend_s")
 
 
 def amplicon_features(products: DataFrame, features: DataFrame) -> DataFrame:

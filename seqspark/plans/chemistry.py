@@ -132,11 +132,24 @@ def primer_specificity(spark, sf):
     return primers.primer_specificity(d.primers(spark, sf), found_sites(spark, sf))
 
 
+@query(
+    "d8_site_totals",
+    f"{WITH}, {SITES}, lib_patterns AS (SELECT lib_id AS pattern_id, seq AS pattern FROM library), {d.hits_sql('lib_hits', 'lib_patterns')}, "
+    "targets AS (SELECT DISTINCT p.primer_id, h.seq_id FROM primers p JOIN lib_hits h ON h.pattern_id = p.primer_id // 2), "
+    "n AS (SELECT s.primer_id, s.seq_id, count(*) AS sites, count(t.primer_id) AS on_target FROM sites s LEFT JOIN targets t ON t.primer_id = s.primer_id AND t.seq_id = s.seq_id GROUP BY ALL) "
+    "SELECT primer_id, seq_id, CAST(sum(sites) AS BIGINT) AS sites, CAST(sum(on_target) AS BIGINT) AS on_target, CAST(sum(sites) - sum(on_target) AS BIGINT) AS off_target FROM n GROUP BY ROLLUP (primer_id, seq_id)",
+)
+def site_totals(spark, sf):
+    """A primer is meant for the sequences that hold the whole library entry it was made of."""
+    own = d.library_hits(spark, sf).select(F.explode(F.array(F.col("pattern_id") * 2, F.col("pattern_id") * 2 + 1)).alias("primer_id"), "seq_id")
+    return primers.site_totals(found_sites(spark, sf), own.join(d.primers(spark, sf), "primer_id", "left_semi"))
+
+
 AMPLICONS = (
     f"{tm_sql('ptm', 'primers')}, few AS (SELECT *, count(*) OVER (PARTITION BY seq_id, primer_id) AS k FROM sites), "
     "amp AS (SELECT f.seq_id, f.primer_id AS fwd_id, r.primer_id AS rev_id, f.start, r.\"end\", CASE WHEN r.\"end\" >= f.start THEN r.\"end\" - f.start + 1 ELSE length(q.seq) - f.start + 1 + r.\"end\" END AS length, q.seq, round(least(round(a.tm, 4), round(b.tm, 4)) - 5, 4) AS anneal "
     "FROM few f JOIN few r ON r.seq_id = f.seq_id AND f.strand = 'fwd' AND r.strand = 'rev' AND f.primer_id <> r.primer_id AND f.k <= 1 AND r.k <= 1 JOIN sequences q ON q.seq_id = f.seq_id JOIN ptm a ON a.primer_id = f.primer_id JOIN ptm b ON b.primer_id = r.primer_id WHERE f.start <= r.\"end\" OR q.topology = 'circular'), "
-    "amplicons AS (SELECT seq_id, fwd_id, rev_id, start, \"end\", CAST(length AS INT) AS length, substring(seq || seq, start, length) AS product, anneal, CAST(60 * length // 1000 AS INT) AS extend_s FROM amp)"
+    "amplicons AS (SELECT seq_id, fwd_id, rev_id, start, \"end\", CAST(length AS INT) AS length, substring(seq || seq, start, length) AS product, anneal, CAST(60 * length // 1000 AS INT) AS extend_s FROM amp WHERE length <= 40000)"
 )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from seqspark.functions.exprs import clean_sequence, reverse_complement
 from seqspark.operators import frames, matching
+from seqspark.operators.spans import span_bases
 from seqspark.session import is_written, materialize, read_table
 
 #: Insert ids are sequence ids times this, and the first base.
@@ -92,8 +93,8 @@ def inserts(spark: SparkSession, sf: str) -> DataFrame:
     """All forward reading frames of 30 bases or more of linear sequences; the id holds sequence and start."""
     seqs = sequences(spark, sf).where("topology = 'linear'")
     orfs = frames.orfs(seqs).where((F.col("end") - F.col("start") >= 29) & F.col("frame").startswith("Fwd"))
-    own = F.substring(F.col("seq"), F.col("start"), F.col("end") - F.col("start") + 1)
-    return orfs.select("seq_id", "start", "end").join(seqs, "seq_id").select((F.col("seq_id") * INSERT_PLACES + F.col("start")).alias("insert_id"), "seq_id", own.alias("insert"))
+    own = span_bases(seqs, orfs.select("seq_id", "start", "end"), "insert")
+    return own.select((F.col("seq_id") * INSERT_PLACES + F.col("start")).alias("insert_id"), "seq_id", "insert")
 
 
 def vector_of(seq_id: Column) -> Column:
