@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seqspark.functions.constants import DIRECTED
 from seqspark.functions.exprs import overlapping, reverse_complement, windows, wrap
 
+from .spans import lengths
+
 #: Bases that belong to a chunk, unless patterns are longer; it also holds the overlap that follows.
 CHUNK = 2048
 #: Patterns, and bases of them, that are broadcast at most.
@@ -120,9 +122,8 @@ def annotate_fuzzy(seqs: DataFrame, library: DataFrame, min_identity: float = 0.
     )
     hits = motif_hits(seqs, pieces, strands=False).select("seq_id", F.col("pattern_id.*"), F.col("start").alias("piece_start"))
     placed = hits.join(cut.select("pattern_id", "strand", "piece", "size", F.length("pattern").alias("m")), ["pattern_id", "strand", "piece"])
-    lengths = seqs.select("seq_id", F.length("seq").alias("n"), (F.col("topology") == "circular").alias("circular"))
     start = F.col("piece_start") - F.col("piece") * F.col("size")
-    places = placed.join(lengths, "seq_id").withColumn("start", F.when(F.col("circular"), wrap(start, F.col("n"))).otherwise(start))
+    places = placed.join(lengths(seqs), "seq_id").withColumn("start", F.when(F.col("circular"), wrap(start, F.col("n"))).otherwise(start))
     places = places.where((F.col("m") <= F.col("n")) & (F.col("circular") | ((F.col("start") >= 1) & (F.col("start") + F.col("m") - 1 <= F.col("n")))))
     # each place once, before any bases come in
     places = places.select("seq_id", "pattern_id", "strand", F.col("start").cast("int").alias("start")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .intervals import overlap_join
-from .spans import span_bases
+from .spans import lengths, span_bases
 
 #: Extension speed of polymerases in seconds for each 1000 bases.
 SPEEDS = {"taq": 60, "high_fidelity": 15}
@@ -23,7 +23,7 @@ def amplicons(seqs: DataFrame, sites: DataFrame, primers: DataFrame, max_sites:
     """
     count = F.count("*").over(Window.partitionBy("seq_id", "primer_id"))
     few = sites.withColumn("k", count).where(F.col("k") <= max_sites)
-    placed = few.join(primers.select("primer_id", "tm"), "primer_id").join(seqs.select("seq_id", F.length("seq").alias("n"), (F.col("topology") == "circular").alias("circular")), "seq_id")
+    placed = few.join(primers.select("primer_id", "tm"), "primer_id").join(lengths(seqs), "seq_id")
     home = F.floor((F.col("start") - 1) / max_length)
     fwd = placed.where("strand = 'fwd'").select("seq_id", F.col("primer_id").alias("fwd_id"), "start", F.col("tm").alias("fwd_tm"), "n", F.explode(F.array(home, home + 1)).alias("bin"))
     turns = F.explode(F.when(F.col("circular"), F.array(F.col("end"), F.col("end") + F.col("n"))).otherwise(F.array(F.col("end"))))

@@ -10,6 +10,16 @@ from seqspark.functions.exprs import span_length, windows
 CHUNK = 4096
 
 
+def lengths(seqs: DataFrame) -> DataFrame:
+    """``(seq_id, n, circular)`` if ``seqs`` has a topology, else ``(seq_id, n)``.
+
+    Aggregated, so that the length is counted once a sequence: a join would put off the count of a plain
+    column and repeat it for every row that a sequence meets.
+    """
+    circular = [F.max(F.col("topology") == "circular").alias("circular")] if "topology" in seqs.columns else []
+    return seqs.groupBy("seq_id").agg(F.max(F.length("seq")).alias("n"), *circular)
+
+
 def span_bases(seqs: DataFrame, spans: DataFrame, name: str = "bases", chunk: int = CHUNK) -> DataFrame:
     """``spans(seq_id, start, end, ...)`` with the bases of each range; one that ends before it starts wraps.
 
@@ -20,7 +30,7 @@ def span_bases(seqs: DataFrame, spans: DataFrame, name: str = "bases", chunk: in
     """
     keys = spans.columns
     n = F.col("_n")
-    sized = spans.join(seqs.select("seq_id", F.length("seq").alias("_n")), "seq_id")
+    sized = spans.join(lengths(seqs).select("seq_id", F.col("n").alias("_n")), "seq_id")
     last = F.least(F.col("start") + span_length(F.col("start"), F.col("end"), n) - 1, 2 * n)
     turn = lambda k, a, b: F.struct(F.lit(k).alias("turn"), a.alias("a"), b.alias("b"))
     parts = F.array(turn(0, F.col("start"), F.least(F.col("_last"), n)), turn(1, F.greatest(F.col("start") - n, F.lit(1)), F.col("_last") - n))
