@@ -100,6 +100,26 @@ def re_candidates(insert_sites: DataFrame, vector_sites: DataFrame, pairs: DataF
     return rows.select("insert_id", "vector_id", "enzyme_id", "insert_pos", "vector_pos")
 
 
+def candidate_links(insert_sites: DataFrame, vector_sites: DataFrame) -> DataFrame:
+    """``(enzyme_id, enzyme, inserts, vectors, pairs)``: of every insert with every vector, how many an enzyme
+    cuts once each with sticky ends. The members of either side are its single cuts; no pair is formed."""
+    sharp = F.broadcast(table(insert_sites.sparkSession, "enzymes").where("not is_blunt").select("enzyme_id"))
+    count = lambda s, name: s.where("match_count = 1").join(sharp, "enzyme_id", "left_semi").groupBy("enzyme_id", "enzyme").agg(F.count("*").alias(name))
+    both = count(insert_sites, "inserts").join(count(vector_sites, "vectors"), ["enzyme_id", "enzyme"])
+    return both.withColumn("pairs", F.col("inserts") * F.col("vectors"))
+
+
+def candidate_members(insert_sites: DataFrame, vector_sites: DataFrame, sides: tuple[str, str] = ("insert", "vector")) -> DataFrame:
+    """``(side, seq_id, enzyme_id, pos, partners)``: each single sticky cut of an insert or a vector, and how many
+    of the other side the enzyme cuts once; zero too. An enzyme is a class, and its rows are the members."""
+    sharp = F.broadcast(table(insert_sites.sparkSession, "enzymes").where("not is_blunt").select("enzyme_id"))
+    single = [s.where("match_count = 1").join(sharp, "enzyme_id", "left_semi").select(F.lit(name).alias("side"), "seq_id", "enzyme_id", F.col("site_start").alias("pos")) for s, name in zip((insert_sites, vector_sites), sides)]
+    rows = single[0].unionByName(single[1])
+    counts = rows.groupBy("enzyme_id").agg(*[F.count_if(F.col("side") == name).alias(f"_{i}") for i, name in enumerate(sides)])  # a row for each enzyme
+    partners = F.when(F.col("side") == sides[0], F.col("_1")).otherwise(F.col("_0"))
+    return rows.join(F.broadcast(counts), "enzyme_id").select("side", "seq_id", "enzyme_id", "pos", partners.alias("partners"))
+
+
 def common_enzymes(sites: DataFrame, sets: DataFrame) -> DataFrame:
     """``(set_id, enzyme)``: the enzymes that cut every sequence of a set, by a relational division.
 

@@ -146,6 +146,21 @@ def screen_summary(spark, sf):
     return cloning.screen_summary(d.inserts(spark, sf), d.backbones(spark, sf))
 
 
+@query(
+    "b12_screen_classes",
+    VECTORS_WITH
+    + ", ic AS (SELECT insert_id, length(insert) AS size, length(insert) % 3 = 0 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(1, length(insert) - 1, 3)) AS i) WHERE substring(insert, i, 3) IN ('taa', 'tag', 'tga')) AS ok FROM own), "
+    "vc AS (SELECT backbone_id, his_start, loc, CASE WHEN rbs_end IS NULL THEN 'NotApplicable' WHEN loc - rbs_end BETWEEN 4 AND 11 THEN 'Pass' ELSE 'Fail' END AS rbs_dist, CASE WHEN loc > promoter_end THEN 'Pass' ELSE 'Fail' END AS promoter, CASE WHEN loc < terminator_end THEN 'Pass' ELSE 'Fail' END AS terminator, "
+    "his_start IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(loc, his_start, 3)) AS i) WHERE substring(seq, i, 3) IN ('taa', 'tag', 'tga') OR i + 2 >= length(seq)) AS is_open FROM located) "
+    "SELECT i.ok AS insert_open, i.size > 0 AS insert_filled, his_start IS NOT NULL AS tagged, is_open, coalesce(his_start = loc, false) AS at_tag, rbs_dist, promoter, terminator, 'Pass' AS direction, "
+    "CASE WHEN his_start IS NULL THEN 'NotApplicable' WHEN i.ok AND is_open AND loc < his_start + size THEN 'Pass' ELSE 'Fail' END AS tag_frame, "
+    "count(DISTINCT insert_id) AS inserts, count(DISTINCT backbone_id) AS vectors, count(*) AS pairs, min(insert_id) AS insert_id, min(backbone_id) AS backbone_id FROM ic i, vc v GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10",
+)
+def screen_classes(spark, sf):
+    """Every insert with every vector, by classes."""
+    return cloning.screen_classes(d.inserts(spark, sf), d.backbones(spark, sf))
+
+
 @query("h10_insert_locations", f"WITH {d.SEQUENCES}, {d.BACKBONES} SELECT backbone_id, CAST({LOC} AS INT) AS loc FROM backbones")
 def insert_locations(spark, sf):
     return d.backbones(spark, sf).select("backbone_id", cloning.insert_location().cast("int").alias("loc"))
@@ -213,14 +228,14 @@ def product_features(spark, sf):
     return _products(spark, sf, d.feature_library(spark, sf))[1]
 
 
-def _slic_pairs(spark, sf):
+def _slic_pairs(spark, sf, pairs=None):
     backs = d.backbones(spark, sf).withColumn("loc", cloning.insert_location()).where("loc is not null").select(F.col("seq").alias("vector"), F.col("loc").cast("int").alias("loc"), "backbone_id")
     ins = d.inserts(spark, sf).select("insert_id", "insert")
-    return d.pairs(spark, sf).join(ins, "insert_id").join(backs, "backbone_id").select(F.col("insert_id").alias("pair_id"), "vector", "insert", "loc")
+    return (d.pairs(spark, sf) if pairs is None else pairs).join(ins, "insert_id").join(backs, "backbone_id").select(F.concat_ws(":", "insert_id", "backbone_id").alias("pair_id"), "vector", "insert", "loc")
 
 
 SLIC = (
-    f"l AS (SELECT *, {LOC} AS loc0 FROM backbones), p AS (SELECT i.insert_id AS pair_id, b.seq AS v, i.insert, (b.loc0 - 1) % length(b.seq) + 1 AS loc, length(b.seq) AS n FROM pairs x JOIN l b ON b.backbone_id = x.backbone_id JOIN inserts i ON i.insert_id = x.insert_id WHERE b.loc0 IS NOT NULL), "
+    f"l AS (SELECT *, {LOC} AS loc0 FROM backbones), p AS (SELECT i.insert_id || ':' || b.backbone_id AS pair_id, b.seq AS v, i.insert, (b.loc0 - 1) % length(b.seq) + 1 AS loc, length(b.seq) AS n FROM pairs x JOIN l b ON b.backbone_id = x.backbone_id JOIN inserts i ON i.insert_id = x.insert_id WHERE b.loc0 IS NOT NULL), "
     f"w AS (SELECT pair_id, insert, substring(v || v, loc, 32) AS fwd, {d.RC.format('substring(v || v, (loc - 33 + n) % n + 1, 32)')} AS rev FROM p), "
     f"slic AS (SELECT pair_id, 'Vector fwd' AS name, fwd AS seq, 'only3' AS tune_mode, CAST(NULL AS INT) AS anchor FROM w UNION ALL SELECT pair_id, 'Vector rev', rev, 'only3', NULL FROM w UNION ALL SELECT pair_id, 'Insert fwd', {d.RC.format('rev')} || substring(insert, 1, 30), 'both', 30 FROM w UNION ALL SELECT pair_id, 'Insert rev', {d.RC.format('fwd')} || substring({d.RC.format('insert')}, 1, 30), 'both', 32 FROM w)"
 )
@@ -232,9 +247,15 @@ def design_slic(spark, sf):
     return primers.design_slic(_slic_pairs(spark, sf))
 
 
-@query("h2_tuned_slic", f"{SLIC_WITH}, {tuning_sql('slic', ('pair_id', 'name'))} SELECT pair_id, name, tune_mode, trim5, trim3, seq, quality FROM tuned")
+GOOD = "good AS (SELECT insert_id, backbone_id FROM screen WHERE 'Fail' NOT IN (rbs_dist, promoter, terminator, direction, tag_frame))"
+
+
+@query("h2_tuned_slic", f"{SCREEN_WITH}, {GOOD}, {SLIC.replace('FROM pairs x', 'FROM good x')}, {tuning_sql('slic', ('pair_id', 'name'))} SELECT pair_id, name, tune_mode, trim5, trim3, seq, quality FROM tuned")
 def tuned_slic(spark, sf):
-    return primers.tuned_designs(primers.design_slic(_slic_pairs(spark, sf)), "pair_id")
+    """Designs are tuned for the pairs of the query set that pass all checks of the screen."""
+    screen = cloning_screen(spark, sf)
+    good = screen.where(" and ".join(f"{c} != 'Fail'" for c in ("rbs_dist", "promoter", "terminator", "direction", "tag_frame")))
+    return primers.tuned_designs(primers.design_slic(_slic_pairs(spark, sf, good.select("insert_id", "backbone_id"))), "pair_id")
 
 
 AMPLIFY = f"amplify AS (SELECT seq_id, 'Amplification fwd' AS name, substring(seq, 1, 32) AS seq, 'only3' AS tune_mode, CAST(NULL AS INT) AS anchor FROM sequences WHERE length(seq) >= 10 UNION ALL SELECT seq_id, 'Amplification rev', substring({d.RC.format('seq')}, 1, 32), 'only3', NULL FROM sequences WHERE length(seq) >= 10)"

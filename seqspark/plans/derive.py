@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from seqspark.functions.exprs import clean_sequence, reverse_complement
 from seqspark.operators import frames, matching
@@ -97,15 +97,17 @@ def inserts(spark: SparkSession, sf: str) -> DataFrame:
     return own.select((F.col("seq_id") * INSERT_PLACES + F.col("start")).alias("insert_id"), "seq_id", "insert")
 
 
-def vector_of(seq_id: Column) -> Column:
-    """The vector that is stated for a sequence's inserts: the sequence of its round hundred, if it is one."""
-    return seq_id - seq_id % 100
+#: Every insert whose id is divided by this is compared with every vector, so many inserts at once.
+QUERY_STEP, BLOCK = 100, 10_000
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """``(insert_id, backbone_id)``: every insert with its stated vector."""
-    rows = inserts(spark, sf).select("insert_id", vector_of(F.col("seq_id")).alias("backbone_id"))
-    return rows.join(backbones(spark, sf).select("backbone_id"), "backbone_id", "left_semi").select("insert_id", "backbone_id")
+    """``(insert_id, backbone_id)``: the query set of inserts with all vectors, in blocks."""
+    queries = inserts(spark, sf).where(F.col("insert_id") % QUERY_STEP == 0).select("insert_id")
+    blocks = -(-max(1, queries.count()) // BLOCK)
+    own = queries.withColumn("block", F.pmod(F.xxhash64("insert_id"), F.lit(blocks)).cast("int"))
+    vectors = backbones(spark, sf).select("backbone_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return vectors.join(own, "block").select("insert_id", "backbone_id")
 
 
 def alignments(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,4 +170,4 @@ BACKBONES = (
 INSERTS = (
     "inserts AS (SELECT o.seq_id * 10000000 + o.start AS insert_id, o.seq_id, substring(q.seq, o.start, o.\"end\" - o.start + 1) AS insert FROM orfs o JOIN sequences q ON q.seq_id = o.seq_id WHERE q.topology = 'linear' AND o.\"end\" - o.start >= 29 AND frame LIKE 'Fwd%')"
 )
-PAIRS = "pairs AS (SELECT i.insert_id, b.backbone_id FROM inserts i JOIN backbones b ON b.backbone_id = i.seq_id - i.seq_id % 100)"
+PAIRS = "pairs AS (SELECT i.insert_id, b.backbone_id FROM inserts i, backbones b WHERE i.insert_id % 100 = 0)"

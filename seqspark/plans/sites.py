@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqspark.functions.constants import HIS_CODONS, values_sql
-from seqspark.functions.exprs import clean_sequence
+from seqspark.functions.exprs import clean_sequence, reverse_complement
 from seqspark.operators import enzymes, frames, intervals, library, matching
 from seqspark.session import read_table
 
@@ -42,15 +42,20 @@ def annotate(spark, sf):
     return matching.annotate(d.sequences(spark, sf), d.feature_library(spark, sf), min_run=3)
 
 
+#: Short motifs that are searched for besides: TATA box, CAAT box, Kozak start, polyadenylation signal, E-box.
+MOTIFS = ((1, "tataaa"), (2, "ccaat"), (3, "accatgg"), (4, "aataaa"), (5, "cacgtg"))
+MOTIFS_SQL = ", ".join(f"({k}, '{m}')" for k, m in MOTIFS)
+
+
 @query(
     "b4_search",
-    f"{WITH}qq AS (SELECT item_id AS pattern_id, seq AS pattern FROM (SELECT item_id, {d.CLEAN.format("array_to_string(string_split(text, ' ')[1:4], '')")} AS seq FROM benchmark) WHERE length(seq) >= 3), {d.hits_sql('hits', 'qq')} SELECT seq_id, pattern_id AS query_id, strand, start, {E_} FROM hits",
+    f"{WITH}qq AS (SELECT item_id AS pattern_id, seq AS pattern FROM (SELECT item_id, {d.CLEAN.format("text")} AS seq FROM benchmark UNION ALL SELECT -k, {d.RC.format("m")} FROM (VALUES {MOTIFS_SQL}) AS t(k, m)) WHERE length(seq) >= 3), {d.hits_sql('hits', 'qq')} SELECT seq_id, pattern_id AS query_id, strand, start, {E_} FROM hits",
 )
 def search(spark, sf):
-    """Short queries of 3 bases or more, from the first four words of each benchmark item."""
-    seq = clean_sequence(F.array_join(F.slice(F.split("text", " "), 1, 4), ""))
-    queries = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), seq.alias("seq"))
-    return matching.search(d.sequences(spark, sf), queries.where(F.length("seq") >= 3))
+    """Whole benchmark items, and a short list of motifs under negative ids, from their other strand."""
+    items = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), clean_sequence(F.col("text")).alias("seq"))
+    motifs = spark.createDataFrame([(-k, m) for k, m in MOTIFS], "query_id long, seq string").withColumn("seq", reverse_complement(F.col("seq")))
+    return matching.search(d.sequences(spark, sf), items.unionByName(motifs).where(F.length("seq") >= 3))
 
 
 SITES = (
@@ -243,18 +248,47 @@ def unique_cutters(spark, sf):
     return enzymes.enzyme_filter(re_sites(spark, sf), unique=True)
 
 
-@query(
-    "b13_re_candidates",
-    SITES_WITH + "SELECT a.seq_id AS insert_id, b.seq_id AS vector_id, a.enzyme_id, a.site_start AS insert_pos, b.site_start AS vector_pos FROM re_sites a JOIN re_sites b ON a.enzyme_id = b.enzyme_id JOIN enzymes e ON e.enzyme_id = a.enzyme_id "
-    "JOIN sequences i ON i.seq_id = a.seq_id JOIN sequences v ON v.seq_id = b.seq_id WHERE a.match_count = 1 AND b.match_count = 1 AND NOT e.is_blunt AND i.topology = 'linear' AND v.topology = 'circular' AND length(v.seq) >= 600 AND v.seq_id = i.seq_id - i.seq_id % 10",
+SINGLE_CUTS = (
+    "cuts AS (SELECT a.seq_id, a.enzyme_id, a.enzyme, a.site_start, q.topology FROM re_sites a JOIN enzymes e ON e.enzyme_id = a.enzyme_id JOIN sequences q ON q.seq_id = a.seq_id WHERE a.match_count = 1 AND NOT e.is_blunt AND (q.topology = 'linear' OR length(q.seq) >= 600))"
 )
-def re_candidates(spark, sf):
-    """Every linear sequence with one vector: the sequence of its round ten."""
+
+
+def _insert_and_vector_sites(spark, sf):
     seqs = d.sequences(spark, sf)
     inserts = seqs.where("topology = 'linear'")
     vectors = seqs.where((F.col("topology") == "circular") & (F.length("seq") >= 600))
-    pairs = inserts.select(F.col("seq_id").alias("insert_id"), (F.col("seq_id") - F.col("seq_id") % 10).alias("vector_id")).join(vectors.select(F.col("seq_id").alias("vector_id")), "vector_id", "left_semi")
-    return enzymes.re_candidates(enzymes.re_sites(inserts), enzymes.re_sites(vectors), pairs)
+    return inserts, vectors, enzymes.re_sites(inserts), enzymes.re_sites(vectors)
+
+
+@query(
+    "b13_re_candidates",
+    SITES_WITH.rstrip() + f", {SINGLE_CUTS} SELECT c.topology AS side, c.seq_id, c.enzyme_id, c.site_start AS pos, (SELECT count(*) FROM cuts o WHERE o.enzyme_id = c.enzyme_id AND o.topology <> c.topology) AS partners FROM cuts c",
+)
+def re_candidates(spark, sf):
+    """Every linear sequence with every vector: the members of either side and with how many they are candidates."""
+    _, _, own, theirs = _insert_and_vector_sites(spark, sf)
+    return enzymes.candidate_members(own, theirs, sides=("linear", "circular"))
+
+
+@query(
+    "b13_candidate_pairs",
+    SITES_WITH.rstrip() + f", {SINGLE_CUTS} SELECT a.seq_id AS insert_id, b.seq_id AS vector_id, a.enzyme_id, a.site_start AS insert_pos, b.site_start AS vector_pos FROM cuts a JOIN cuts b USING (enzyme_id) WHERE a.topology = 'linear' AND b.topology = 'circular' AND b.seq_id % 100 = 0",
+)
+def candidate_pairs(spark, sf):
+    """Every vector whose id is divided by 100 with every linear sequence."""
+    inserts, vectors, own, theirs = _insert_and_vector_sites(spark, sf)
+    queries = vectors.where("seq_id % 100 = 0").select(F.col("seq_id").alias("vector_id"), F.lit(0).alias("block"))
+    pairs = inserts.select(F.col("seq_id").alias("insert_id"), F.lit(0).alias("block")).join(queries, "block").drop("block")
+    return enzymes.re_candidates(own, theirs, pairs)
+
+
+@query(
+    "b13_candidate_links",
+    SITES_WITH.rstrip() + f", {SINGLE_CUTS}, i AS (SELECT enzyme_id, enzyme, count(*) AS inserts FROM cuts WHERE topology = 'linear' GROUP BY ALL), v AS (SELECT enzyme_id, enzyme, count(*) AS vectors FROM cuts WHERE topology = 'circular' GROUP BY ALL) SELECT enzyme_id, enzyme, inserts, vectors, inserts * vectors AS pairs FROM i JOIN v USING (enzyme_id, enzyme)",
+)
+def candidate_links(spark, sf):
+    """Every linear sequence with every vector."""
+    return enzymes.candidate_links(*_insert_and_vector_sites(spark, sf)[2:])
 
 
 @query("g3_common_enzymes", SITES_WITH + ", sets AS (SELECT seq_id // 2 AS set_id, seq_id FROM sequences) SELECT set_id, enzyme FROM sets JOIN re_sites USING (seq_id) GROUP BY set_id, enzyme HAVING count(DISTINCT seq_id) = (SELECT count(*) FROM sets s WHERE s.set_id = sets.set_id)")
