@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seqspark.functions.constants import HIS_CODONS, START, STOPS, table
-from seqspark.functions.exprs import overlapping, reverse_complement, windows
+from seqspark.functions.constants import HIS_CODONS, START, STOPS, codon_rows, reverse_complement as complement, table
+from seqspark.functions.exprs import reverse_complement, windows
 
+from .scan import word_places
 from .spans import span_bases
 
 CHUNK = 1536
 
 
-def strand_codons(seqs: DataFrame) -> DataFrame:
-    """``(seq_id, n, strand, pos, codon)``: every triplet of both strands; ``pos`` counts on its strand.
+def marked_codons(seqs: DataFrame, codons: tuple[str, ...]) -> DataFrame:
+    """``(seq_id, n, strand, pos, codon)`` of the given codons on both strands; ``pos`` counts on its strand.
 
-    Sequences are cut into chunks of a multiple of three bases, each with the two bases that follow.
-    One explode serves all three frames of a strand: the frame is (pos - 1) mod 3.
+    Sequences are cut into chunks, each with the two bases that follow, and scanned once for the codons and
+    their reverse complements, so that no other triplet becomes a row. The frame is (pos - 1) mod 3.
     """
     n = F.length("seq")
-    strands = seqs.where(n >= 3).select("seq_id", n.alias("n"), F.explode(F.array(F.struct(F.lit("Fwd").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("Rev").alias("strand"), reverse_complement(F.col("seq")).alias("s")))).alias("x"))
-    rows = strands.select("seq_id", "n", "x.strand", F.posexplode(windows(F.col("x.s"), CHUNK, 2)).alias("chunk", "bases"))
-    codons = rows.where(F.length("bases") >= 3).select("seq_id", "n", "strand", F.col("chunk"), F.posexplode(overlapping(F.col("bases"), 3)).alias("k", "codon"))
-    return codons.select("seq_id", "n", "strand", (F.col("chunk") * CHUNK + F.col("k") + 1).alias("pos"), "codon")
+    pieces = seqs.where(n >= 3).select("seq_id", n.alias("n"), F.posexplode(windows(F.col("seq"), CHUNK, 2)).alias("chunk", "bases"))
+    turned = {c: complement(c) for c in codons}
+    places = word_places(pieces.withColumn("own", F.lit(CHUNK)), {3: sorted({*codons, *turned.values()})})
+    first = F.col("chunk") * CHUNK + F.col("offset") + 1
+    strand = lambda name, codon, pos: F.struct(F.lit(name).alias("strand"), pos.alias("pos"), codon.alias("codon"))
+    both = F.array(
+        F.when(F.col("word").isin(*codons), strand("Fwd", F.col("word"), first)),
+        F.when(F.col("word").isin(*turned.values()), strand("Rev", reverse_complement(F.col("word")), F.col("n") - first - 1)),
+    )
+    return places.select("seq_id", "n", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("seq_id", "n", "x.*")
 
 
 def frame_name() -> Column:
@@ -45,7 +52,7 @@ def orfs(seqs: DataFrame, close_at_end: bool = False) -> DataFrame:
     frame; a segment holds at most one stop, its last codon. With ``close_at_end`` an open frame ends
     with its last whole codon.
     """
-    marks = strand_codons(seqs).where(F.col("codon").isin(START, *STOPS)).withColumn("frame", frame_name())
+    marks = marked_codons(seqs, (START, *STOPS)).withColumn("frame", frame_name())
     stop = F.col("codon") != START
     before = Window.partitionBy("seq_id", "frame").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     marked = marks.withColumn("segment", F.coalesce(F.sum(stop.cast("int")).over(before), F.lit(0)))
@@ -60,7 +67,7 @@ def orfs(seqs: DataFrame, close_at_end: bool = False) -> DataFrame:
 
 def codon_runs(seqs: DataFrame, codons: tuple[str, ...], min_run: int) -> DataFrame:
     """``(seq_id, strand, frame, start, end, codons)`` of unbroken runs of given codons in any frame."""
-    hits = strand_codons(seqs).where(F.col("codon").isin(*codons)).withColumn("frame", frame_name())
+    hits = marked_codons(seqs, tuple(codons)).withColumn("frame", frame_name())
     order = Window.partitionBy("seq_id", "frame").orderBy("pos")
     islands = hits.withColumn("island", F.col("pos") - 3 * F.row_number().over(order))
     runs = islands.groupBy("seq_id", "strand", "frame", "n", "island").agg(F.min("pos").alias("a"), (F.max("pos") + 2).alias("b"), F.count("*").cast("int").alias("codons"))
@@ -152,9 +159,21 @@ def hydropathy(found: DataFrame, window: int = 9) -> DataFrame:
 
 
 def residue_tracts(seqs: DataFrame, aa: str = "Q", window: int = 35, fraction: float = 0.75) -> DataFrame:
-    """``(seq_id, frame, windows, most)``: frames with windows of which more than ``fraction`` is one residue."""
-    codons = strand_codons(seqs).join(F.broadcast(table(seqs.sparkSession, "codons")), "codon").withColumn("frame", frame_name())
-    ahead = Window.partitionBy("seq_id", "frame").orderBy("pos").rowsBetween(0, window - 1)
-    rows = codons.select("seq_id", "frame", F.sum((F.col("aa") == aa).cast("int")).over(ahead).alias("hits"), F.count("*").over(ahead).alias("k"))
-    full = rows.where((F.col("k") == window) & (F.col("hits") > fraction * window))
-    return full.groupBy("seq_id", "frame").agg(F.count("*").alias("windows"), F.max("hits").alias("most"))
+    """``(seq_id, frame, windows, most)``: frames with windows of which more than ``fraction`` is one residue.
+
+    Only codons of the residue become rows. One at place j of a frame counts in the windows that start at
+    j - window + 1 to j; the running sum of these beginnings and ends is how many a window holds, from one
+    change to the next.
+    """
+    codons = tuple(codon for codon, residue in codon_rows() if residue == aa)
+    hits = marked_codons(seqs, codons).withColumn("frame", frame_name())
+    at = F.floor((F.col("pos") - 1) / 3)
+    last = F.floor((F.col("n") - F.pmod(F.col("pos") - 1, F.lit(3))) / 3) - window  # the last whole window of the frame
+    change = lambda place, by: F.struct(place.cast("long").alias("at"), F.lit(by).alias("by"))
+    events = hits.withColumn("last", last).where("last >= 0")
+    events = events.select("seq_id", "frame", "last", F.explode(F.array(change(F.greatest(at - window + 1, F.lit(0)), 1), change(at + 1, -1))).alias("e"))
+    sums = events.groupBy("seq_id", "frame", "last", "e.at").agg(F.sum("e.by").alias("by"))
+    order = Window.partitionBy("seq_id", "frame").orderBy("at")
+    held = sums.withColumn("hits", F.sum("by").over(order)).withColumn("next", F.least(F.lead("at").over(order), F.col("last") + 1))
+    full = held.where((F.col("hits") > fraction * window) & (F.col("at") < F.col("next")))
+    return full.groupBy("seq_id", "frame").agg(F.sum(F.col("next") - F.col("at")).alias("windows"), F.max("hits").alias("most"))

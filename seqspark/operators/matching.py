@@ -1,18 +1,22 @@
 """Exact and nearly exact occurrences of patterns in sequences, by k-mer seeds.
 
 A pattern's first k bases are its seed. Sequences are cut into overlapping chunks in one pass, so that no
-row and no string operation grows with a chromosome; the k-mers of a chunk meet the seeds, and what
-meets is verified against the chunk. Seeds of a counted, bounded number of patterns are broadcast, and
-nothing is shuffled; more are joined by shuffles through which the sequence itself never goes.
+row and no string operation grows with a chromosome. Of a counted, bounded number of patterns the seeds are
+looked up where the chunks are read, so that only places of seeds become rows, and these are verified against
+the broadcast patterns; nothing is shuffled. More patterns are joined by shuffles through which the sequence
+itself never goes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqspark.functions.constants import DIRECTED
 from seqspark.functions.exprs import overlapping, reverse_complement, windows, wrap
 
+from .scan import word_places
 from .spans import lengths
 
 #: Bases that belong to a chunk, unless patterns are longer; it also holds the overlap that follows.
@@ -37,17 +41,24 @@ def chunk_sequences(seqs: DataFrame, overlap: int) -> DataFrame:
     return rows.where("own > 0")
 
 
-def _seed_hits(seqs: DataFrame, patterns: DataFrame, k: int, longest: int, small: bool) -> DataFrame:
-    """``(seq_id, n, circular, pos, pattern_id, strand, pattern)`` of every occurrence."""
+def _scanned_hits(seqs: DataFrame, patterns: DataFrame, longest: int) -> DataFrame:
+    """``(seq_id, n, circular, pos, pattern_id, strand, pattern)`` of every occurrence, in one scan for seeds of
+    all lengths; ``patterns`` have a ``seed``, and are so few that they are broadcast."""
+    words: dict[int, list[str]] = {}
+    for r in patterns.select("seed").distinct().collect():
+        words.setdefault(len(r["seed"]), []).append(r["seed"])
+    pieces = chunk_sequences(seqs, longest - 1).select("seq_id", "n", "circular", "first", "own", "bases")
+    met = word_places(pieces, words, longest).join(F.broadcast(patterns), F.col("word") == F.col("seed"))
+    found = met.where((F.length("pattern") <= F.col("n")) & F.startswith(F.col("tail"), F.col("pattern")))
+    return found.select("seq_id", "n", "circular", (F.col("first") + F.col("offset")).alias("pos"), "pattern_id", "strand", "pattern")
+
+
+def _joined_hits(seqs: DataFrame, patterns: DataFrame, k: int, longest: int) -> DataFrame:
+    """The same for seeds of ``k`` bases, by shuffles through which no sequence goes."""
     chunks = chunk_sequences(seqs, longest - 1)
-    seeds = patterns.select("pattern_id", "strand", "pattern", F.substring(F.col("pattern"), F.lit(1), F.lit(k)).alias("kmer"))
-    kmers = F.posexplode(F.slice(overlapping(F.col("bases"), k), F.lit(1), F.col("own"))).alias("offset", "kmer")
-    long = chunks.where(F.length("bases") >= k)
-    if small:
-        found = long.select("seq_id", "n", "circular", "first", "bases", kmers).join(F.broadcast(seeds), "kmer")
-    else:
-        met = long.select("seq_id", "chunk", kmers).join(seeds, "kmer").drop("kmer")
-        found = met.join(chunks, ["seq_id", "chunk"])
+    kmers = F.posexplode(F.slice(overlapping(F.col("bases"), k), F.lit(1), F.col("own"))).alias("offset", "seed")
+    met = chunks.where(F.length("bases") >= k).select("seq_id", "chunk", kmers).join(patterns, "seed").drop("seed")
+    found = met.join(chunks, ["seq_id", "chunk"])
     found = found.where((F.length("pattern") <= F.col("n")) & (F.substring(F.col("bases"), F.col("offset") + 1, F.length("pattern")) == F.col("pattern")))
     return found.select("seq_id", "n", "circular", (F.col("first") + F.col("offset")).alias("pos"), "pattern_id", "strand", "pattern")
 
@@ -64,20 +75,23 @@ def motif_hits(seqs: DataFrame, patterns: DataFrame, min_len: int = 3, seeds: tu
     ``seqs(seq_id, seq, topology)``; ``patterns(pattern_id, pattern)``, or with a ``strand`` if
     ``strands`` is false. Occurrences wrap only in circular sequences; a pattern longer than the
     sequence never matches; palindromes are reported on both strands. A pattern is looked up by the
-    longest of ``seeds`` that it holds; each seed length that occurs takes one scan.
+    longest of ``seeds`` that it holds; a bounded number of patterns takes one scan, more take one for each
+    seed length that occurs.
     """
     usable = (both_strands(patterns) if strands else patterns).where(F.length("pattern") >= max(min_len, min(seeds)))
     size = F.length("pattern")
-    seed = F.greatest(*[F.when(size >= k, k).otherwise(0) for k in (0, *seeds)])
-    groups = usable.groupBy(seed.alias("k")).agg(F.count("*").alias("n"), F.max(size).alias("longest"), F.sum(size).alias("bases")).collect()
-    small = sum(g["n"] for g in groups) <= BROADCAST_PATTERNS and sum(g["bases"] for g in groups) <= BROADCAST_BASES
-    out = None
-    for g in sorted(groups, key=lambda g: g["k"]):
-        hits = _seed_hits(seqs, usable.where(seed == g["k"]), g["k"], g["longest"], small)
-        end = F.when(F.col("circular"), wrap(F.col("pos") + F.length("pattern") - 1, F.col("n"))).otherwise(F.col("pos") + F.length("pattern") - 1)
-        hits = hits.select("seq_id", "pattern_id", "strand", F.col("pos").alias("start"), end.cast("int").alias("end"))
-        out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else seqs.sparkSession.createDataFrame([], f"seq_id {seqs.schema['seq_id'].dataType.simpleString()}, pattern_id long, strand string, start int, end int")
+    k = F.greatest(*[F.when(size >= n, n).otherwise(0) for n in (0, *seeds)])
+    seeded = usable.select("pattern_id", "strand", "pattern", F.substring(F.col("pattern"), F.lit(1), k).alias("seed"))
+    groups = seeded.groupBy(F.length("seed").alias("k")).agg(F.count("*").alias("n"), F.max(size).alias("longest"), F.sum(size).alias("bases")).collect()
+    if not groups:
+        return seqs.sparkSession.createDataFrame([], f"seq_id {seqs.schema['seq_id'].dataType.simpleString()}, pattern_id {patterns.schema['pattern_id'].dataType.simpleString()}, strand string, start int, end int")
+    if sum(g["n"] for g in groups) <= BROADCAST_PATTERNS and sum(g["bases"] for g in groups) <= BROADCAST_BASES:
+        hits = _scanned_hits(seqs, seeded, max(g["longest"] for g in groups))
+    else:
+        parts = [_joined_hits(seqs, seeded.where(F.length("seed") == g["k"]), g["k"], g["longest"]) for g in sorted(groups, key=lambda g: g["k"])]
+        hits = reduce(DataFrame.unionByName, parts)
+    end = F.when(F.col("circular"), wrap(F.col("pos") + F.length("pattern") - 1, F.col("n"))).otherwise(F.col("pos") + F.length("pattern") - 1)
+    return hits.select("seq_id", "pattern_id", "strand", F.col("pos").alias("start"), end.cast("int").alias("end"))
 
 
 def primer_sites(seqs: DataFrame, primers: DataFrame) -> DataFrame:
