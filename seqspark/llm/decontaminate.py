@@ -5,7 +5,13 @@ are neither letters nor digits as one space. A passage of m characters within k
 region keeps at least (m - q + 1) - k q of its q-grams, and those lie on at most k + 1 neighbouring
 diagonals (position in the document less position in the passage). So shared q-grams are counted in
 overlapping diagonal bands; bands that meet the bound are regions, and an alignment that fills only the
-2k + 1 diagonals around their q-grams decides them. Passages too short for the bound have shorter q-grams.
+2k + 1 diagonals around their q-grams decides them. Passages too short for the bound have shorter q-grams;
+those shorter than a q-gram are searched exactly, and of their occurrences that overlap the first counts.
+
+A passage that repeats a q-gram many times would make a hit for each pair of places. Of such a passage only the
+document's places count: an occurrence has as many places whose q-gram the passage holds, within its length.
+Regions whose diagonals overlap are one region, which is aligned once, so text that repeats itself makes one
+region and not one for each diagonal.
 """
 
 from __future__ import annotations
@@ -91,11 +97,21 @@ def rolling_hashes(data: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+#: Times that a passage may hold one q-gram before it counts as repetitive.
+REPEATS = 4
+
+
 class GramTable:
-    """The q-grams of one length of some passages, sorted by hash."""
+    """The q-grams of one length of some passages, sorted by hash; those of repetitive passages once."""
 
     def __init__(self, q: int, passages: list[tuple[int, np.ndarray]]):
         grams = [rolling_hashes(codes, q) for _, codes in passages]
+        self.repetitive = []
+        for i, (k, _) in enumerate(passages):
+            own, times = np.unique(grams[i], return_counts=True)
+            if times.max() > REPEATS:
+                self.repetitive.append(k)
+                grams[i] = own
         hashes = np.concatenate(grams)
         order = np.argsort(hashes, kind="stable")
         self.q, self.hashes = q, hashes[order]
@@ -140,11 +156,28 @@ class PassageIndex:
             self.edits.append(k)
             need.append(m - q + 1 - k * q)
         self.need, self.width = np.array(need, np.int64), np.array(self.edits, np.int64) + 1
-        self.tables = [GramTable(q, own) for q, own in sorted(by_length.items())]
+        self.tables, self.short = [], []
+        for q, own in sorted(by_length.items()):
+            whole = [x for x in own if len(x[1]) == q]
+            longer = [x for x in own if len(x[1]) > q]
+            self.short += [GramTable(q, whole)] if whole else []
+            self.tables += [GramTable(q, longer)] if longer else []
+        self.repetitive = np.zeros(len(self.ids), bool)
+        for table in self.tables:
+            self.repetitive[table.repetitive] = True
+        self.lengths = np.array([len(c) for c in self.codes], np.int64)
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(position, passage, place in the passage)`` of every shared q-gram."""
-        found = [h for t in self.tables for h in t.hits(data)]
+        return self._all(self.tables, data)
+
+    def short_hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for passages that are one q-gram."""
+        return self._all(self.short, data)
+
+    @staticmethod
+    def _all(tables: list[GramTable], data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [h for t in tables for h in t.hits(data)]
         return tuple(np.concatenate([h[i] for h in found]) if found else np.zeros(0, np.int64) for i in range(3))
 
 
@@ -185,6 +218,11 @@ def _regions(index: PassageIndex, data: np.ndarray, places: np.ndarray, ends: np
     """``(document, passage, lowest, highest diagonal, shared)`` around the bands that meet the bound."""
     position, passage, place = index.hits(data)
     found: dict[tuple[int, int, int, int], int] = {}
+    odd = index.repetitive[passage]
+    for p in np.unique(passage[odd]).tolist():
+        own = np.sort(position[odd & (passage == p)])
+        _repetitive_regions(index, p, own, np.searchsorted(ends, places[own], side="right"), found)
+    position, passage, place = position[~odd], passage[~odd], place[~odd]
     if len(position):
         total = np.bincount(passage, minlength=len(index.ids))
         keep = total[passage] >= index.need[passage]
@@ -214,7 +252,54 @@ def _regions(index: PassageIndex, data: np.ndarray, places: np.ndarray, ends: np
                         region = (int(doc), p, int(chain[0]) - k, int(chain[-1]) + k)
                         found[region] = max(found.get(region, 0), int(within.max()))
                         begins = begins[len(chain) :]
-    return {(*k, v) for k, v in found.items()}
+    return _merged(found)
+
+
+def _repetitive_regions(index: PassageIndex, p: int, position: np.ndarray, docs: np.ndarray, found: dict[tuple[int, int, int, int], int]) -> None:
+    """Regions of a repetitive passage, from the places in the documents whose q-gram it holds."""
+    k, need = index.edits[p], int(index.need[p])
+    span = int(index.lengths[p]) + k
+    for doc in np.unique(docs).tolist():
+        mine = position[docs == doc]
+        within = np.searchsorted(mine, mine + span, side="left") - np.arange(len(mine))
+        begins, shared = mine[within >= need], within[within >= need]
+        cut = np.flatnonzero(np.diff(begins) > span) + 1
+        for a, n in zip(np.split(begins, cut), np.split(shared, cut)):
+            if len(a):
+                found[doc, p, int(a[0]) - span, int(a[-1]) + k] = int(n.max())
+
+
+def _merged(found: dict[tuple[int, int, int, int], int]) -> set[tuple[int, int, int, int, int]]:
+    """Regions of one document and passage whose diagonals overlap, as one."""
+    out: list[list[int]] = []
+    for (doc, p, low, high), shared in sorted(found.items()):
+        if out and out[-1][:2] == [doc, p] and low <= out[-1][3]:
+            out[-1][3:] = max(high, out[-1][3]), max(shared, out[-1][4])
+        else:
+            out.append([doc, p, low, high, shared])
+    return set(map(tuple, out))
+
+
+def _short_rows(index: PassageIndex, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(document, passage, position)`` of the passages that are one q-gram, found exactly."""
+    position, passage, _ = index.short_hits(data)
+    for p in np.unique(passage).tolist():
+        own, pattern = np.sort(position[passage == p]), index.codes[p]
+        m = len(pattern)
+        own = own[(data[own[:, None] + np.arange(m)] == pattern).all(axis=1)]
+        if len(own) > 1 and np.diff(own).min() < m:
+            kept, i = [], 0
+            while i < len(own):
+                kept.append(int(own[i]))
+                i = int(np.searchsorted(own, own[i] + m))
+            own = np.array(kept)
+        yield from zip(np.searchsorted(ends, own, side="right").tolist(), [p] * len(own), own.tolist())
+
+
+def _first_whole(data: np.ndarray, pattern: np.ndarray, low: int, high: int) -> int | None:
+    """The first place from ``low`` to ``high`` where the pattern stands unchanged."""
+    starts = np.flatnonzero(data[low : high + 1] == pattern[0]) + low if high >= low else ()
+    return next((int(d) for d in starts if np.array_equal(data[d : d + len(pattern)], pattern)), None)
 
 
 def _search(index: PassageIndex, ids: list, texts: list[str]) -> list[tuple]:
@@ -226,12 +311,15 @@ def _search(index: PassageIndex, ids: list, texts: list[str]) -> list[tuple]:
     ends = np.cumsum([len(t) + 1 for t in texts])
     begins = ends - np.array([len(t) + 1 for t in texts])
     rows: dict[tuple, tuple] = {}
+    for doc, p, at in _short_rows(index, data, np.searchsorted(places, ends - 1) + 1):
+        start, end = int(places[at] - begins[doc]), int(places[at + len(index.codes[p]) - 1] - begins[doc]) + 1
+        rows[doc, p, start, end] = (ids[doc], index.ids[p], start, end, 0, 1)
     for doc, p, low, high, shared in _regions(index, data, places, ends):
         pattern = index.codes[p]
         first, last = (int(x) for x in np.searchsorted(places, (begins[doc], ends[doc] - 1)))
         lo, hi = max(low, first), min(high + len(pattern), last)
         k, m = index.edits[p], len(pattern)
-        whole = next((d for d in range(max(low + k, lo), high - k + 1) if d + m <= hi and np.array_equal(data[d : d + m], pattern)), None)
+        whole = _first_whole(data, pattern, max(low + k, lo), min(high - k, hi - m))
         best = (0, whole - lo, whole - lo + m) if whole is not None else banded_distance(pattern, data[lo:hi], low - lo, high - lo, k)
         if best is None:
             continue

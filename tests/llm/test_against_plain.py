@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -169,6 +170,39 @@ def test_leaks_equal_plain_search_with_edits(spark):
         assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_repetitive_texts_and_passages():
+    rng = random.Random(12)
+    params = decontaminate.LeakParams(edit_rate=0.05)
+    items = ["a" * 60, "ab" * 40, "abc" * 20 + "x" + "abc" * 20, "q" * 5, "on", "a" * 40 + " " + "b" * 40]
+    index = decontaminate.PassageIndex(list(enumerate(items)), params)
+    assert index.repetitive.sum() == 4
+    found = 0
+    for _ in range(25):
+        texts = []
+        for _ in range(4):
+            own = list(rng.choice(items))
+            for at in rng.sample(range(len(own)), rng.randint(0, min(4, len(own)))):
+                own[at] = rng.choice(("", "z", own[at] * 2))
+            texts.append("".join(rng.choice("uvw! ") for _ in range(rng.randint(0, 40))) + "".join(own) + rng.choice(("", "aaaa", " yy? ")))
+        rows = decontaminate._search(index, list(range(4)), texts)
+        got: dict = {}
+        for doc, item, start, end, edits, _ in rows:
+            got[doc, item] = min(got.get((doc, item), 99), edits)
+        form = lambda t: "".join(map(chr, decontaminate.normal_form(decontaminate.code_points(t))[0]))
+        want = {(d, i): n for d, t in enumerate(texts) for i, x in enumerate(items) if (n := semi_global(x, form(t))) <= index.edits[i]}
+        assert got == want
+        found += len(want)
+    assert found > 40
+
+
+def test_a_megabyte_of_one_letter():
+    began = time.time()
+    index = decontaminate.PassageIndex(list(enumerate(["a" * 100, "a" * 50 + "b" + "a" * 60, "a"])), decontaminate.LeakParams())
+    rows = decontaminate._search(index, [0, 1], ["a" * 1_000_000, "b" + "a" * 70_000])
+    assert {(r[0], r[1], r[4]) for r in rows} == {(0, 0, 0), (0, 1, 1), (0, 2, 0), (1, 0, 0), (1, 1, 1), (1, 2, 0)}
+    assert time.time() - began < 30
+
+
 def test_language_is_right_on_held_out(spark):
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = queries.QUERIES["op4_language"](spark, "/root/testdata/sf0.01").collect()
