@@ -4,7 +4,10 @@ A text is cut in units; each unit is normalised and digested; digests are groupe
 the earliest occurrence of each, by document id and place, is kept, and the other occurrences are
 removed. Offsets of all that is removed refer to the original text.
 
-Paragraphs (lines up to a blank one) and lines are removed whatever their length. A passage that
+Paragraphs (lines up to a blank one, two at least) are resolved first: the earliest of each stays. What lies in
+a removed one is no occurrence of lines and sentences any more, since a paragraph with other line breaks may
+hold no such line; so nothing is kept in what another unit loses. Paragraphs and lines are
+removed whatever their length. A passage that
 documents share may start inside a line, so lines are also cut in sentences; as short sentences repeat by
 chance, they are removed only in runs of consecutive repeated ones that are long enough.
 """
@@ -32,7 +35,6 @@ ENDS = re.compile(r"[。！？｡]++|(?<![.!?])[.!?]++(?=\s|$)")
 MIN_CHARS = 40
 #: Units that a task holds before it passes them on.
 HELD = 100_000
-LAST = (1 << 63) - 1
 
 
 def _digest(text: str) -> bytes:
@@ -136,7 +138,7 @@ def removals(units: list[tuple[int, int, int, int, int, int]], min_chars: int) -
     if span is not None and chars >= min_chars:
         spans.append(span)
     out: list[tuple[int, int, int, int]] = []
-    for start, end, doc, kept in sorted(spans, key=lambda s: (s[0], -s[1], s[2], s[3])):
+    for start, end, doc, kept in sorted(spans, key=lambda s: (s[0], -s[1], s[2] is None, s[2] or 0, s[3])):
         if out and start < out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]), *out[-1][2:])
         else:
@@ -147,21 +149,30 @@ def removals(units: list[tuple[int, int, int, int, int, int]], min_chars: int) -
 def _removed(units: DataFrame, min_chars: int) -> DataFrame:
     """``(row, doc_id, n_removed, removed_chars, removed)`` from all units, which must be a written table.
 
-    Digest groups are reduced to their earliest member before they are shuffled, and the join back to the
+    What of a row lies in its removed paragraphs is taken out by a join on the row. Digest groups are reduced to
+    their earliest member before they are shuffled, and the join back to the
     units is an equi-join of tables, whose hot digests adaptive execution can split. What is gathered
     after it is one document's own.
     """
-    doc = F.coalesce("doc_id", F.lit(LAST))
-    first = units.groupBy("h1", "h2").agg(F.min(F.struct(doc.alias("doc"), "row", "start")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    kept = materialize(first.select("h1", "h2", F.col("kept.doc").alias("kept_doc_id"), F.col("kept.row").alias("kept_row"), F.col("kept.start").alias("kept_start")), "kept")
-    repeated = units.join(kept, ["h1", "h2"]).where((F.col("row") != F.col("kept_row")) | (F.col("start") != F.col("kept_start")))
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")).alias("kept")
+
+    def repeated(of: DataFrame) -> DataFrame:
+        first = of.groupBy("h1", "h2").agg(rank, F.count("*").alias("n")).where("n > 1")
+        kept = materialize(first.select("h1", "h2", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.row").alias("kept_row"), F.col("kept.start").alias("kept_start")), "kept")
+        return of.join(kept, ["h1", "h2"]).where((F.col("row") != F.col("kept_row")) | (F.col("start") != F.col("kept_start")))
+
+    paragraphs = materialize(repeated(units.where(F.col("level") == PARAGRAPH)), "paragraphs")
+    gone = paragraphs.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    inside = F.exists("gone", lambda g: (g["start"] <= F.col("start")) & (F.col("end") <= g["end"]))
+    smaller = units.where(F.col("level") != PARAGRAPH).join(gone, "row", "left").where(F.col("gone").isNull() | ~inside).drop("gone")
+    repeated = repeated(materialize(smaller, "smaller")).unionByName(paragraphs)
     own = repeated.groupBy("row", "doc_id").agg(F.collect_list(F.struct("level", "no", "start", "end", "kept_doc_id", "kept_start")).alias("units"))
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept_doc_id", pa.int64()), ("kept_start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [removals([tuple(u.values()) for u in units.as_py()], min_chars) for units in batch.column(2)]
-            spans = pa.array([[{"start": a, "end": b, "kept_doc_id": None if d == LAST else d, "kept_start": k} for a, b, d, k in x] for x in found], spans_type)
+            spans = pa.array([[{"start": a, "end": b, "kept_doc_id": d, "kept_start": k} for a, b, d, k in x] for x in found], spans_type)
             counts = pa.array([len(x) for x in found], pa.int64()), pa.array([sum(b - a for a, b, *_ in x) for x in found], pa.int64())
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, spans], names=["row", "doc_id", "n_removed", "removed_chars", "removed"])
             yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))

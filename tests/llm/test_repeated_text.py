@@ -157,3 +157,19 @@ def test_units_cover_all_words(spark):
         units = unit_dedup.units_of(r["text"])
         lines = [u for u in units if u[0] == LINE]
         assert " ".join(r["text"][a:b] for _, _, a, b, _ in lines).split() == r["text"].split() and all(u[2] < u[3] for u in units)
+
+
+def test_kept_occurrences_stay(spark):
+    rows = [(1, "aa bb\ncc dd"), (2, "aa\nbb cc dd"), (3, "bb cc dd"), ((1 << 63) - 1, "only here\n\nbb cc dd"), (None, "bb cc dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["removed"]] for r in unit_dedup.repeated_text(docs).collect()}
+    assert got == {2: [(0, 11, 1, 0)], (1 << 63) - 1: [(11, 19, 3, 0)], None: [(0, 8, 3, 0)]}
+
+
+def test_every_line_stays_once(spark):
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice("abcdef") * 3 for _ in range(rng.randint(1, 3))) for _ in range(14)]
+    rows = [(i, "\n".join(rng.choice([*lines, ""]) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {line for r in unit_dedup.without_repeats(docs).collect() for line in r["text"].split("\n")}
+    assert {line for _, t in rows for line in t.split("\n")} <= kept | {""}
