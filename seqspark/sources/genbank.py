@@ -15,6 +15,8 @@ FEATURE_TYPES = {
 
 
 FILES = "*.{gb,gbk,gbff}"
+#: Feature ids are places of features times this, and places of their ranges; no record has room for so many.
+JOIN_RANGES = 1 << 31
 
 
 def read_genbank(spark: SparkSession, path: str, files: str = FILES) -> dict[str, DataFrame]:
@@ -87,7 +89,7 @@ def _features(items: DataFrame) -> DataFrame:
     ends = F.transform(F.split(F.regexp_replace("range", "[<>]", ""), r"\.\."), lambda x: F.try_to_number(x, F.lit("999999999999")).cast("int"))
     bounds = F.when(F.col("range") != "", ends)
     return rows.select(
-        "seq_id", (F.col("item") * 1000 + F.col("part")).cast("long").alias("feature_id"), F.get(bounds, F.lit(0)).alias("start"),
+        "seq_id", (F.col("item").cast("long") * JOIN_RANGES + F.col("part")).alias("feature_id"), F.get(bounds, F.lit(0)).alias("start"),
         F.coalesce(F.get(bounds, F.lit(1)), F.get(bounds, F.lit(0))).alias("end"), "feature_type", "direction", "label", "notes", (F.col("range") == "").alias("parse_error"),
     )
 

@@ -110,3 +110,11 @@ def test_genbank_with_either_line_end(spark, tmp_path):
         tables = read_genbank(spark, str(tmp_path / name))
         assert sorted((r["name"], r["seq"], r["topology"]) for r in tables["sequences"].collect()) == [("p1", "acgtacgt", "circular"), ("p2", "acgtacga", "circular")]
         assert sorted((r["label"], r["start"], r["end"]) for r in tables["features"].collect()) == [("p1", 1, 6), ("p2", 1, 6)]
+
+
+def test_genbank_join_of_many_ranges(spark, tmp_path):
+    ranges = ",".join(f"{i}..{i}" for i in range(1, 1503))
+    lines = [f"     CDS             join({ranges})", '                     /label="long"', "     gene            7..9", '                     /label="next"']
+    (tmp_path / "x.gb").write_text("LOCUS       X 1600 bp DNA linear\nFEATURES             Location/Qualifiers\n" + "\n".join(lines) + "\nORIGIN\n        1 acgt\n//\n")
+    rows = read_genbank(spark, str(tmp_path))["features"].collect()
+    assert len(rows) == 1503 and len({r["feature_id"] for r in rows}) == 1503
