@@ -83,7 +83,8 @@ def _features(items: DataFrame) -> DataFrame:
         .when(F.col("feature_type").isin("CodingRegion", "Primer"), "Forward").otherwise("None")
     )
     ranges = F.regexp_extract_all("location", F.lit(r"(<?\d+(?:\.\.>?\d+)?)"), F.lit(1))
-    readable = F.col("location").rlike(r"^(?:complement\(|join\(|order\(|[<>]?\d+|\.\.|,|\))+$")
+    # taken out piece by piece: a pattern of repeated choices would nest as deep as a join is long
+    readable = F.regexp_replace("location", r"complement\(|join\(|order\(|[<>]?\d+|\.\.|,|\)", "") == ""
     rows = rows.select("seq_id", "item", "feature_type", direction.alias("direction"), F.coalesce(note("label", "gene", "product", "note"), F.lit("")).alias("label"), "notes", F.when(readable & (F.size(ranges) > 0), ranges).otherwise(F.array(F.lit(""))).alias("ranges"))
     rows = rows.select("*", F.posexplode("ranges").alias("part", "range"))
     ends = F.transform(F.split(F.regexp_replace("range", "[<>]", ""), r"\.\."), lambda x: F.try_to_number(x, F.lit("999999999999")).cast("int"))
