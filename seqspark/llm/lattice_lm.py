@@ -145,6 +145,9 @@ class Lattice:
         """The natural log of each word's marginal probability."""
         out = np.zeros(len(words))
         for rows, codes in self._groups(words):
+            if codes.shape[1] > TOGETHER:
+                out[rows] = self._long_paths(codes[0], self._long_arcs(codes[0]))[-1]
+                continue
             out[rows] = self._forward(codes, self._arcs(codes))[:, -1]
         return out
 
@@ -159,11 +162,60 @@ class Lattice:
                 text = "".join(SPACE + words[k] for k in own)
                 yield own, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64).reshape(len(own), length)
 
+    def _long_arcs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(begin, end, piece)`` of every piece in one long word, by where they end: one look-up for each length."""
+        prefix, h, root, mask = [0], 0, int(ROOT), (1 << 64) - 1
+        for c in codes.tolist():
+            h = (h * root + c) & mask
+            prefix.append(h)
+        hashes = np.array(prefix, np.uint64)
+        begins, ends, pieces = [], [], []
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            with np.errstate(over="ignore"):
+                found = self._lookup(self._mix(hashes[size:] - hashes[:-size] * np.uint64(pow(root, size, 1 << 64)), size))
+            at = np.flatnonzero(found >= 0)
+            begins.append(at)
+            ends.append(at + size)
+            pieces.append(found[at])
+        begin, end, piece = map(np.concatenate, (begins, ends, pieces))
+        order = np.argsort(end, kind="stable")
+        return begin[order], end[order], piece[order]
+
+    def _long_paths(self, codes: np.ndarray, arcs: tuple[np.ndarray, np.ndarray, np.ndarray], from_end: bool = False) -> list[float]:
+        """The forward sums of one long word or, from its end, the backward sums."""
+        begin, end, piece = arcs
+        n, weights = len(codes), self.weights[piece]
+        single = self._bytes(codes) * self.byte
+        if from_end:  # the same walk over the mirrored word
+            order = np.argsort(-begin, kind="stable")
+            begin, end, weights, single = n - end[order], n - begin[order], weights[order], single[::-1]
+        first = np.searchsorted(end, np.arange(n + 2)).tolist()
+        begin, weights, single = begin.tolist(), weights.tolist(), single.tolist()
+        sums = [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            terms = [sums[j - 1] + single[j - 1]]
+            terms += [sums[begin[k]] + weights[k] for k in range(first[j], first[j + 1])]
+            top = max(terms)
+            sums[j] = top + math.log(sum(map(math.exp, [t - top for t in terms])))
+        return sums[::-1] if from_end else sums
+
+    def _long_expected(self, codes: np.ndarray, count: float, out: np.ndarray) -> None:
+        """Adds the expected uses in one long word that occurs ``count`` times."""
+        begin, end, piece = arcs = self._long_arcs(codes)
+        alpha, beta = (np.array(self._long_paths(codes, arcs, way)) for way in (False, True))
+        weight = math.log(count) - alpha[-1] if count > 0 else -np.inf
+        np.add.at(out, piece, np.exp(alpha[begin] + self.weights[piece] + beta[end] + weight))
+        size = self._bytes(codes)
+        out[-3] += float((np.exp(alpha[:-1] + size * self.byte + beta[1:] + weight) * size).sum())
+
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, and of fallback bytes, over all segmentations of counted words."""
         out = np.zeros(len(self.weights) + 1)
         with_none = np.concatenate((self.weights, [-np.inf]))
         for rows, codes in self._groups(words):
+            if codes.shape[1] > TOGETHER:
+                self._long_expected(codes[0], float(counts[rows[0]]), out)
+                continue
             arcs = self._arcs(codes)
             n, length = codes.shape
             alpha = self._forward(codes, arcs)

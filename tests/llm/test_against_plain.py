@@ -170,6 +170,25 @@ def test_leaks_equal_plain_search_with_edits(spark):
         assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_long_words_equal_short_ones(monkeypatch):
+    rng = random.Random(3)
+    pieces = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(400)})
+    lattice = lattice_lm.Lattice(pieces)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(20, 40))) for _ in range(30)]
+    counts = np.array([rng.randint(1, 5) for _ in words], float)
+    scores, uses = lattice.log_probs(words), lattice.expected(words, counts)
+    monkeypatch.setattr(lattice_lm, "TOGETHER", 5)
+    assert np.allclose(lattice.log_probs(words), scores) and np.allclose(lattice.expected(words, counts), uses)
+
+
+def test_a_word_of_a_megabyte():
+    began = time.time()
+    lattice = lattice_lm.Lattice(["a", "aa", "aaa", "ab", "▁a"])
+    for word in ("a" * 1_000_000, "ab日" * 333_333):
+        assert np.isfinite(lattice.log_probs([word])).all()
+    assert time.time() - began < 30
+
+
 def test_repetitive_texts_and_passages():
     rng = random.Random(12)
     params = decontaminate.LeakParams(edit_rate=0.05)
