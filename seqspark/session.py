@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders chosen for applications whose configuration names none.
 _own: dict[str, str] = {}
-#: What is written in each open scope, innermost last.
-_scopes: list[list[str]] = []
+#: What is written in each open scope of this thread of work, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +42,7 @@ def materialize(df: DataFrame, name: str, by: str | None = None, instead_of: Dat
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for scope in _scopes:
+    for scope in _scopes.get():
         scope.append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
@@ -69,11 +70,11 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
 
     What an inner scope leaves belongs to the outer one as well."""
     made: list[str] = []
-    _scopes.append(made)
+    opened = _scopes.set((*_scopes.get(), made))
     try:
         yield made
     finally:
-        _scopes.pop()
+        _scopes.reset(opened)
         for path in made:
             delete_table(spark, path)
 
