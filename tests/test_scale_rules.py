@@ -2,7 +2,7 @@
 
 import random
 
-from seqspark.operators import frames
+from seqspark.operators import frames, primers
 
 
 def plain_orfs(seq, n_frames=3):
@@ -34,3 +34,22 @@ def test_frames_go_on_over_pieces_without_a_shuffle(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().toString()
     want = sorted((i, *row) for i, s in enumerate(seqs) for row in plain_orfs(s))
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_designs_are_tuned_in_the_row(spark):
+    """No candidate is joined or written: one shuffle for distinct designs, one for the best trims, one or two to join."""
+    rng = random.Random(6)
+    seqs = [(i, "".join(rng.choice("acgt") for _ in range(60)), "linear") for i in range(20)]
+    designed = primers.design_amplification(spark.createDataFrame(seqs, "seq_id long, seq string, topology string"))
+    tuned = primers.tuned_designs(designed, "seq_id")
+    plan = tuned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "parquet" not in plan and "Window" not in plan
+    rows = {(r["seq_id"], r["name"]): r for r in tuned.collect()}
+    for r in designed.collect():
+        cuts = [(t, r["seq"][: 32 - t]) for t in range(22)]
+        scored = primers.primer_qc(spark.createDataFrame([(t, s, "only3") for t, s in cuts], "primer_id long, seq string, tune_mode string")).collect() if r["seq_id"] == 3 else []
+        if scored:
+            best = max(scored, key=lambda q: (q["quality"], -q["primer_id"]))
+            own = rows[3, r["name"]]
+            assert own["seq"] == cuts[own["trim3"]][1] and abs(own["quality"] - best["quality"]) < 1e-4
+    assert len(rows) == 40
