@@ -2,7 +2,7 @@
 
 import random
 
-from seqspark.operators import frames, primers
+from seqspark.operators import enzymes, frames, primers
 
 
 def plain_orfs(seq, n_frames=3):
@@ -53,3 +53,13 @@ def test_designs_are_tuned_in_the_row(spark):
             own = rows[3, r["name"]]
             assert own["seq"] == cuts[own["trim3"]][1] and abs(own["quality"] - best["quality"]) < 1e-4
     assert len(rows) == 40
+
+
+def test_query_candidates_form_no_pair_without_an_enzyme(spark):
+    rows = [(1, 1, 10, 1), (1, 2, 20, 1), (3, 1, 30, 1), (3, 2, 40, 2), (5, 3, 50, 1)]
+    sites = lambda rows: spark.createDataFrame([(s, e, f"e{e}", p, p, k) for s, e, p, k in rows], "seq_id long, enzyme_id int, enzyme string, site_start int, cut_pos int, match_count long")
+    own, theirs = sites(rows), sites([(100, 1, 7, 1), (200, 1, 8, 1), (200, 2, 9, 1), (300, 3, 9, 2)])
+    pairs = spark.createDataFrame([(a, b) for a in (1, 3, 5) for b in (100, 200, 300)], "insert_id long, vector_id long")
+    found = enzymes.query_candidates(own, theirs)
+    want = enzymes.re_candidates(own, theirs, pairs)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
