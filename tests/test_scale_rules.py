@@ -2,7 +2,7 @@
 
 import random
 
-from seqspark.operators import enzymes, frames, primers
+from seqspark.operators import edits, enzymes, frames, primers
 
 
 def plain_orfs(seq, n_frames=3):
@@ -63,3 +63,15 @@ def test_query_candidates_form_no_pair_without_an_enzyme(spark):
     found = enzymes.query_candidates(own, theirs)
     want = enzymes.re_candidates(own, theirs, pairs)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_edits_are_cut_from_the_row(spark):
+    """Parts come to the sequence; it is not cut into pieces that are shuffled and put together again."""
+    seqs = spark.createDataFrame([(1, "acgtacgt", "linear"), (2, "ggcc", "linear"), (3, None, "linear")], "seq_id long, seq string, topology string")
+    feats = spark.createDataFrame([], "seq_id long, feature_id long, start int, end int")
+    ins = spark.createDataFrame([(1, 1, "tt"), (1, 5, "g"), (1, 9, "c")], "seq_id long, pos int, ins string")
+    new = edits.apply_inserts(seqs, feats, ins)[0]
+    assert "Generate" not in new._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["seq_id"], r["seq"]) for r in new.collect()) == [(1, "ttacgtgacgtc"), (2, "ggcc"), (3, None)]
+    gone = spark.createDataFrame([(1, 1, 2), (1, 7, 8), (2, 1, 4)], "seq_id long, pos int, end int")
+    assert sorted((r["seq_id"], r["seq"]) for r in edits.apply_deletes(seqs, feats, gone)[0].collect()) == [(1, "gtac"), (2, ""), (3, None)]
