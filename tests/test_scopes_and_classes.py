@@ -83,3 +83,21 @@ def test_tracts_equal_plain_windows(spark):
                 if any(x > 4.5 for x in sums):
                     want.add((i, f"{name}{f}", sum(x > 4.5 for x in sums), max(sums)))
     assert {tuple(r) for r in frames.residue_tracts(table, "Q", 9, 0.5).collect()} == want and want
+
+
+def test_all_inserts_meet_all_vectors(spark):
+    """Sent to every task or in blocks, and without a list of pairs, as with the list of all pairs."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    backs = spark.createDataFrame([(i, text(80), "circular", 5, 15, 60, 70) for i in range(9)], "backbone_id long, seq string, topology string, promoter_start int, promoter_end int, terminator_start int, terminator_end int")
+    backs = backs.selectExpr("*", *[f"cast(null as int) {c}" for c in ("rbs_start", "rbs_end", "his_start", "his_end")])
+    ins = spark.createDataFrame([(100 * i, text(12)) for i in range(7)], "insert_id long, insert string")
+    pairs = ins.select("insert_id").crossJoin(backs.select("backbone_id"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(cloning.cloning_screen(ins, backs)) == rows(cloning.cloning_screen(ins, backs, pairs))
+    feats = cloning.features_from_backbones(backs).withColumn("direction", F.lit("None")).withColumn("label", F.lit("x"))
+    for got, want in zip(cloning.cloning_products(ins, backs, feats), cloning.cloning_products(ins, backs, feats, pairs)):
+        assert rows(got) == rows(want)
+    for most in (1, 100, 1 << 20):
+        assert rows(cloning.meet(ins, backs.select("backbone_id"), most=most).select("insert_id", "backbone_id")) == rows(pairs)
+    assert rows(cloning.meet(ins.where("false"), backs.select("backbone_id"))) == []
