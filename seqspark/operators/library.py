@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from seqspark.session import dealt
+
 from .edits import merge_features
 from .matching import annotate
 from .spans import span_bases
 
 
-def build_feature_library(features: DataFrame, seqs: DataFrame) -> DataFrame:
+def build_feature_library(features: DataFrame, seqs: DataFrame, parts: int | None = None) -> DataFrame:
     """``(seq, label, feature_type, sequences, occurrences)``: features with one sequence as one entry.
 
     The commonest label and type name it, the smallest among ties.
     """
-    cut = span_bases(seqs, features.select("seq_id", "label", "feature_type", "start", "end"), "seq")
-    return cut.groupBy("seq").agg(F.mode("label", True).alias("label"), F.mode("feature_type", True).alias("feature_type"), F.count_distinct("seq_id").alias("sequences"), F.count("*").alias("occurrences"))
+    cut = span_bases(seqs, features.select("seq_id", "label", "feature_type", "start", "end"), "seq", parts=parts)
+    return dealt(cut, parts, "seq").groupBy("seq").agg(F.mode("label", True).alias("label"), F.mode("feature_type", True).alias("feature_type"), F.count_distinct("seq_id").alias("sequences"), F.count("*").alias("occurrences"))
 
 
 def sequence_stats(seqs: DataFrame, features: DataFrame, types: tuple[str, ...]) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from seqspark.session import shared_dir
+from seqspark.session import dealt, shared_dir
 from seqspark.sources.fasta import read_fasta, write_fasta
 from seqspark.sources.genbank import read_genbank, write_genbank
 from seqspark.sources.tables import load_tables, read_sequences, save_tables
@@ -37,7 +37,7 @@ def fasta_round_trip(spark, sf):
 
 def _genbank(spark, sf):
     path = _place(spark, "genbank")
-    write_genbank(_named(spark, sf), d.features(spark, sf), path)
+    write_genbank(_named(spark, sf), d.features(spark, sf), path, parts=d.parts(spark, sf))
     return read_genbank(spark, path, PARTS)
 
 
@@ -54,7 +54,7 @@ def genbank_sequences(spark, sf):
 def genbank_features(spark, sf):
     tables = _genbank(spark, sf)
     names = tables["sequences"].select("seq_id", "name")
-    return tables["features"].join(names, "seq_id").select("name", "start", "end", "feature_type", "direction", "label")
+    return _with_name(spark, sf, tables["features"], names).select("name", "start", "end", "feature_type", "direction", "label")
 
 
 def _metadata(spark, sf):
@@ -73,11 +73,16 @@ def _metadata(spark, sf):
     return head, refs
 
 
+def _with_name(spark, sf, table, names):
+    parts = d.parts(spark, sf)
+    return dealt(table, parts, "seq_id").join(dealt(names, parts, "seq_id"), "seq_id")
+
+
 def _genbank_heads(spark, sf):
     path = _place(spark, "genbank")
     head, refs = _metadata(spark, sf)
     sites = primer_sites(spark, sf).select("seq_id", F.concat(F.lit("p"), F.col("primer_id").cast("string")).alias("name"), "strand", "start", "end")
-    write_genbank(_named(spark, sf), d.features(spark, sf), path, sites=sites, metadata=head, refs=refs)
+    write_genbank(_named(spark, sf), d.features(spark, sf), path, sites=sites, metadata=head, refs=refs, parts=d.parts(spark, sf))
     tables = read_genbank(spark, path, PARTS)
     return tables, tables["sequences"].select("seq_id", F.col("name").alias("molecule"))
 
@@ -85,19 +90,19 @@ def _genbank_heads(spark, sf):
 @query("a3_genbank_metadata", f"WITH {d.SEQUENCES} SELECT 'seq' || seq_id AS molecule, 'Molecule of ' || length(seq) || ' bases.' AS definition, 'AC' || seq_id AS accession, 'AC' || seq_id || '.1' AS version, CASE WHEN seq_id % 2 = 0 THEN topology END AS keywords, 'synthetic construct' AS source FROM sequences")
 def genbank_metadata(spark, sf):
     tables, names = _genbank_heads(spark, sf)
-    return tables["metadata"].join(names, "seq_id").select("molecule", "definition", "accession", "version", "keywords", "source")
+    return _with_name(spark, sf, tables["metadata"], names).select("molecule", "definition", "accession", "version", "keywords", "source")
 
 
 @query("a3_genbank_refs", f"WITH {d.SEQUENCES} SELECT 'seq' || seq_id AS molecule, k || '  (bases 1 to ' || length(seq) || ')' AS description, 'Doe,J. and Roe,R.' AS authors, 'On molecule ' || seq_id AS title, 'Unpublished' AS journal, CASE WHEN k = 2 THEN CAST(seq_id AS VARCHAR) END AS pubmed FROM sequences, (VALUES (1), (2)) t(k) WHERE seq_id % 3 = 0")
 def genbank_refs(spark, sf):
     tables, names = _genbank_heads(spark, sf)
-    return tables["refs"].join(names, "seq_id").select("molecule", "description", "authors", "title", "journal", "pubmed")
+    return _with_name(spark, sf, tables["refs"], names).select("molecule", "description", "authors", "title", "journal", "pubmed")
 
 
 @query("a3_genbank_primers", f"WITH {d.SEQUENCES}, {d.LIBRARY}, {d.PRIMERS}, {SITES} SELECT 'seq' || s.seq_id AS molecule, 'p' || s.primer_id AS name, p.seq FROM sites s JOIN primers p USING (primer_id)")
 def genbank_primers(spark, sf):
     tables, names = _genbank_heads(spark, sf)
-    return tables["primers"].join(names, "seq_id").select("molecule", "name", "seq")
+    return _with_name(spark, sf, tables["primers"], names).select("molecule", "name", "seq")
 
 
 @query("a5_read_sequences", f"WITH {d.SEQUENCES} SELECT 'seq' || seq_id AS name, seq, CAST(length(seq) AS INT) AS length, CASE WHEN seq_id % 3 = 0 THEN 'linear' ELSE topology END AS topology FROM sequences")
@@ -105,7 +110,7 @@ def mixed_directory(spark, sf):
     """Every third sequence as FASTA, the others as compressed GenBank records, in one directory."""
     path, rows = _place(spark, "mixed"), _named(spark, sf)
     write_fasta(rows.where("seq_id % 3 = 0").select("name", "seq"), f"{path}/fasta")
-    write_genbank(rows.where("seq_id % 3 != 0"), d.features(spark, sf), f"{path}/genbank", compression="gzip")
+    write_genbank(rows.where("seq_id % 3 != 0"), d.features(spark, sf), f"{path}/genbank", compression="gzip", parts=d.parts(spark, sf))
     return read_sequences(spark, path, "part-*.txt", "part-*.txt.gz").select("name", "seq", "length", "topology")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqspark.functions.exprs import clean_sequence, reverse_complement, span_sequence, windows
+from seqspark.session import dealt
 
 #: Feature keys of the format and the types they stand for; all others are Generic.
 FEATURE_TYPES = {
@@ -100,7 +101,7 @@ HEAD = ("definition", "accession", "version", "keywords", "source")
 
 
 def write_genbank(
-    sequences: DataFrame, features: DataFrame, path: str, sites: DataFrame | None = None, metadata: DataFrame | None = None, refs: DataFrame | None = None, mode: str = "errorifexists", compression: str = "none"
+    sequences: DataFrame, features: DataFrame, path: str, sites: DataFrame | None = None, metadata: DataFrame | None = None, refs: DataFrame | None = None, mode: str = "errorifexists", compression: str = "none", parts: int | None = None
 ) -> None:
     """One record for each sequence. ``sites(seq_id, name, strand, start, end)`` of primers are written as
     ``primer_bind`` features; ``metadata(seq_id, definition, accession, version, keywords, source)`` and
@@ -112,22 +113,23 @@ def write_genbank(
         rows = rows.unionByName(sites.select("seq_id", "start", "end", F.lit("primer_bind").alias("key"), (F.col("strand") == "rev").alias("rev"), F.col("name").alias("label")))
     span = F.concat(F.col("start").cast("string"), F.lit(".."), F.col("end").cast("string"))
     line = F.concat(F.lit("     "), F.rpad("key", 16, " "), F.when(F.col("rev"), F.concat(F.lit("complement("), span, F.lit(")"))).otherwise(span), F.lit('\n                     /label="'), F.regexp_replace("label", '"', "'"), F.lit('"'))
-    listed = rows.groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", line.alias("line")))).alias("f"))
-    joined = sequences.join(listed, "seq_id", "left")
+    listed = dealt(rows, parts, "seq_id").groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", line.alias("line")))).alias("f"))
+    joined = dealt(sequences, parts, "seq_id").join(listed, "seq_id", "left")
     field = lambda name, title: F.when(F.col(name).isNotNull(), F.concat(F.lit("\n" + title.ljust(12)), F.col(name).cast("string")))
     head = F.lit("")
     if metadata is not None:
-        joined = joined.join(metadata.select("seq_id", F.concat_ws("", *[field(n, n.upper()) for n in HEAD]).alias("head")), "seq_id", "left")
+        heads = metadata.select("seq_id", F.concat_ws("", *[field(n, n.upper()) for n in HEAD]).alias("head"))
+        joined = joined.join(dealt(heads, parts, "seq_id"), "seq_id", "left")
         head = F.coalesce("head", F.lit(""))
     if refs is not None:
-        parts = ("description", "REFERENCE"), ("authors", "  AUTHORS"), ("title", "  TITLE"), ("journal", "  JOURNAL"), ("pubmed", "   PUBMED")
-        cited = refs.select("seq_id", "description", F.concat_ws("", *[field(n, t) for n, t in parts]).alias("ref"))
-        cited = cited.groupBy("seq_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("description", "ref"))), lambda x: x["ref"]), "").alias("cited"))
+        lines = ("description", "REFERENCE"), ("authors", "  AUTHORS"), ("title", "  TITLE"), ("journal", "  JOURNAL"), ("pubmed", "   PUBMED")
+        cited = refs.select("seq_id", "description", F.concat_ws("", *[field(n, t) for n, t in lines]).alias("ref"))
+        cited = dealt(cited, parts, "seq_id").groupBy("seq_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("description", "ref"))), lambda x: x["ref"]), "").alias("cited"))
         joined = joined.join(cited, "seq_id", "left")
         head = F.concat(head, F.coalesce("cited", F.lit("")))
     body = F.array_join(F.transform(F.coalesce("f", F.array().cast("array<struct<start:int,end:int,line:string>>")), lambda x: x["line"]), "\n")
-    lines = F.transform(windows(F.col("seq"), 60, 0), lambda x, i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), F.trim(F.regexp_replace(x, "(.{10})", "$1 "))))
-    numbered = F.when(F.col("seq") == "", F.lit("        1")).otherwise(F.array_join(lines, "\n"))
+    bases = F.transform(windows(F.col("seq"), 60, 0), lambda x, i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), F.trim(F.regexp_replace(x, "(.{10})", "$1 "))))
+    numbered = F.when(F.col("seq") == "", F.lit("        1")).otherwise(F.array_join(bases, "\n"))
     record = F.concat(
         F.lit("LOCUS       "), F.col("name"), F.lit(" "), F.length("seq").cast("string"), F.lit(" bp    DNA     "), F.col("topology"), head, F.lit("\nFEATURES             Location/Qualifiers\n"),
         body, F.lit("\nORIGIN\n"), numbered, F.lit("\n//"),
