@@ -26,6 +26,8 @@ from .sampling import label_counts, sample_by_label, with_labels
 
 #: Tokens that a worker remembers, and characters of one of them.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 100
+#: Character n-grams that a worker remembers; they repeat far more than tokens do.
+REMEMBERED_GRAMS = 400_000
 #: The feature of a token that follows itself; no token holds a blank.
 AGAIN = "= ="
 
@@ -136,17 +138,34 @@ def train(labelled: DataFrame, params: QualityParams = QualityParams()) -> Embed
     return model
 
 
+class GramNumbers(dict):
+    """The number of each character n-gram; a bounded number is remembered."""
+
+    def __init__(self, numbers: list[float]):
+        super().__init__()
+        self.numbers, self.mask = numbers, len(numbers) - 1
+
+    def __missing__(self, gram: str) -> float:
+        if len(self) >= REMEMBERED_GRAMS:
+            self.clear()
+        found = self[gram] = self.numbers[xxhash.xxh3_64_intdigest(gram) & self.mask]
+        return found
+
+
 class TokenNumbers(dict):
     """The number of each token and of how many features it is the sum; a bounded number is remembered."""
 
     def __init__(self, numbers: np.ndarray, params: QualityParams):
         super().__init__()
         self.numbers, self.params, self.mask = numbers.tolist(), params, len(numbers) - 1
+        self.grams = GramNumbers(self.numbers)
         self.again = self.numbers[xxhash.xxh3_64_intdigest(AGAIN) & self.mask]
 
     def __missing__(self, token: str) -> tuple[float, int]:
-        rows = token_features(token, self.params.grams, self.mask)
-        found = sum(map(self.numbers.__getitem__, rows)), len(rows)
+        s, n = f"<{token}>", len(token) + 2
+        grams = [s[i : i + k] for k in self.params.grams for i in range(n - k + 1)]
+        own = self.numbers[xxhash.xxh3_64_intdigest("=" + token) & self.mask]
+        found = sum(map(self.grams.__getitem__, grams), own), 1 + len(grams)
         if len(token) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.clear()
