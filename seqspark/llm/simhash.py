@@ -134,7 +134,8 @@ def _keys(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(run, "key long, side byte, fp long")
 
 
-def _links(prints: DataFrame, max_bits: int, crowd: int) -> DataFrame:
+def fingerprint_links(prints: DataFrame, max_bits: int, crowd: int) -> DataFrame:
+    """``(a, b)`` that link the distinct fingerprints ``fp`` of ``prints`` at ``max_bits`` or fewer, by Golay-code keys."""
     keys = _keys(prints)
     crowded = materialize(keys.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
     sparse = keys.join(crowded, "key", "left_anti")
@@ -162,7 +163,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, crowd: int = CROWD)
     """
     prints = materialize(fingerprints(docs, shingle), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = connected_components(_links(distinct, 2, crowd))
+    linked = connected_components(fingerprint_links(distinct, 2, crowd))
     linked = distinct.join(linked, distinct["fp"] == linked["vertex"]).select("fp", "least", "component")
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = linked.join(names, "component").select("fp", "component_id")
