@@ -2,7 +2,10 @@
 
 import random
 
+import duckdb
+
 from seqspark.operators import edits, enzymes, frames, primers
+from seqspark.plans.registry import ORACLE, QUERIES
 
 
 def plain_orfs(seq, n_frames=3):
@@ -65,6 +68,22 @@ def test_query_candidates_form_no_pair_without_an_enzyme(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_re_candidates_list_every_linear_sequence_with_every_vector(spark, tmp_path):
+    """Each pair is a row, and no vector is left out for its id."""
+    filler, site = "acc" * 250, "gaattc"
+    texts = [(i, (filler[:300] + site + filler[300:]) if i < 8 else filler, "x") for i in range(11)] + [(12, site + filler[:90], "x"), (13, site + filler + site, "x")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["b13_re_candidates"](spark, str(tmp_path))
+    eco = enzymes.table(spark, "enzymes").where("enzyme = 'EcoRI'").first()["enzyme_id"]
+    rows = sorted(tuple(r) for r in found.collect() if r["enzyme_id"] == eco)
+    assert rows == [(i, v, eco, 301, 301) for i in (1, 3, 5, 7) for v in (0, 2, 4, 6)]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(ORACLE["b13_re_candidates"])
+        assert [c[0] for c in want.description] == found.columns
+        assert sorted(want.fetchall()) == sorted(map(tuple, found.collect()))
+
+
 def test_edits_are_cut_from_the_row(spark):
     """Parts come to the sequence; it is not cut into pieces that are shuffled and put together again."""
     seqs = spark.createDataFrame([(1, "acgtacgt", "linear"), (2, "ggcc", "linear"), (3, None, "linear")], "seq_id long, seq string, topology string")
