@@ -108,3 +108,20 @@ def test_sketches_bound_what_sets_share():
         assert total == len(a) + len(b) and len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
     assert near_copies.sketch(np.arange(0, 64 * 600, 64)) is None or len(near_copies.sketch(np.arange(0, 64 * 600, 64))) > 64
     assert near_copies.sketch(np.arange(0, 1 << 20, 1 << 10)) is None
+
+
+@pytest.mark.parametrize("hot", [32, 512])
+def test_no_link_of_a_crowd_is_left_out(spark, hot):
+    """Rounds of one partner a text, and turns of a crowd, leave links between components, which are all settled after."""
+    rng = random.Random(2)
+    base = [f"t{i}" for i in range(90)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in (10, 40, 70):
+            words[at] = f"s{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    params = near_copies.NearCopyParams(hot=hot, rounds=1, turns=1)
+    kept = near_copies.one_of_near_copies(docs, params).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == plain_survivors(rows)
