@@ -426,3 +426,17 @@ def test_empty_sequences_give_nothing(spark):
     one = spark.createDataFrame([(1, "acgtacgtac")], "pattern_id long, pattern string")
     assert matching.motif_hits(table, one).collect() == [] and frames.orfs(table).collect() == [] and enzymes.re_sites(table).collect() == []
     assert frames.residue_tracts(table).collect() == [] and primers.design_amplification(table).collect() == []
+
+
+def test_stretches_side_by_side_score_as_alone(monkeypatch):
+    """No gap runs from one stretch into the next, and a short stretch is not filled up to a long one."""
+    monkeypatch.setattr(alignment, "CELLS", 300)
+    rng = random.Random(31)
+    text = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    for _ in range(30):
+        query, ys = text(rng.randrange(1, 60)), [""]
+        for _ in range(rng.randrange(1, 20)):
+            a = rng.randrange(len(query) + 1)
+            ys.append(text(rng.randrange(200)) + query[:a] + text(rng.randrange(9)) + query[a:] + text(rng.randrange(30)))
+        want = alignment.align_scores(pd.DataFrame({"x": [query] * len(ys), "y": ys}))
+        assert alignment.stretch_scores(query, ys).tolist() == want.tolist()
